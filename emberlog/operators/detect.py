@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.numbers import safe_ratio
+from emberlog.functions.once import once
 from emberlog.operators.quantiles import exact_quantiles
+from emberlog.schema import FEATURE_COLUMNS
 
 Z_THRESHOLD = 2.5
 IQR_MULTIPLIER = 1.5
@@ -34,7 +36,7 @@ def max_zscore(df: DataFrame, columns: list[str], output: str = "max_zscore") ->
 
     scores = [z(i, c) for i, c in enumerate(columns)]
     largest = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return with_stats.withColumn(output, largest).drop("_stats")
+    return once(with_stats.withColumn(output, largest).drop("_stats"), output)
 
 
 def zscore_detector(
@@ -53,18 +55,14 @@ def iqr_detector(
 ) -> DataFrame:
     """Flag rows outside the quartile fences of any column; columns without spread are skipped.
 
-    ``approximate=True`` trades exact quartiles for one sketch pass.
+    Quartiles are exact. The feature columns have small domains (hours, flags, rates of four
+    digits, lengths, counts), so one aggregate holds their value counts; any other column goes
+    through ``exact_quantiles``. ``approximate=True`` takes one sketch pass instead.
     """
-    if approximate:
-        fences = df.agg(
-            F.create_map(
-                *[
-                    part
-                    for c in columns
-                    for part in (F.lit(c), F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75]))
-                ]
-            )
-        ).scalar()
+    if approximate or set(columns) <= set(FEATURE_COLUMNS):
+        quartile = F.percentile_approx if approximate else F.percentile
+        pairs = [(F.lit(c), quartile(F.col(c).cast("double"), [0.25, 0.75])) for c in columns]
+        fences = df.agg(F.create_map(*[part for pair in pairs for part in pair])).scalar()
     else:
         quartiles = exact_quantiles(df, columns, [0.25, 0.75])
         fences = (
@@ -81,7 +79,8 @@ def iqr_detector(
         low, high = q[0] - multiplier * spread, q[1] + multiplier * spread
         return F.coalesce((spread != 0) & ((F.col(name) < low) | (F.col(name) > high)), F.lit(False))
 
-    return with_fences.withColumn(flag, reduce(or_, [outside(c) for c in columns])).drop("_fences")
+    flagged = with_fences.withColumn(flag, reduce(or_, [outside(c) for c in columns])).drop("_fences")
+    return once(flagged, flag)
 
 
 def zscore_score(max_z: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from emberlog.constants import parsing as P
 from emberlog.functions.numbers import python_round
+from emberlog.functions.once import once
 from emberlog.functions.text import fold_case, is_external, lookup, search, severity_rank
 from emberlog.functions.times import hour_of_day, is_weekend
 from emberlog.schema import FEATURE_COLUMNS
@@ -100,7 +101,7 @@ def content_flags(message: Column, folded: Column) -> dict[str, Column]:
 def row_features(events: DataFrame, hour_fallback: int = -1) -> DataFrame:
     """Features that need no other row; safe on streams. Input columns are kept."""
     message = F.coalesce(F.col("message"), F.lit(""))
-    folded = events.withColumn("_folded", fold_case(message))
+    folded = once(events.withColumn("_folded", fold_case(message)), "_folded")
     return folded.select(
         *events.columns,
         hour_of_day(F.coalesce(F.col("timestamp"), F.lit("")), hour_fallback).alias("hour_of_day"),

@@ -1,9 +1,11 @@
 """Isolation forest: trees are grown in parallel tasks from bounded samples, rows scored in batches."""
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +13,9 @@ from pyspark.sql.window import Window
 from emberlog.operators.quantiles import exact_quantiles
 from emberlog.session import stage
 
+# Task functions travel with their code, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TREES = 200
 SAMPLE = 256
 SEED = 42

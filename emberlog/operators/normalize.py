@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.constants import parsing as P
+from emberlog.functions.once import once
 from emberlog.functions.text import (
     contains_any,
     empty_to_null,
@@ -78,10 +79,7 @@ def normalize_lines(
     syslog_pattern = P.SYSLOG_LINE_LENIENT if lenient_time else P.SYSLOG_LINE
     kept = [c for c in lines.columns if c != line_col]
     raw = F.col("raw")
-    stripped = (
-        lines.withColumn("raw", strip_space(F.col(line_col)))
-        .filter((raw != "") & ~raw.startswith("#"))
-    )
+    stripped = lines.withColumn("raw", strip_space(F.col(line_col)))
 
     # Wrapped in brackets, so that text after the object makes the whole value invalid.
     wrapped = F.from_json(
@@ -143,6 +141,7 @@ def normalize_lines(
         .when(kind == "syslog", part[3])
         .otherwise(F.substring(raw, 1, 200)),
     ).withColumn("_lower", F.when(kind == "syslog", F.lower(F.col("message"))))
+    shaped = once(with_message, "raw", "format", "_parts", "_values", "message", "_lower")
 
     timestamp = (
         F.when(kind == "json", F.coalesce(value[0], F.lit("unknown")))
@@ -165,11 +164,11 @@ def normalize_lines(
         .when(kind == "syslog", first_address(F.col("message")))
         .otherwise(first_address(raw))
     )
-    return with_message.select(
+    return shaped.filter((raw != "") & ~raw.startswith("#")).select(
         *kept,
         timestamp.alias("timestamp"),
         severity.alias("severity"),
-        source_ip.alias("source_ip"),
+        F.coalesce(source_ip, F.lit("unknown")).alias("source_ip"),
         "message",
         "raw",
         "format",
@@ -232,6 +231,7 @@ def normalize_export_records(
             F.lit(" | Host: "), host,
         )
         severity = lookup(event_id, P.EXPORT_SEVERITY_B, "INFO")
+    table = once(table, "_text", "_event_id", "source_ip")
     return table.select(
         *kept,
         F.coalesce(field(r"Date:\s*(\S+)"), F.lit("unknown")).alias("timestamp"),

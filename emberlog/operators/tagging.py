@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.constants.attack_rules import CONFIDENCE_RANK, RULES, TECHNIQUES, Rule
+from emberlog.functions.once import once
 from emberlog.functions.text import fold_case, search
 
 MAX_RULE_ROWS = 10_000
@@ -72,6 +73,7 @@ def tag_events(
     ]
     no_rule = F.lit(None).cast("int")
     with_rule = with_text.withColumn("_rule", _case(hit_any, no_rule) if hit_any else no_rule)
+    with_rule = once(with_rule, "_text", "_folded", "_rule")
 
     chosen = F.col("_rule")
 
@@ -79,7 +81,7 @@ def tag_events(
         if not ranked:
             return F.lit(None).cast("string")
         return F.when(
-            chosen.isNotNull(), F.array(*[F.lit(v) for v in values]).getItem(chosen)
+            chosen.isNotNull(), F.array(*[F.lit(v) for v in values])[chosen]
         )
 
     def first_pattern(rule: Rule) -> Column:
