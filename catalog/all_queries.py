@@ -1,6 +1,13 @@
 """Imports every query module so that the registry is complete."""
 
-from catalog import detection_queries, parsing_queries, table_queries  # noqa: F401
+from catalog import (  # noqa: F401
+    correlation_queries,
+    detection_queries,
+    parsing_queries,
+    stream_queries,
+    table_queries,
+    triage_queries,
+)
 from catalog.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
