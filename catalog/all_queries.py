@@ -3,6 +3,7 @@
 from catalog import (  # noqa: F401
     correlation_queries,
     detection_queries,
+    model_queries,
     parsing_queries,
     stream_queries,
     table_queries,
