@@ -23,6 +23,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
+def even_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The chosen columns of a table, spread over the cores."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines of all events: seq, event_ts, ip, event_type, line."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

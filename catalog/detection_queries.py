@@ -143,7 +143,7 @@ _LINE_KEYS = "l_orderkey, l_linenumber"
        f"WITH {zscore(_LINE_COLUMNS, 'lineitem')} SELECT {_LINE_KEYS}, round(max_z, 6) AS max_zscore, "
        "max_z > 2.5 AS anomaly_zscore, round_even(least(max_z, 5.0) / 5.0, 4) AS anomaly_score FROM zs")
 def lineitem_zscore(spark, sf):
-    scored = detect.zscore_detector(base.table(spark, sf, "lineitem"), _LINE_COLUMNS)
+    scored = detect.zscore_detector(base.even_table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", *_LINE_COLUMNS), _LINE_COLUMNS)
     return scored.select(
         "l_orderkey", "l_linenumber", F.round("max_zscore", 6).alias("max_zscore"), "anomaly_zscore",
         detect.zscore_score(F.col("max_zscore")).alias("anomaly_score"),
@@ -155,7 +155,7 @@ def lineitem_zscore(spark, sf):
     for c in _LINE_COLUMNS for p in (0.25, 0.5, 0.75, 0.9)
 ) + ")")
 def lineitem_quartiles(spark, sf):
-    rows = exact_quantiles(base.table(spark, sf, "lineitem"), _LINE_COLUMNS, [0.25, 0.5, 0.75, 0.9])
+    rows = exact_quantiles(base.even_table(spark, sf, "lineitem", *_LINE_COLUMNS), _LINE_COLUMNS, [0.25, 0.5, 0.75, 0.9])
     return rows.withColumn("quantile", F.round("quantile", 6))
 
 

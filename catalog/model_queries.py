@@ -21,8 +21,10 @@ def isolation_forest(spark, sf):
 
 @query("isolation_forest_of_lineitem")
 def isolation_forest_of_lineitem(spark, sf):
-    rows = base.table(spark, sf, "lineitem").withColumn("key", F.xxhash64("l_orderkey", "l_linenumber"))
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rows = base.even_table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", *columns).withColumn(
+        "key", F.xxhash64("l_orderkey", "l_linenumber")
+    )
     scored, _ = forest.fit_and_score(rows, columns, key="key", contamination=0.05)
     return scored.select("l_orderkey", "l_linenumber", "if_score", "if_flag")
 

@@ -182,4 +182,4 @@ def severity_breakdown(spark, sf):
       max(CASE WHEN rn = least(CAST(floor(n * 0.95) AS BIGINT), n - 1) THEN l_extendedprice END) AS p95
     FROM (SELECT l_extendedprice, row_number() OVER (ORDER BY l_extendedprice) - 1 AS rn, count(*) OVER () AS n FROM lineitem)""")
 def index_percentiles(spark, sf):
-    return Q.index_percentiles(base.table(spark, sf, "lineitem"), "l_extendedprice")
+    return Q.index_percentiles(base.even_table(spark, sf, "lineitem", "l_extendedprice"), "l_extendedprice")

@@ -1,93 +1,116 @@
-"""Exact linear-interpolated quantiles without gathering a column in one task."""
+"""Exact order statistics without gathering a column in one task."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_CUTS = [step / 100 for step in range(1, 100)]
+ACCURACY = 10_000
+# Sketch ranks are off by at most 1/ACCURACY of the rows; the bracket is ten times wider.
+_MARGIN = 10 / ACCURACY
+
+
+def linear_position(prob: float) -> Callable[[Column], Column]:
+    """Position of a linearly interpolated quantile among n sorted values, counted from 0."""
+    return lambda n: prob * (n - 1)
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame,
+    columns: list[str],
+    probs: list[float],
+    positions: list[Callable[[Column], Column]] | None = None,
+) -> DataFrame:
     """One row per column and probability: ``feature``, ``prob``, ``quantile``.
 
-    Values are counted first (partial counts before the shuffle), then cut into ranges of roughly
-    equal weight by approximate percentiles. Only the ranges that hold a wanted rank are ordered,
-    so no task sorts more than about a hundredth of a column's distinct values.
+    A percentile sketch brackets every wanted rank (whole range for short columns). A second pass
+    counts the values below each bracket and keeps only those inside, counted before the shuffle:
+    about two thousandths of the rows are ordered, whatever the distribution.
+    ``positions`` replaces the linear positions by other functions of the row count near them.
     """
-    pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-            for c in columns
-        ]
-    )
-    counts = (
-        df.select(F.explode(pairs).alias("p"))
-        .select("p.*")
-        .filter(F.col("value").isNotNull())
-        .groupBy("feature", "value")
-        .agg(F.count("*").alias("n"))
+    places = positions or [linear_position(p) for p in probs]
+    edges = [min(max(p + side * _MARGIN, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    numeric = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    cells = [(i, j) for i in range(len(columns)) for j in range(len(probs))]
+    sketch = numeric.agg(
+        *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))],
+        *[F.percentile_approx(f"c{i}", edges, ACCURACY).alias(f"e{i}") for i in range(len(columns))],
+        *[F.min(f"c{i}").alias(f"min{i}") for i in range(len(columns))],
+        *[F.max(f"c{i}").alias(f"max{i}") for i in range(len(columns))],
     )
-    edges = df.agg(
-        F.create_map(
-            *[
-                part
-                for c in columns
-                for part in (F.lit(c), F.array_distinct(F.percentile_approx(F.col(c).cast("double"), _CUTS)))
-            ]
+
+    def edge(i: int, whole: str, place: int, name: str) -> Column:
+        short = F.col(f"n{i}") <= ACCURACY
+        return F.when(short, F.col(f"{whole}{i}")).otherwise(F.col(f"e{i}")[place]).alias(name)
+
+    brackets = sketch.select(
+        F.struct(
+            *[edge(i, "min", 2 * j, f"low{i}_{j}") for i, j in cells],
+            *[edge(i, "max", 2 * j + 1, f"high{i}_{j}") for i, j in cells],
         )
     ).scalar()
-    value = F.col("value")
-    ranged = (
-        counts.withColumn("_edges", edges)
-        .withColumn("_own", F.try_element_at("_edges", F.col("feature")))
-        .withColumn("range", F.size(F.filter("_own", lambda e: e < value)))
-        .drop("_edges", "_own")
-    )
+    marked = numeric.withColumn("_s", brackets)
 
-    # At most a hundred ranges per column: these windows are tiny.
-    by_range = ranged.groupBy("feature", "range").agg(F.sum("n").alias("n"))
-    up_to = Window.partitionBy("feature").orderBy("range").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    all_ranges = Window.partitionBy("feature")
-    placed = by_range.select(
-        "feature",
-        "range",
-        (F.sum("n").over(up_to) - F.col("n")).alias("before"),
-        F.sum("n").over(up_to).alias("through"),
-        F.sum("n").over(all_ranges).alias("total"),
+    def low_edge(i: int, j: int) -> Column:
+        return F.col(f"_s.low{i}_{j}")
+
+    def within(i: int, j: int) -> Column:
+        return F.col(f"c{i}").between(low_edge(i, j), F.col(f"_s.high{i}_{j}"))
+
+    below = marked.agg(
+        *[F.count_if(F.col(f"c{i}") < low_edge(i, j)).alias(f"b{i}_{j}") for i, j in cells],
+        *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))],
     )
-    prob_rows = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    targets = (
-        placed.withColumn("prob", prob_rows)
-        .withColumn("position", F.col("prob") * (F.col("total") - 1))
-        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))))
-        .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("through")))
-        .select("feature", "range", "before", "prob", "position", "rank")
+    starts = below.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"b{i}_{j}").alias("below"),
+                        places[j](F.col(f"n{i}")).cast("double").alias("position"),
+                    )
+                    for i, j in cells
+                ]
+            )
+        ).alias("s")
+    ).select("s.*")
+
+    def candidate(i: int, j: int) -> Column:
+        row = F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}").alias("value"))
+        return F.when(within(i, j), row)
+
+    # Almost all rows lie in no bracket and leave before the explode.
+    kept = (
+        marked.filter(reduce(or_, [F.coalesce(within(i, j), F.lit(False)) for i, j in cells]))
+        .select(F.explode(F.array(*[candidate(i, j) for i, j in cells])).alias("k"))
+        .filter(F.col("k").isNotNull())
+        .select("k.*")
+        .groupBy("i", "j", "value")
+        .agg(F.count("*").alias("n"))
     )
-    wanted = targets.select("feature", "range", "before").distinct()
-    in_range = Window.partitionBy("feature", "range").orderBy("value").rowsBetween(
+    in_order = Window.partitionBy("i", "j").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ordered = (
-        ranged.join(wanted, ["feature", "range"])
-        .withColumn("last", F.col("before") + F.sum("n").over(in_range) - 1)
-        .withColumn("first", F.col("last") - F.col("n") + 1)
-    )
-    hits = (
-        targets.drop("before")
-        .join(ordered.select("feature", "range", "value", "first", "last"), ["feature", "range"])
-        .filter((F.col("rank") >= F.col("first")) & (F.col("rank") <= F.col("last")))
-    )
+    placed = kept.withColumn("through", F.sum("n").over(in_order)).join(starts, ["i", "j"])
+    first = F.col("below") + F.col("through") - F.col("n")
+    last = F.col("below") + F.col("through") - 1
+    low_rank, high_rank = F.floor("position"), F.ceil("position")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank <= last), F.col("value")))
+
+    low, high = F.col("low"), F.col("high")
+    names = F.array(*[F.lit(c) for c in columns])
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
     return (
-        hits.groupBy("feature", "prob", "position")
-        .agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        placed.groupBy("i", "j", "position")
+        .agg(at(low_rank).alias("low"), at(high_rank).alias("high"))
         .select(
-            "feature",
-            "prob",
-            (
-                F.col("low")
-                + (F.col("high") - F.col("low")) * (F.col("position") - F.floor("position"))
-            ).alias("quantile"),
+            names[F.col("i")].alias("feature"),
+            wanted[F.col("j")].alias("prob"),
+            (low + (high - low) * (F.col("position") - low_rank)).alias("quantile"),
         )
     )

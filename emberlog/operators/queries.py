@@ -2,10 +2,10 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from emberlog.constants.parsing import SEVERITY_RANK
 from emberlog.functions.numbers import score_band
+from emberlog.operators.quantiles import exact_quantiles
 
 SEVERITIES = list(SEVERITY_RANK)
 
@@ -165,38 +165,13 @@ def severity_breakdown(events: DataFrame) -> DataFrame:
 
 
 def index_percentiles(df: DataFrame, column: str) -> DataFrame:
-    """p50 and p95 by index in the sorted values: n // 2 and min(int(0.95 n), n - 1).
-
-    Values are counted first, so only distinct values meet in the ordered step.
-    """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return _values_at(counts, {
-        "p50": lambda n: F.floor(n / 2),
-        "p95": lambda n: F.least(F.floor(n * 0.95), n - 1),
-    })
-
-
-def _values_at(counts: DataFrame, positions: dict) -> DataFrame:
-    total = counts.agg(F.sum("n")).scalar()
-    edges = counts.agg(
-        F.array_distinct(F.percentile_approx(F.col("value").cast("double"), [s / 100 for s in range(1, 100)]))
-    ).scalar()
-    ranged = (
-        counts.withColumn("_edges", edges)
-        .withColumn("range", F.size(F.filter("_edges", lambda e: e < F.col("value").cast("double"))))
-        .drop("_edges")
+    """p50 and p95 by index in the sorted values: n // 2 and min(int(0.95 n), n - 1)."""
+    kind = df.schema[column].dataType
+    rows = exact_quantiles(
+        df, [column], [0.5, 0.95],
+        [lambda n: F.floor(n / 2), lambda n: F.least(F.floor(n * 0.95), n - 1)],
     )
-    # About a hundred ranges: the running sum over them is tiny, the one inside a range is split.
-    by_range = ranged.groupBy("range").agg(F.sum("n").alias("n"))
-    before = F.coalesce(
-        F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    return rows.agg(
+        F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).cast(kind).alias("p50"),
+        F.max(F.when(F.col("prob") == 0.95, F.col("quantile"))).cast(kind).alias("p95"),
     )
-    offsets = by_range.select("range", before.alias("before"))
-    inside = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = ranged.join(offsets, "range").withColumn("through", F.col("before") + F.sum("n").over(inside))
-    columns = []
-    for name, position in positions.items():
-        rank = position(F.col("total"))
-        hit = (F.col("through") > rank) & (F.col("through") - F.col("n") <= rank)
-        columns.append(F.max(F.when(hit, F.col("value"))).alias(name))
-    return placed.withColumn("total", total).agg(*columns)
