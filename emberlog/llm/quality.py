@@ -2,10 +2,11 @@
 
 Rules over text statistics vote good, bad or abstain. Expectation-maximisation over the counts of vote
 patterns (at most 3 ** rules rows) estimates how often each rule votes good on good texts and bad on
-bad ones; the posterior probability of being good replaces all-must-pass filtering.
+bad ones; the posterior probability of being good replaces all-must-pass filtering. All work on documents is
+column expressions; the estimate itself sees one row per vote pattern.
 """
 
-from math import log
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,39 +120,51 @@ def base_failed() -> Column:
 
 
 class Accuracies:
-    """Share of good texts, and per rule the log-likelihood ratios of its good and bad votes."""
+    """Share of good texts, and per rule how often it votes good on good texts and bad on bad ones."""
 
     def __init__(self, rules=RULES):
         self.prior = 0.8
         self.good = dict.fromkeys(rules, 0.9)
         self.bad = dict.fromkeys(rules, 0.5)
 
-    def log_odds(self, vote=F.col) -> Column:
-        odds = F.lit(log(self.prior / (1 - self.prior)))
-        for rule in self.good:
-            plus = log(self.good[rule] / (1 - self.bad[rule]))
-            minus = log((1 - self.good[rule]) / self.bad[rule])
-            odds = odds + F.when(vote(rule) == 1, plus).when(vote(rule) == -1, minus).otherwise(0.0)
-        return odds
+    def weights(self) -> tuple[float, dict[str, dict[int, float]]]:
+        """The prior log-odds, and what each vote adds to it."""
+        votes = {
+            rule: {0: 0.0, 1: log(self.good[rule] / (1 - self.bad[rule])), -1: log((1 - self.good[rule]) / self.bad[rule])}
+            for rule in self.good
+        }
+        return log(self.prior / (1 - self.prior)), votes
 
+    def log_odds(self, votes: Column) -> Column:
+        odds, weights = self.weights()
+        total = F.lit(odds)
+        for rule, of in weights.items():
+            total = total + F.when(votes[rule] == 1, of[1]).when(votes[rule] == -1, of[-1]).otherwise(0.0)
+        return total
 
-def estimate(patterns: DataFrame, steps: int = STEPS) -> Accuracies:
-    """Expectation-maximisation over (votes, n): each step is one aggregate of the pattern table."""
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], steps: int = STEPS) -> Accuracies:
+    """Expectation-maximisation over the counts of all vote patterns of the corpus.
+
+    ``patterns`` has one entry per pattern, 3 ** rules at most, whatever the size of the corpus.
+    """
     found = Accuracies()
     for _ in range(steps):
-        q = F.lit(1.0) / (F.lit(1.0) + F.exp(-found.log_odds()))
-        weighed = patterns.select("*", (F.col("n") * q).alias("_good"), (F.col("n") * (1 - q)).alias("_bad"))
-        sums = [F.sum("_good"), F.sum("_bad")]
-        for rule in RULES:
-            v = F.col(rule)
-            sums += [F.sum(F.when(v == 1, F.col("_good"))), F.sum(F.when(v != 0, F.col("_good")))]
-            sums += [F.sum(F.when(v == -1, F.col("_bad"))), F.sum(F.when(v != 0, F.col("_bad")))]
-        got = [x or 0.0 for x in weighed.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-        found.prior = min(0.98, max(0.02, (got[0] + 1) / (got[0] + got[1] + 2)))
+        odds, weights = found.weights()
+        shares = [
+            1 / (1 + exp(-odds - sum(weights[rule][v] for rule, v in zip(RULES, votes, strict=True)))) for votes, _ in patterns
+        ]
+        good = sum(q * n for q, (_, n) in zip(shares, patterns, strict=True))
+        total = sum(n for _, n in patterns)
+        found.prior = min(0.98, max(0.02, (good + 1) / (total + 2)))
         for k, rule in enumerate(RULES):
-            plus, plus_of, minus, minus_of = got[2 + 4 * k : 6 + 4 * k]
-            found.good[rule] = min(0.999, max(0.5, (plus + 9) / (plus_of + 10)))
-            found.bad[rule] = min(0.999, max(0.02, (minus + 5) / (minus_of + 10)))
+            sums = {1: [9.0, 5.0], -1: [1.0, 5.0]}
+            for q, (votes, n) in zip(shares, patterns, strict=True):
+                if votes[k]:
+                    sums[votes[k]][0] += q * n
+                    sums[votes[k]][1] += (1 - q) * n
+            found.good[rule] = min(0.999, max(0.5, sums[1][0] / (sums[1][0] + sums[-1][0])))
+            found.bad[rule] = min(0.999, max(0.02, sums[-1][1] / (sums[1][1] + sums[-1][1])))
     return found
 
 
@@ -165,8 +178,8 @@ def judged(docs: DataFrame) -> DataFrame:
     docs = docs.drop("base_failed", "posterior", "kept", "_votes")
     votes = F.struct(*[v.cast("tinyint").alias(n) for n, v in rule_votes().items()])
     counted = stage(text_statistics(docs).withColumn("_votes", votes), "quality")
-    patterns = stage(counted.groupBy("_votes").agg(F.count(F.lit(1)).alias("n")).select("_votes.*", "n").coalesce(1), "votes")
-    odds = estimate(patterns).log_odds(lambda rule: F.col("_votes")[rule])
+    patterns = counted.groupBy("_votes").agg(F.count(F.lit(1)).alias("n")).orderBy("_votes").collect()
+    odds = estimate([(tuple(r._votes), r.n) for r in patterns]).log_odds(F.col("_votes"))
     posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
     return counted.withColumns({"base_failed": base_failed(), "posterior": posterior}).withColumn(
         "kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)
