@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import chat, fingerprints, mixing, near_join, packing, quality, scan, sharding
+from emberlog.llm import chat, fingerprints, mixing, near_join, packing, quality, scan, sharding, substrings
 from emberlog.llm.frames import document_table
 
 
@@ -42,11 +42,15 @@ def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op10_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_report(document_table(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_snapshots, op2_source_mixture, op4_secret_scan, op5_differencing_pack, op6_quality_votes,
-        op7_bottom_k, op8_feistel_shards, op9_parity_join,
+        op7_bottom_k, op8_feistel_shards, op9_parity_join, op10_bucket_pointers,
     )
 }
 SQL: dict[str, str] = {"op1_chat_snapshots": chat.CHAT_SQL}
