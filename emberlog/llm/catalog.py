@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import chat, fingerprints, mixing, near_join, packing, quality, scan, sharding, substrings
+from emberlog.llm import chat, fingerprints, mixing, near_join, packing, pii, quality, scan, sharding, substrings
 from emberlog.llm.frames import document_table
 
 
@@ -17,6 +17,10 @@ def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_context_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_report(document_table(spark, sf_dir, "doc_id", "text"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.secret_report(document_table(spark, sf_dir, "doc_id", "text"))
 
@@ -49,7 +53,7 @@ def op10_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_chat_snapshots, op2_source_mixture, op4_secret_scan, op5_differencing_pack, op6_quality_votes,
+        op1_chat_snapshots, op2_source_mixture, op3_context_patterns, op4_secret_scan, op5_differencing_pack, op6_quality_votes,
         op7_bottom_k, op8_feistel_shards, op9_parity_join, op10_bucket_pointers,
     )
 }
