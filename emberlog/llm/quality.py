@@ -168,8 +168,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], steps: int = STEPS) ->
     return found
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """``docs`` with STATISTICS, the votes in ``_votes``, ``base_failed``, ``posterior`` and ``kept``.
+def judged(docs: DataFrame, text: bool = True) -> DataFrame:
+    """``docs`` (without its text if ``text`` is false) with STATISTICS, the votes in ``_votes``, ``base_failed``, ``posterior`` and ``kept``.
 
     Null text has no words and fails. Equal texts get equal verdicts; repeated rows stay; an empty table
     gives an empty result. Columns of ``docs`` with the names added are replaced. The documents are
@@ -177,7 +177,8 @@ def judged(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("base_failed", "posterior", "kept", "_votes")
     votes = F.struct(*[v.cast("tinyint").alias(n) for n, v in rule_votes().items()])
-    counted = stage(text_statistics(docs).withColumn("_votes", votes), "quality")
+    counted = text_statistics(docs).withColumn("_votes", votes)
+    counted = stage(counted if text else counted.drop("text"), "quality")
     patterns = counted.groupBy("_votes").agg(F.count(F.lit(1)).alias("n")).orderBy("_votes").collect()
     odds = estimate([(tuple(r._votes), r.n) for r in patterns]).log_odds(F.col("_votes"))
     posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
@@ -188,11 +189,12 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """doc_id, statistics, base_failed, posterior and kept of every document."""
-    return judged(docs.select("doc_id", "text")).select(
+    return judged(docs.select("doc_id", "text"), text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, columns unchanged."""
-    return judged(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "text")).filter("kept").select("_row.*")
+    rows = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "text")
+    return judged(rows, text=False).filter("kept").select("_row.*")
