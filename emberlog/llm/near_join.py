@@ -8,7 +8,8 @@ B = d + 1 words at least one is equal (pigeonhole). Sets meet per band of sizes:
 alone, and a set near the upper end of its band also enters the next one. Sets with an equal word are
 candidates and are verified exactly.
 
-Groups of copies do not turn into all pairs. Equal texts are one node; the nodes of a bucket are verified
+Candidates are first compared by size and by a sketch of parity bits, whose Hamming distance bounds the
+symmetric difference in the same way. Groups of copies do not turn into all pairs. Equal texts are one node; the nodes of a bucket are verified
 against its smallest node, links are merged into classes, and only nodes that still are in different
 classes meet again within their bucket.
 """
@@ -37,6 +38,8 @@ FEW_WORDS = 12
 #: A band's largest size over its smallest.
 BAND = 1.3
 ROWS_OUT = 200_000
+#: 64-bit words of the parity bits that candidates are compared by before they are verified.
+BIT_WORDS = 8
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -93,6 +96,35 @@ def sketch_keys(shingles: np.ndarray, percent: int, starts: list[int]) -> np.nda
     return np.concatenate(keys)
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """BIT_WORDS * 64 parity bits: every shingle flips one, so two sets' bits differ in no more places
+    than their symmetric difference has shingles."""
+    spread = mixed(shingles ^ MULTIPLIER)
+    flips = np.bincount((spread % np.uint64(64 * BIT_WORDS)).astype(np.int64), minlength=64 * BIT_WORDS) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _described(width: int):
+    """(node, text) -> (node, text, size, parity bits)."""
+    names = ["node", "text", "n", *[f"s{i}" for i in range(BIT_WORDS)]]
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+            bits = np.array([parity_bits(s) for s in sets], np.int64).reshape(-1, BIT_WORDS)
+            columns = [*batch.columns, pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, bits.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return described
+
+
+def possible(percent: int, one: str = "_1", two: str = "_2") -> Column:
+    """Whether sizes and parity bits of two sets allow the likeness; true for every linked pair."""
+    n1, n2 = F.col("n" + one), F.col("n" + two)
+    apart = sum((F.bit_count(F.col(f"s{i}{one}").bitwiseXOR(F.col(f"s{i}{two}"))) for i in range(BIT_WORDS)), F.lit(0))
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * apart <= (100 - percent) * (n1 + n2))
+
+
 def _sketches(width: int, percent: int):
     """(node, text) -> (part, key, node, kind, n): kind 0 and 1 are sketch words, 2 has the set's size.
 
@@ -186,25 +218,33 @@ class Links:
 
     def classes(self) -> DataFrame:
         """node, root of every node that is linked to another one."""
-        buckets = self.buckets = stage(self.buckets, "buckets")
-        wanted = buckets.select("node").distinct()
+        buckets = stage(self.buckets, "buckets")
+        wanted = buckets.select(F.col("node").alias("_node")).distinct()
+        found = text_nodes(self.docs).join(wanted, "_node", "left_semi").dropDuplicates(["_node"])
+        bits = ", ".join(f"s{i} bigint" for i in range(BIT_WORDS))
         self.texts = stage(
-            text_nodes(self.docs).join(wanted.withColumnRenamed("node", "_node"), "_node", "left_semi")
-            .select(F.col("_node").alias("node"), F.col("_text").alias("text")).dropDuplicates(["node"]),
+            found.select("_node", "_text").mapInArrow(_described(self.width), f"node bigint, text string, n bigint, {bits}"),
             "candidate-texts",
-        )
+        )
+        facts = self.texts.drop("text")
+        likely = possible(self.percent)
+
+        def facts_of(node: str, suffix: str) -> DataFrame:
+            return facts.select(*[F.col(c).alias(node if c == "node" else c + suffix) for c in facts.columns])
+
         pivots = buckets.groupBy("key").agg(F.min("node").alias("pivot"))
-        first = buckets.join(pivots, "key").filter("node <> pivot").select(*_pairs(F.col("node"), F.col("pivot"))).distinct()
-        tried = stage(first, "first-pairs")
-        links = stage(self.verify(tried), "links")
-        found = components(links)
-        rooted = buckets.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        met = buckets.join(pivots, "key").filter("node <> pivot").select(*_pairs(F.col("node"), F.col("pivot"))).distinct()
+        first = met.join(facts_of("a", "_1"), "a").join(facts_of("b", "_2"), "b").filter(likely).select("a", "b")
+        links = stage(self.verify(first), "links")
+        rooted = buckets.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         rooted = stage(rooted, "rooted")
         split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        open_ = rooted.join(split, "key")
-        other = open_.select("key", F.col("node").alias("node2"), F.col("root").alias("root2"))
-        rest = open_.join(other, "key").filter("root < root2").select(*_pairs(F.col("node"), F.col("node2"))).distinct()
-        more = stage(self.verify(rest.join(tried, ["a", "b"], "left_anti")), "links")
+        open_ = stage(rooted.join(split, "key").join(facts, "node"), "open-buckets")
+        one = open_.select("key", *[F.col(c).alias(c + "_1") for c in open_.columns if c != "key"])
+        two = open_.select("key", *[F.col(c).alias(c + "_2") for c in open_.columns if c != "key"])
+        rest = one.join(two, (one["key"] == two["key"]) & (F.col("root_1") < F.col("root_2")) & likely)
+        rest = rest.select(*_pairs(F.col("node_1"), F.col("node_2"))).distinct()
+        more = stage(self.verify(rest), "links")
         return components(links.unionByName(more))
 
 
