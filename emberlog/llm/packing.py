@@ -26,9 +26,9 @@ CAPACITY = 1024
 #: Longest piece of what a document leaves after its full windows.
 PIECE = 256
 #: Pieces that are dealt together; a task's last block has up to twice as many.
-BLOCK = 512
+BLOCK = 256
 #: Distinct chunks whose ids a worker remembers (memory bound, not a result).
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 VOCABULARY = "byte_bpe_50k"
 END_ID = 0
 SPECIAL = "<|endoftext|>"
