@@ -131,8 +131,8 @@ def correlated_groups(spark, sf):
 
 @query("correlated_groups_by_label_passing", over("events", _GROUPS, _components("ev"), recursive=True))
 def correlated_groups_by_label_passing(spark, sf):
-    """The way beyond the size limit of the short link list."""
-    return _flat_groups(C.correlated_groups(C.component_keys(_nodes(spark, sf), max_driver_links=0)))
+    """The same groups; components always come from label passing."""
+    return _flat_groups(C.correlated_groups(C.component_keys(_nodes(spark, sf))))
 
 
 @query("top_groups", over(

@@ -26,7 +26,6 @@ from emberlog.session import stage
 
 RANK_BLOCK = 65_536
 CHUNK = 8_192
-MAX_DRIVER_LINKS = 100_000
 
 
 def correlation_nodes(events: DataFrame, newest_first: bool = True) -> DataFrame:
@@ -187,25 +186,8 @@ def edge_type_counts(edges: DataFrame) -> DataFrame:
     )
 
 
-def _merge_small(links: list[tuple[str, str]]) -> dict[str, str]:
-    """Smallest member of the component of every name in a short list of links."""
-    parent: dict[str, str] = {}
-
-    def root(name: str) -> str:
-        parent.setdefault(name, name)
-        while parent[name] != name:
-            parent[name] = parent[parent[name]]
-            name = parent[name]
-        return name
-
-    for a, b in links:
-        low, high = sorted((root(a), root(b)))
-        parent[high] = low
-    return {name: root(name) for name in parent}
-
-
-def _merge_large(links: DataFrame) -> DataFrame:
-    """Components of many links: each name takes the smallest label around it until none changes.
+def _merge_links(links: DataFrame) -> DataFrame:
+    """Components of links: each name takes the smallest label around it until none changes.
 
     Labels also jump to their label's label each round, so long chains shrink quickly. Every round
     is written to the staging folder.
@@ -244,13 +226,12 @@ def _key_table(nodes: DataFrame) -> DataFrame:
     )
 
 
-def component_keys(nodes: DataFrame, max_driver_links: int = MAX_DRIVER_LINKS) -> DataFrame:
+def component_keys(nodes: DataFrame) -> DataFrame:
     """Pre-aggregated rows with the component they belong to.
 
     Links always chain all events of an address and all events of a tactic, so components follow
-    from the distinct (address, tactic) pairs. Tactics joined by an address form short links; they
-    are merged on the driver only while their number is small, else by label passing. Rows with
-    neither a linkable address nor a tactic have no component.
+    from the distinct (address, tactic) pairs. Tactics joined by an address form short links,
+    merged by label passing. Rows with neither a linkable address nor a tactic have no component.
     """
     keys = stage(_key_table(nodes), "correlation-keys")
     ip = F.when(_linkable(F.col("source_ip")), F.col("source_ip"))
@@ -263,13 +244,7 @@ def component_keys(nodes: DataFrame, max_driver_links: int = MAX_DRIVER_LINKS) -
         tactics.join(anchor, "ip_key").select(F.col("anchor").alias("a"), F.col("tactic").alias("b")).distinct(),
         "tactic-links",
     )
-    few = links.limit(max_driver_links + 1).collect()
-    if len(few) <= max_driver_links:
-        merged = _merge_small([(row.a, row.b) for row in few])
-        spark = nodes.sparkSession
-        labels = spark.createDataFrame(list(merged.items()), "a string, label string")
-    else:
-        labels = _merge_large(links)
+    labels = _merge_links(links)
 
     tactic_label = labels.select(F.col("a").alias("tactic"), F.col("label").alias("tactic_label"))
     anchor_label = labels.select(F.col("a").alias("anchor"), F.col("label").alias("ip_label"))

@@ -80,7 +80,10 @@ def timed_event_rate(
         .filter(F.col("_hour") == hour)
         .select(ip_col, "_second", "timed_event_rate")
     )
-    return table.join(rates, [ip_col, "_second"]).drop("_second")
+    # A missing address is a key like any other; rows without a time stay, without a rate.
+    rates = rates.withColumnRenamed(ip_col, "_rate_ip").withColumnRenamed("_second", "_rate_second")
+    same = F.col(ip_col).eqNullSafe(F.col("_rate_ip")) & (F.col("_second") == F.col("_rate_second"))
+    return table.join(rates, same, "left").drop("_second", "_rate_ip", "_rate_second")
 
 
 def content_flags(message: Column, folded: Column) -> dict[str, Column]:
@@ -127,7 +130,9 @@ def build_features(
     """
     counts = address_counts(events)
     rolled = rolling_event_rate(row_features(events, hour_fallback), seq_col)
-    joined = rolled.join(counts, "source_ip")
+    # A missing address is a key like any other.
+    counts = counts.withColumnRenamed("source_ip", "_counted_ip")
+    joined = rolled.join(counts, F.col("source_ip").eqNullSafe(F.col("_counted_ip"))).drop("_counted_ip")
     return joined.select(
         seq_col,
         *keep,

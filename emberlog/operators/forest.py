@@ -23,7 +23,6 @@ SEED = 42
 MAX_NODES_PER_TREE = 2 * SAMPLE - 1
 _EULER = 0.5772156649015329
 # Up to this many rows every tree samples from all rows; above, rows are dealt to the trees.
-DEAL_FROM = 4 * TREES * SAMPLE
 
 _NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, path double, size int"

@@ -35,11 +35,21 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _settled(value: float | None) -> float:
+    """A mean or deviation without the last digits, which depend on the order of summation."""
+    return float(f"{value or 0.0:.12g}")
+
+
 def _nearest(distance: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Column indexes and distances of the ``count`` nearest per row, nearest first."""
+    """Column indexes and distances of the ``count`` nearest per row, nearest first; ties by column."""
     count = min(count, distance.shape[1])
-    part = np.argpartition(distance, count - 1, axis=1)[:, :count]
+    part = np.sort(np.argpartition(distance, count - 1, axis=1)[:, :count], axis=1)
     near = np.take_along_axis(distance, part, axis=1)
+    last = near.max(axis=1)
+    for row in np.flatnonzero((distance <= last[:, None]).sum(axis=1) > count):
+        tied = np.flatnonzero(distance[row] <= last[row])
+        part[row] = np.sort(tied[np.argsort(distance[row, tied], kind="stable")[:count]])
+        near[row] = distance[row, part[row]]
     order = np.argsort(near, axis=1, kind="stable")
     return np.take_along_axis(part, order, axis=1), np.take_along_axis(near, order, axis=1)
 
@@ -51,14 +61,13 @@ def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
         *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
     ).first()
     scaled = [
-        (F.col(c) - float(stats[f"m{i}"] or 0.0)) / (float(stats[f"s{i}"] or 0.0) or 1.0)
+        (F.col(c) - _settled(stats[f"m{i}"])) / (_settled(stats[f"s{i}"]) or 1.0)
         for i, c in enumerate(columns)
     ]
     counted = df.groupBy(*columns).agg(F.count("*").alias("mult"))
     return stage(
-        counted.select(*columns, F.array(*scaled).alias("v"), "mult").withColumn(
-            "vid", F.monotonically_increasing_id()
-        ),
+        # Identity comes from the values, so that no result depends on where a row was read.
+        counted.select(*columns, F.array(*scaled).alias("v"), "mult", F.xxhash64(*columns).alias("vid")),
         "lof-vectors",
     )
 
@@ -126,6 +135,7 @@ def nearest_neighbours(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFr
 
     def route(group: pd.DataFrame) -> pd.DataFrame:
         """Bound the k-distance within the block, then list the blocks that may hold nearer ones."""
+        group = group.sort_values("vid", ignore_index=True)
         table = shared.value
         values = np.array(group["v"].tolist(), dtype=float).reshape(len(group), -1)
         mult = group["mult"].to_numpy()
@@ -180,6 +190,7 @@ def nearest_neighbours(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFr
             return pd.DataFrame({"vid": [], "near": [], "distance": [], "mult": []}).astype(
                 {"vid": "int64", "near": "int64", "mult": "int64"}
             )
+        holding = holding.sort_values("vid", ignore_index=True)
         a = np.array(seeking["v"].tolist(), dtype=float).reshape(len(seeking), -1)
         b = np.array(holding["v"].tolist(), dtype=float).reshape(len(holding), -1)
         index, near = _nearest(_distances(a, b), k + 1)
@@ -201,7 +212,7 @@ def nearest_neighbours(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFr
         .applyInPandas(meet, "vid long, near long, distance double, mult long")
     )
     others = F.when(F.col("near") == F.col("vid"), F.col("mult") - 1).otherwise(F.col("mult"))
-    by_distance = Window.partitionBy("vid").orderBy("distance", F.xxhash64("near"), "near").rowsBetween(
+    by_distance = Window.partitionBy("vid").orderBy("distance", "near").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (

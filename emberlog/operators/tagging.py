@@ -11,18 +11,17 @@ from emberlog.constants.attack_rules import CONFIDENCE_RANK, RULES, TECHNIQUES,
 from emberlog.functions.once import once
 from emberlog.functions.text import fold_case, search
 
-MAX_RULE_ROWS = 10_000
 
+def rules_from_table(table: DataFrame, max_patterns: int = 10_000) -> tuple[Rule, ...]:
+    """Rules from an editable table (technique, confidence, pattern, rule_order, pattern_order).
 
-def rules_from_table(table: DataFrame) -> tuple[Rule, ...]:
-    """Rules from an editable table (technique, confidence, pattern, rule_order, pattern_order)."""
-    rows = (
-        table.select("technique", "confidence", "pattern", "rule_order", "pattern_order")
-        .limit(MAX_RULE_ROWS + 1)
-        .collect()
-    )
-    if len(rows) > MAX_RULE_ROWS:
-        raise ValueError(f"a rule table may hold at most {MAX_RULE_ROWS} patterns")
+    Rules are compiled into the plan as expressions, so the driver reads them; a table with more than
+    ``max_patterns`` rows is refused, none is left out.
+    """
+    columns = ("technique", "confidence", "pattern", "rule_order", "pattern_order")
+    rows = table.select(*columns).limit(max_patterns + 1).collect()
+    if len(rows) > max_patterns:
+        raise ValueError(f"the rule table holds more than {max_patterns} patterns")
     grouped: dict = {}
     for row in sorted(rows, key=lambda r: (r.rule_order, r.pattern_order)):
         grouped.setdefault((row.rule_order, row.technique, row.confidence), []).append(row.pattern)

@@ -15,9 +15,10 @@ _RESULT_FIELDS = [
     "threat_type", "explanation", "attacker_intent", "risk", "recommendations",
     "false_positive_probability",
 ]
+#: Fields are read as text and converted one by one, so that an odd field does not void the others.
 _ANSWER_TYPE = (
-    "threat_type string, explanation string, attacker_intent string, risk string, "
-    "recommendations array<string>, false_positive_probability double, _corrupt string"
+    "array<struct<threat_type:string,explanation:string,attacker_intent:string,risk:string,"
+    "recommendations:string,false_positive_probability:string>>"
 )
 
 
@@ -190,13 +191,18 @@ def ingest_answers(answers: DataFrame, text_col: str = "answer", profile: str =
     raw = F.col(text_col)
     fenced = F.split(raw, "```")[1]
     body = F.when(raw.contains("```"), F.regexp_replace(fenced, r"^json", "")).otherwise(raw)
-    parsed = F.from_json(
-        F.col("_body"), _ANSWER_TYPE, {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
-    )
+    # In brackets, two objects in a row are no valid array, and one object is one element.
+    parsed = F.from_json(F.concat(F.lit("["), F.col("_body"), F.lit("]")), _ANSWER_TYPE, {"allowSingleQuotes": "false"})
     table = answers.withColumn("_body", strip_space(body)).withColumn(
-        "_p", F.when(F.col("_body").like("{%}"), parsed)
+        "_found", F.when(F.col("_body").like("{%}"), parsed)
     )
-    valid = F.col("_p").isNotNull() & F.col("_p._corrupt").isNull()
+    table = table.withColumn("_p", F.when(F.size("_found") == 1, F.get("_found", F.lit(0))))
+    valid = F.col("_p").isNotNull()
+    listed = F.from_json("_p.recommendations", "array<string>")
+    single = F.when(F.col("_p.recommendations").isNotNull(), F.array("_p.recommendations"))
+    read = {name: F.col(f"_p.{name}") for name in _RESULT_FIELDS}
+    read["recommendations"] = F.when(F.col("_p.recommendations").startswith("["), listed).otherwise(single)
+    read["false_positive_probability"] = F.col("_p.false_positive_probability").try_cast("double")
     missing = {
         "threat_type": F.lit(X.FALLBACK_THREAT),
         "explanation": F.substring(raw, 1, fallback["explanation_length"]),
@@ -208,7 +214,7 @@ def ingest_answers(answers: DataFrame, text_col: str = "answer", profile: str =
     kept = [c for c in answers.columns if c not in _RESULT_FIELDS + ["source"]]
     return table.select(
         *kept,
-        *[F.when(valid, F.col(f"_p.{name}")).otherwise(missing[name]).alias(name) for name in _RESULT_FIELDS],
+        *[F.when(valid, read[name]).otherwise(missing[name]).alias(name) for name in _RESULT_FIELDS],
         F.when(valid, "model-json").otherwise("model-text").alias("answer_source"),
     )
 

@@ -2,13 +2,6 @@
 
 from pyspark.sql import types as T
 
-PARSED_COLUMNS = ["timestamp", "severity", "source_ip", "message", "raw", "format"]
-
-PARSED_SCHEMA = T.StructType(
-    [T.StructField("seq", T.LongType(), False)]
-    + [T.StructField(name, T.StringType()) for name in PARSED_COLUMNS]
-)
-
 EVENTS_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("inserted_at", T.TimestampType()),

@@ -1,13 +1,9 @@
 """Session settings and staged tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
-
-
 # Generated methods above 8000 bytes are never compiled to machine code by the JVM; below this
 # limit Spark splits wide projections into smaller methods instead.
 _RUNTIME_SETTINGS = {
@@ -44,17 +40,22 @@ def build_session(app_name: str = "emberlog", master: str | None = None, **conf)
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder for staged tables: ``spark.checkpoint.dir``.
+    """The shared folder for staged tables.
 
-    A temporary folder is used only where the setting is missing, as in local tests.
+    ``spark.checkpoint.dir``, else the context's checkpoint folder, else a folder below the warehouse. A
+    warehouse on the driver's own disk serves local masters only: executors elsewhere would not see it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    app = spark.conf.get("spark.app.id", "local")
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="emberlog-stage-")
-    return _local_dirs[app]
+    checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if checkpoint.isDefined():
+        return checkpoint.get().rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    on_disk = warehouse.startswith(("file:", "/"))
+    if on_disk and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/emberlog-stage"
 
 
 def new_stage_path(spark: SparkSession, name: str) -> str:

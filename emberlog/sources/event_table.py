@@ -109,7 +109,9 @@ def mark_false_positives(
     A second mark of the same event is recorded again.
     """
     spark = marks.sparkSession
-    known = events.select(F.col("id").alias("event_id")).distinct().withColumn("_known", F.lit(True))
+    named = marks.select(F.col("event_id").alias("id")).distinct()
+    known = events.select("id").join(named, "id", "left_semi").distinct()
+    known = known.select(F.col("id").alias("event_id"), F.lit(True).alias("_known"))
     checked = stage(
         marks.select("event_id", F.coalesce("reason", F.lit("")).alias("reason"))
         .join(known, "event_id", "left")

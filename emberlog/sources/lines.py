@@ -105,9 +105,12 @@ def read_export_records(
 
     rows = _read_existing(spark, listed, "piece", lineSep=RECORD_SEPARATOR)
     numbered = _with_seq(rows.withColumn("_origin", F.col("_file")), "_piece")
-    is_start = F.col("piece").rlike(RECORD_START)
+    # What a file has before its first marker is a record too.
+    firsts = numbered.groupBy("_origin").agg(F.min("_piece").alias("_first_piece"))
+    numbered = numbered.join(firsts, "_origin").withColumn("_leads", F.col("_piece") == F.col("_first_piece"))
+    is_start = F.col("_leads") | F.col("piece").rlike(RECORD_START)
     starts = numbered.filter(is_start).withColumn(
-        "record", F.regexp_replace("piece", RECORD_START, "")
+        "record", F.when(F.col("_leads"), F.col("piece")).otherwise(F.regexp_replace("piece", RECORD_START, ""))
     )
     # Runs of continuation rows: the row before a run is the record they belong to.
     loose = numbered.filter(~is_start)
