@@ -28,7 +28,7 @@ PIECE = 256
 #: Pieces that are dealt together; a task's last block has up to twice as many.
 BLOCK = 256
 #: Distinct chunks whose ids a worker remembers (memory bound, not a result).
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 VOCABULARY = "byte_bpe_50k"
 END_ID = 0
 SPECIAL = "<|endoftext|>"
@@ -59,8 +59,12 @@ class Encoder:
         self.seen: dict[str, bytes] = {}
         self.full = None
 
+    def _plain(self, chunk: str) -> bytes:
+        return np.asarray(self.encoding.encode_ordinary(chunk), "<u4").tobytes()
+
     def _miss(self, chunk: str) -> bytes:
-        ids = np.asarray(self.encoding.encode_ordinary(chunk), "<u4").tobytes()
+        """The ids of a chunk with the blank before it."""
+        ids = self._plain(" " + chunk)
         if len(self.seen) < REMEMBERED and len(chunk) < 40:
             self.seen[chunk] = ids
         return ids
@@ -77,9 +81,7 @@ class Encoder:
         odd = "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " "
         chunks = CUT.split(text) if odd or OTHER_SPACE.search(text) else text.split(" ")
         get, miss = self.seen.get, self._miss
-        first = chunks[0]
-        rest = [get(c) or miss(c) for c in [" " + c for c in chunks[1:]]]
-        return b"".join([get(first) or miss(first), *rest])
+        return b"".join([self._plain(chunks[0]), *[get(c) or miss(c) for c in chunks[1:]]])
 
 
 def difference(lengths: list[int], windows: int) -> list[list[int]]:
