@@ -9,6 +9,8 @@ from emberlog.functions.text import fold_case
 from emberlog.operators import detect, features
 from emberlog.operators.quantiles import exact_quantiles
 from emberlog.schema import FEATURE_COLUMNS
+from emberlog.session import new_stage_path
+from emberlog.sources import reports
 
 _META = "anomaly_label, _source_ip, _message, _severity, _format, _timestamp, _raw"
 
@@ -18,6 +20,39 @@ def build_features(spark, sf):
     return base.features(spark, sf)
 
 
+@query("feature_matrix", over("features", f"SELECT seq, {', '.join(FEATURE_COLUMNS)} FROM features"))
+def feature_matrix(spark, sf):
+    """The columns a model trains on, found by their names."""
+    rows = base.features(spark, sf)
+    return rows.select("seq", *features.ml_columns(rows))
+
+
+@query("feature_metadata", over("features", f"SELECT seq, {_META} FROM features"))
+def feature_metadata(spark, sf):
+    """The label placeholder and the carried columns of every event."""
+    return base.features(spark, sf).select("seq", *_META.split(", "))
+
+
+@query("csv_report", over("features", f"SELECT seq, {', '.join(FEATURE_COLUMNS)}, {_META} FROM features"))
+def csv_report(spark, sf):
+    """Feature rows written as CSV and read back with their types."""
+    path = new_stage_path(spark, "csv-report")
+    rows = base.features(spark, sf)
+    reports.write_csv(rows, path)
+    return spark.read.schema(rows.schema).csv(path, header=True, escape='"', multiLine=True)
+
+
+@query("json_report", over(
+    "detected", "SELECT seq, anomaly_score, is_anomaly, confidence, _source_ip, _message FROM detected"
+))
+def json_report(spark, sf):
+    """Detections written as JSON lines and read back with their types."""
+    path = new_stage_path(spark, "json-report")
+    rows = base.detected(spark, sf).select("seq", "anomaly_score", "is_anomaly", "confidence", "_source_ip", "_message")
+    reports.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 @query("row_features", over(
     "features",
     "SELECT seq, hour_of_day, is_weekend, severity_score, format_encoded, ip_is_external, message_length, "

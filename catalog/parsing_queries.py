@@ -12,7 +12,7 @@ from emberlog.functions import is_external
 from emberlog.functions.text import first_address
 from emberlog.operators import normalize, tagging
 from emberlog.session import new_stage_path
-from emberlog.sources.lines import read_export_records, read_lines
+from emberlog.sources.lines import read_export_records, read_lines, read_sources
 
 _PARSED_COLUMNS = "seq, timestamp, severity, source_ip, message, raw, format"
 
@@ -188,6 +188,33 @@ def line_source(spark, sf):
     )
 
 
+@query("ordered_lines", over("lines", "SELECT seq, line FROM lines"))
+def ordered_lines(spark, sf):
+    """Lines written in order to several files come back under their own numbers."""
+    path = new_stage_path(spark, "ordered-lines")
+    lines = base.lines(spark, sf).repartitionByRange(4, "seq").sortWithinPartitions("seq")
+    lines.select(F.col("line").alias("value")).write.text(path)
+    return read_lines(spark, path)
+
+
+@query("combined_sources", over(
+    "parsed",
+    f"""SELECT seq, timestamp, severity, source_ip, message, format FROM parsed UNION ALL
+    SELECT (SELECT count(*) FROM parsed) + row_number() OVER (ORDER BY event_id) - 1, timestamp, severity, source_ip, message, format
+    FROM ({_export_sql("A")})""",
+))
+def combined_sources(spark, sf):
+    """Lines first, then export records, under one dense row number."""
+    line_path, export_path = new_stage_path(spark, "source-lines"), new_stage_path(spark, "source-exports")
+    lines = base.lines(spark, sf).repartitionByRange(4, "seq").sortWithinPartitions("seq")
+    lines.select(F.col("line").alias("value")).write.text(line_path)
+    marked = F.concat(F.lit("Event["), F.col("event_id").cast("string"), F.lit("]:"), F.col("record"))
+    records = _records(spark, sf).repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    records.select(marked.alias("value")).write.text(export_path)
+    events = read_sources(spark, "combined", [line_path], [export_path])
+    return events.select("seq", "timestamp", "severity", "source_ip", "message", "format")
+
+
 @query("external_addresses", over(
     "lines", f"SELECT seq, ip, {external('ip')} AS is_external FROM lines"
 ))

@@ -9,6 +9,7 @@ from catalog.correlation_queries import (
 from catalog.duck_base import over
 from catalog.registry import query
 from emberlog.session import new_stage_path
+from emberlog.sources.event_table import mark_false_positives, read_feedback
 from emberlog.streaming import feed
 
 
@@ -38,18 +39,24 @@ def stream_critical_alerts(spark, sf):
 
 @query("stream_metrics", over("events", """
     SELECT count(*) AS total_events, count(*) FILTER (is_anomaly) AS total_anomalies,
-      count(*) FILTER (severity = 'CRITICAL') AS critical_events, count(*) FILTER (severity = 'HIGH') AS high_events,
+      count(*) FILTER (is_false_positive) AS false_positives_blocked, count(*) FILTER (severity = 'CRITICAL') AS critical_events, count(*) FILTER (severity = 'HIGH') AS high_events,
       count(technique_id) AS mitre_tagged, round(count(technique_id) * 100.0 / count(*), 1) AS mitre_tag_rate,
       round(coalesce(avg(anomaly_score) FILTER (is_anomaly), 0), 3) AS avg_anomaly_score,
       (SELECT source_ip FROM ev GROUP BY source_ip ORDER BY count(*) DESC, source_ip LIMIT 1) AS top_attacker_ip,
       (SELECT technique_id FROM ev WHERE technique_id IS NOT NULL GROUP BY technique_id ORDER BY count(*) DESC, technique_id LIMIT 1) AS top_technique
     FROM ev"""))
 def stream_metrics(spark, sf):
-    partials = new_stage_path(spark, "metric-partials")
+    """Totals folded over several batches, with the marks of existing events."""
+    totals, marks = new_stage_path(spark, "metric-totals"), new_stage_path(spark, "feedback-table")
+    path = new_stage_path(spark, "stream-events")
+    rows = base.stored_events(spark, sf)
+    rows.repartition(3).write.parquet(path)
     feed.start_batches(
-        _table(spark, sf), feed.running_metrics(partials), new_stage_path(spark, "metric-checkpoint"), once=True
+        feed.table_stream(spark, path, rows.schema, max_files=1), feed.running_metrics(totals),
+        new_stage_path(spark, "metric-checkpoint"), once=True,
     ).awaitTermination()
-    return feed.merged_metrics(spark.read.parquet(partials))
+    mark_false_positives(base.feedback(spark, sf), rows, marks)
+    return feed.merged_metrics(spark.read.parquet(totals), read_feedback(spark, marks))
 
 
 @query("stream_kill_chains", over(
@@ -110,3 +117,49 @@ def stream_session_chains(spark, sf):
 def stream_feedback_overlay(spark, sf):
     stream = feed.overlay_feedback(_table(spark, sf), base.feedback(spark, sf))
     return feed.run_once(stream.select("id", "severity", "is_false_positive"), "overlay")
+
+
+# What has closed once all rows are read: the watermark is the latest time in milliseconds less the delay.
+_WATERMARK = "(SELECT max(epoch_us(event_ts)) // 1000 * 1000 - 120000000 FROM ev)"
+
+
+@query("stream_closed_rate", over(
+    "events", f"SELECT * FROM ({_window_sql(60)}) WHERE (window_start + 60) * 1000000 <= {_WATERMARK}"
+))
+def stream_closed_rate(spark, sf):
+    """Append mode, as deployed: a window appears once the watermark has passed it."""
+    rows = feed.run_once(feed.windowed_rate(_table(spark, sf)), "closed-rates")
+    return rows.select(F.unix_seconds("window_start").alias("window_start"), "source_ip", "n_events")
+
+
+@query("stream_closed_sessions", over(
+    "events",
+    f"SELECT * FROM (SELECT source_ip, {_MICROS}, event_count, array_to_string(tactics, ',') AS tactics FROM sessions) "
+    f"WHERE last_us + 300000000 <= {_WATERMARK}",
+    SESSIONS,
+))
+def stream_closed_sessions(spark, sf):
+    rows = feed.run_once(feed.session_stream(_table(spark, sf)), "closed-sessions")
+    return _micros(rows, "event_count", F.array_join("tactics", ",").alias("tactics"))
+
+
+@query("stream_late_marks", over(
+    "events",
+    "SELECT id, is_false_positive AND id <= (SELECT max(id) // 2 FROM ev) AS is_false_positive FROM ev",
+))
+def stream_late_marks(spark, sf):
+    """Marks that arrive between two batches hold for the second one, here the lower half of the ids."""
+    path, marks, shown, checkpoint = (
+        new_stage_path(spark, name) for name in ("stream-events", "feedback-table", "overlay", "overlay-checkpoint")
+    )
+    rows = base.stored_events(spark, sf)
+    half = rows.agg(F.floor(F.max("id") / 2)).scalar()
+    parts = (rows.filter(F.col("id") > half), rows.filter(F.col("id") <= half))
+    step = feed.overlaid_batches(marks, shown)
+    for place, part in enumerate(parts):
+        part.write.mode("append").parquet(path)
+        stream = feed.table_stream(spark, path, rows.schema)
+        feed.start_batches(stream, step, checkpoint, once=True).awaitTermination()
+        if place == 0:
+            mark_false_positives(base.feedback(spark, sf), rows, marks)
+    return spark.read.parquet(shown).select("id", "is_false_positive")

@@ -26,6 +26,23 @@ def event_rows(spark, sf):
     return base.events(spark, sf).drop("event_ts")
 
 
+@query("assembled_events", over(
+    "events",
+    """SELECT t.seq, t.timestamp, t.severity, t.source_ip, t.format AS log_format,
+      coalesce(d.anomaly_score, 0.0) AS anomaly_score, coalesce(d.is_anomaly, FALSE) AS is_anomaly,
+      coalesce(d.confidence, 'NONE') AS confidence, t.technique_id, t.mitre_confidence
+    FROM tagged t LEFT JOIN (SELECT * FROM detected WHERE confidence <> 'NONE') d USING (seq)""",
+))
+def assembled_events(spark, sf):
+    """Parsed, detector and tag rows joined by key; rows without a vote or a tag take the defaults."""
+    votes = base.detected(spark, sf).filter("confidence <> 'NONE'")
+    tags = base.tagged(spark, sf).filter("technique_id IS NOT NULL")
+    return event_table.assemble_events(base.parsed(spark, sf), votes, tags).select(
+        "seq", "timestamp", "severity", "source_ip", "log_format", "anomaly_score", "is_anomaly", "confidence",
+        "technique_id", "mitre_confidence",
+    )
+
+
 @query("append_and_read_events", over(
     "events", "SELECT id, severity, source_ip, anomaly_score, is_anomaly, technique_id, FALSE AS is_false_positive FROM ev"
 ))

@@ -55,32 +55,26 @@ def iqr_detector(
 ) -> DataFrame:
     """Flag rows outside the quartile fences of any column; columns without spread are skipped.
 
-    Quartiles are exact. The feature columns have small domains (hours, flags, rates of four
-    digits, lengths, counts), so one aggregate holds their value counts; any other column goes
-    through ``exact_quantiles``. ``approximate=True`` takes one sketch pass instead.
+    Quartiles are exact and computed when this is called, see ``exact_quantiles``;
+    ``approximate=True`` takes one sketch pass instead. Stage an input that is costly to compute.
     """
-    if approximate or set(columns) <= set(FEATURE_COLUMNS):
-        quartile = F.percentile_approx if approximate else F.percentile
-        pairs = [(F.lit(c), quartile(F.col(c).cast("double"), [0.25, 0.75])) for c in columns]
-        fences = df.agg(F.create_map(*[part for pair in pairs for part in pair])).scalar()
+    if approximate:
+        marks = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75]) for c in columns]).first()
+        quartiles = {c: tuple(q) for c, q in zip(columns, marks) if q is not None}
     else:
-        quartiles = exact_quantiles(df, columns, [0.25, 0.75])
-        fences = (
-            quartiles.groupBy("feature")
-            .agg(F.array(F.min("quantile"), F.max("quantile")).alias("q"))
-            .agg(F.map_from_entries(F.collect_list(F.struct("feature", "q"))))
-            .scalar()
-        )
-    with_fences = df.withColumn("_fences", fences)
+        rows = exact_quantiles(df, columns, [0.25, 0.75]).collect()
+        by_place = {(row.feature, row.prob): row.quantile for row in rows}
+        quartiles = {c: (by_place[c, 0.25], by_place[c, 0.75]) for c in columns if (c, 0.25) in by_place}
 
     def outside(name: str) -> Column:
-        q = F.try_element_at(F.col("_fences"), F.lit(name))
-        spread = q[1] - q[0]
-        low, high = q[0] - multiplier * spread, q[1] + multiplier * spread
-        return F.coalesce((spread != 0) & ((F.col(name) < low) | (F.col(name) > high)), F.lit(False))
-
-    flagged = with_fences.withColumn(flag, reduce(or_, [outside(c) for c in columns])).drop("_fences")
-    return once(flagged, flag)
+        first, third = quartiles.get(name, (0.0, 0.0))
+        width = third - first
+        if width == 0:
+            return F.lit(False)
+        low, high = first - multiplier * width, third + multiplier * width
+        return F.coalesce((F.col(name) < low) | (F.col(name) > high), F.lit(False))
+
+    return once(df.withColumn(flag, reduce(or_, [outside(c) for c in columns])), flag)
 
 
 def zscore_score(max_z: Column) -> Column:

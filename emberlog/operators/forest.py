@@ -22,7 +22,8 @@ SEED = 42
 # A tree over 256 rows has at most 511 nodes, so the model never exceeds this size.
 MAX_NODES_PER_TREE = 2 * SAMPLE - 1
 _EULER = 0.5772156649015329
-# Up to this many rows every tree samples from all rows; above, rows are dealt to the trees.
+# Expected rows of the pool that all trees draw from.
+POOL = 16_384
 
 _NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, path double, size int"
@@ -122,22 +123,23 @@ class ForestModel:
         return score(F.struct(*[F.col(c).cast("double").alias(c) for c in self.columns]))
 
 
-def _sampled(df: DataFrame, key: str, columns: list[str], n: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """At most ``sample`` rows per tree, chosen by hash order."""
+def _sampled(
+    df: DataFrame, key: str, columns: list[str], n: int, trees: int, sample: int, seed: int, pool: int = POOL
+) -> DataFrame:
+    """At most ``sample`` rows per tree, drawn by hash order from one pool of about ``pool`` rows.
+
+    The pool is a hash-chosen share of all rows, so the draws cost the same however many rows there are.
+    """
     span = 2**31
+    drawn = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(span))
     draw = F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(span))
-    if n <= trees * sample * 4:
-        # Every tree draws from all rows; twice the wanted share passes the threshold.
-        rows = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        share = min(1.0, 2.0 * sample / n) if n > 2 * sample else 1.0
-    else:
-        tree = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(trees)).cast("int")
-        rows = df.withColumn("tree", tree)
-        share = min(1.0, 2.0 * sample * trees / n)
+    pooled = df.filter(drawn < int(min(1.0, pool / n) * span))
+    rows = pooled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     by_draw = Window.partitionBy("tree").orderBy("draw", key)
+    # Twice the wanted share passes the threshold, the exact number is cut by place.
     return (
         rows.withColumn("draw", draw)
-        .filter(F.col("draw") < int(share * span))
+        .filter(F.col("draw") < int(min(1.0, 2.0 * sample / min(n, pool)) * span))
         .withColumn("place", F.row_number().over(by_draw))
         .filter(F.col("place") <= sample)
         .select("tree", key, *columns)

@@ -1,6 +1,8 @@
 """Exact order statistics without gathering a column in one task."""
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -11,106 +13,162 @@ from pyspark.sql.window import Window
 ACCURACY = 10_000
 # Sketch ranks are off by at most 1/ACCURACY of the rows; the bracket is ten times wider.
 _MARGIN = 10 / ACCURACY
+# Different values that one task may order.
+HOLD = 10_000
 
 
-def linear_position(prob: float) -> Callable[[Column], Column]:
+def linear_position(prob: float) -> Callable[[int], float]:
     """Position of a linearly interpolated quantile among n sorted values, counted from 0."""
     return lambda n: prob * (n - 1)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: list[str],
-    probs: list[float],
-    positions: list[Callable[[Column], Column]] | None = None,
-) -> DataFrame:
-    """One row per column and probability: ``feature``, ``prob``, ``quantile``.
-
-    A percentile sketch brackets every wanted rank (whole range for short columns). A second pass
-    counts the values below each bracket and keeps only those inside, counted before the shuffle:
-    about two thousandths of the rows are ordered, whatever the distribution.
-    ``positions`` replaces the linear positions by other functions of the row count near them.
-    """
-    places = positions or [linear_position(p) for p in probs]
-    edges = [min(max(p + side * _MARGIN, 0.0), 1.0) for p in probs for side in (-1, 1)]
-    numeric = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    cells = [(i, j) for i in range(len(columns)) for j in range(len(probs))]
-    sketch = numeric.agg(
-        *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))],
-        *[F.percentile_approx(f"c{i}", edges, ACCURACY).alias(f"e{i}") for i in range(len(columns))],
-        *[F.min(f"c{i}").alias(f"min{i}") for i in range(len(columns))],
-        *[F.max(f"c{i}").alias(f"max{i}") for i in range(len(columns))],
-    )
-
-    def edge(i: int, whole: str, place: int, name: str) -> Column:
-        short = F.col(f"n{i}") <= ACCURACY
-        return F.when(short, F.col(f"{whole}{i}")).otherwise(F.col(f"e{i}")[place]).alias(name)
-
-    brackets = sketch.select(
-        F.struct(
-            *[edge(i, "min", 2 * j, f"low{i}_{j}") for i, j in cells],
-            *[edge(i, "max", 2 * j + 1, f"high{i}_{j}") for i, j in cells],
-        )
-    ).scalar()
-    marked = numeric.withColumn("_s", brackets)
-
-    def low_edge(i: int, j: int) -> Column:
-        return F.col(f"_s.low{i}_{j}")
-
-    def within(i: int, j: int) -> Column:
-        return F.col(f"c{i}").between(low_edge(i, j), F.col(f"_s.high{i}_{j}"))
-
-    below = marked.agg(
-        *[F.count_if(F.col(f"c{i}") < low_edge(i, j)).alias(f"b{i}_{j}") for i, j in cells],
-        *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))],
-    )
-    starts = below.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"b{i}_{j}").alias("below"),
-                        places[j](F.col(f"n{i}")).cast("double").alias("position"),
-                    )
-                    for i, j in cells
-                ]
+@dataclass
+class _Cell:
+    """A wanted position of one column and the bracket of values known to hold it."""
+
+    column: int
+    prob: int
+    position: float
+    kept: int
+    values: int
+    below: int = 0
+    low: float | None = None
+    high: float | None = None
+    margin: float = _MARGIN
+
+    @property
+    def value(self) -> Column:
+        return F.col(f"c{self.column}")
+
+    def within(self) -> Column:
+        if self.low is None:
+            return self.value.isNotNull()
+        return F.coalesce(self.value.between(F.lit(self.low), F.lit(self.high)), F.lit(False))
+
+    def edges(self) -> list[float]:
+        """Shares of the bracket's rows between which the position lies."""
+        last = max(self.kept - 1, 1)
+        lower = (math.floor(self.position) - self.below) / last - self.margin
+        upper = (math.ceil(self.position) - self.below) / last + self.margin
+        return [min(max(lower, 0.0), 1.0), min(max(upper, 0.0), 1.0)]
+
+
+def _narrow(numeric: DataFrame, cells: list[_Cell]) -> None:
+    """Take a sketch inside every bracket, count the proposed bracket and accept it if it holds the rank."""
+    shared: dict[tuple, list[_Cell]] = {}
+    for cell in cells:
+        shared.setdefault((cell.column, cell.low, cell.high), []).append(cell)
+    groups = list(shared.values())
+    sketches = numeric.agg(
+        *[
+            F.percentile_approx(
+                F.when(group[0].within(), group[0].value), [e for cell in group for e in cell.edges()], ACCURACY
+            )
+            for group in groups
+        ]
+    ).first()
+    proposed = []
+    for group, marks in zip(groups, sketches):
+        for place, cell in enumerate(group):
+            low, high = marks[2 * place], marks[2 * place + 1]
+            proposed.append(_Cell(cell.column, cell.prob, cell.position, 0, 0, 0, low, high))
+    counts = numeric.agg(
+        *[
+            figure
+            for cell in proposed
+            for figure in (
+                F.count_if(cell.value < F.lit(cell.low)),
+                F.count_if(cell.within()),
+                F.approx_count_distinct(F.when(cell.within(), cell.value)),
             )
-        ).alias("s")
-    ).select("s.*")
-
-    def candidate(i: int, j: int) -> Column:
-        row = F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}").alias("value"))
-        return F.when(within(i, j), row)
-
-    # Almost all rows lie in no bracket and leave before the explode.
-    kept = (
-        marked.filter(reduce(or_, [F.coalesce(within(i, j), F.lit(False)) for i, j in cells]))
-        .select(F.explode(F.array(*[candidate(i, j) for i, j in cells])).alias("k"))
-        .filter(F.col("k").isNotNull())
+        ]
+    ).first()
+    in_order = [cell for group in groups for cell in group]
+    for place, (cell, narrow) in enumerate(zip(in_order, proposed)):
+        below, kept, values = counts[3 * place:3 * place + 3]
+        if below <= math.floor(cell.position) and math.ceil(cell.position) < below + kept:
+            cell.low, cell.high, cell.below, cell.kept, cell.values = narrow.low, narrow.high, below, kept, values
+            cell.margin = _MARGIN
+        elif cell.margin >= 1.0:
+            raise ArithmeticError("the input of a quantile changed between two passes")
+        else:
+            cell.margin *= 4
+
+
+def _ordered(numeric: DataFrame, cells: list[_Cell]) -> dict[tuple[int, int], tuple[float, float]]:
+    """The values at the two ranks around every position; each bracket holds few different values."""
+    if not cells:
+        return {}
+
+    def candidate(cell: _Cell) -> Column:
+        row = F.struct(F.lit(cell.column).alias("i"), F.lit(cell.prob).alias("j"), cell.value.alias("value"))
+        return F.when(cell.within(), row)
+
+    # Rows in no bracket leave before the explode, repeated values are counted before the shuffle.
+    counted = (
+        numeric.filter(reduce(or_, [cell.within() for cell in cells]))
+        .select(F.explode(F.array_compact(F.array(*[candidate(cell) for cell in cells]))).alias("k"))
         .select("k.*")
         .groupBy("i", "j", "value")
         .agg(F.count("*").alias("n"))
     )
-    in_order = Window.partitionBy("i", "j").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    through = F.sum("n").over(
+        Window.partitionBy("i", "j").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = kept.withColumn("through", F.sum("n").over(in_order)).join(starts, ["i", "j"])
-    first = F.col("below") + F.col("through") - F.col("n")
-    last = F.col("below") + F.col("through") - 1
-    low_rank, high_rank = F.floor("position"), F.ceil("position")
+
+    def looked_up(figure: Callable[[_Cell], int]) -> Column:
+        entries = [part for cell in cells for part in (F.lit(cell.column * 1_000 + cell.prob), F.lit(figure(cell)))]
+        return F.create_map(*entries)[F.col("i") * 1_000 + F.col("j")].cast("long")
+
+    last = F.col("through")
+    first = last - F.col("n")
+    low_rank = looked_up(lambda cell: math.floor(cell.position) - cell.below)
+    high_rank = looked_up(lambda cell: math.ceil(cell.position) - cell.below)
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank <= last), F.col("value")))
+        return F.max(F.when((first <= rank) & (rank < last), F.col("value")))
 
-    low, high = F.col("low"), F.col("high")
-    names = F.array(*[F.lit(c) for c in columns])
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return (
-        placed.groupBy("i", "j", "position")
+    rows = (
+        counted.withColumn("through", through)
+        .groupBy("i", "j")
         .agg(at(low_rank).alias("low"), at(high_rank).alias("high"))
-        .select(
-            names[F.col("i")].alias("feature"),
-            wanted[F.col("j")].alias("prob"),
-            (low + (high - low) * (F.col("position") - low_rank)).alias("quantile"),
-        )
+        .collect()
     )
+    return {(row.i, row.j): (row.low, row.high) for row in rows}
+
+
+def exact_quantiles(
+    df: DataFrame,
+    columns: list[str],
+    probs: list[float],
+    positions: list[Callable[[int], float]] | None = None,
+    hold: int = HOLD,
+) -> DataFrame:
+    """One row per column and probability: ``feature``, ``prob``, ``quantile``; none for empty columns.
+
+    A bracket around every wanted rank starts as the whole column. While it holds more than about
+    ``hold`` different values, a percentile sketch of the rows inside proposes a narrower one and a
+    second pass counts the rows below and inside; a proposal that misses the rank is widened and taken
+    again. Each round keeps about two thousandths of a bracket's rows, so no step orders more than
+    ``hold`` values however long the input is. ``positions`` replaces the linear positions by other
+    functions of the row count. Runs jobs when called: stage an input that is costly to compute.
+    """
+    places = positions or [linear_position(p) for p in probs]
+    numeric = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    sizes = numeric.agg(*[F.count(f"c{i}") for i in range(len(columns))]).first()
+    cells = [
+        _Cell(i, j, float(places[j](n)), n, n) for i, n in enumerate(sizes) if n for j in range(len(probs))
+    ]
+    wide = [cell for cell in cells if cell.values > hold]
+    while wide:
+        _narrow(numeric, wide)
+        wide = [cell for cell in wide if cell.values > hold]
+    single = [cell for cell in cells if cell.low is not None and cell.low == cell.high]
+    found = {(cell.column, cell.prob): (cell.low, cell.high) for cell in single}
+    found.update(_ordered(numeric, [cell for cell in cells if (cell.column, cell.prob) not in found]))
+    rows = []
+    for cell in cells:
+        low, high = found[cell.column, cell.prob]
+        part = cell.position - math.floor(cell.position)
+        rows.append((columns[cell.column], float(probs[cell.prob]), low + (high - low) * part))
+    return df.sparkSession.createDataFrame(rows, "feature string, prob double, quantile double")

@@ -169,7 +169,7 @@ def index_percentiles(df: DataFrame, column: str) -> DataFrame:
     kind = df.schema[column].dataType
     rows = exact_quantiles(
         df, [column], [0.5, 0.95],
-        [lambda n: F.floor(n / 2), lambda n: F.least(F.floor(n * 0.95), n - 1)],
+        [lambda n: n // 2, lambda n: min(int(n * 0.95), n - 1)],
     )
     return rows.agg(
         F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).cast(kind).alias("p50"),

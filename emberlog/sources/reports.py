@@ -11,7 +11,10 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    _flat(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """Header and rows; white space at the ends of a value is kept."""
+    _flat(df).write.mode(mode).csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -23,7 +23,7 @@ from emberlog.operators.features import row_features
 from emberlog.operators.normalize import normalize_lines
 from emberlog.operators.tagging import tag_events
 from emberlog.session import new_stage_path
-from emberlog.sources.event_table import current_events
+from emberlog.sources.event_table import current_events, read_feedback
 
 NEWEST_FOR_CHAINS = 100
 
@@ -55,10 +55,26 @@ def critical_alerts(events: DataFrame) -> DataFrame:
 
 
 def overlay_feedback(events: DataFrame, feedback: DataFrame, id_col: str = "id") -> DataFrame:
-    """Stream of events joined with the static feedback table."""
+    """Stream of events joined with the feedback table as it is when the stream starts.
+
+    Marks that arrive later are seen by ``overlaid_batches``.
+    """
     return current_events(events, feedback, id_col)
 
 
+def overlaid_batches(feedback_path: str, path: str, id_col: str = "id") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` step: lay the feedback over each batch as the table is at that time.
+
+    Rows already written keep their flag; a retried batch overwrites its own folder.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        feedback = read_feedback(batch.sparkSession, feedback_path)
+        current_events(batch, feedback, id_col).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return step
+
+
 def windowed_rate(
     events: DataFrame, ts_col: str = "event_ts", length: str = "60 seconds",
     slide: str | None = None, delay: str = "2 minutes",
@@ -98,8 +114,16 @@ def metric_partials(events: DataFrame) -> DataFrame:
     )
 
 
-def merged_metrics(partials: DataFrame) -> DataFrame:
-    """The metrics row from stored partials (false positives come from the feedback table)."""
+def merged_metrics(partials: DataFrame, feedback: DataFrame | None = None) -> DataFrame:
+    """The metrics row from partials and the feedback table, which holds marks of existing events only.
+
+    Of rows carried by ``running_metrics`` (with a ``batch_id``) the latest batch counts: it has the totals.
+    """
+    if "batch_id" in partials.columns:
+        latest = partials.agg(F.max("batch_id")).scalar()
+        partials = partials.filter(F.col("batch_id") == latest)
+    blocked = feedback.agg(F.count_distinct("event_id")).scalar() if feedback is not None else F.lit(0)
+
     def top(column: str):
         rows = partials.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum("n").alias("n"))
         return rows.orderBy(F.desc("n"), column).limit(1).select(column).scalar()
@@ -113,7 +137,8 @@ def merged_metrics(partials: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("technique_id").isNotNull(), F.col("n"))), F.lit(0)).alias("mitre_tagged"),
         F.sum("score_sum").alias("_sum"),
     ).select(
-        "total_events", "total_anomalies", "critical_events", "high_events", "mitre_tagged",
+        "total_events", "total_anomalies", blocked.alias("false_positives_blocked"),
+        "critical_events", "high_events", "mitre_tagged",
         F.when(total > 0, F.round(tagged / total * 100, 1)).otherwise(F.lit(0.0)).alias("mitre_tag_rate"),
         F.when(F.col("total_anomalies") > 0, F.round(F.col("_sum") / F.col("total_anomalies"), 3))
         .otherwise(F.lit(0.0)).alias("avg_anomaly_score"),
@@ -122,11 +147,35 @@ def merged_metrics(partials: DataFrame) -> DataFrame:
     )
 
 
-def running_metrics(partials_path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` step: store the batch's partials under its batch id, so a retry overwrites."""
+def _write_slot(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Carry rows to the next batch in one of two folders.
+
+    A batch reads the other folder than it writes, so a retry finds its input unchanged and nothing piles up.
+    """
+    rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
+
+
+def _read_slot(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    return spark.read.parquet(f"{path}/slot={batch_id % 2}").drop("batch_id")
+
+
+def running_metrics(totals_path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` step: add the batch's figures to the totals per address and technique.
+
+    ``merged_metrics(spark.read.parquet(totals_path), feedback)`` is the metrics row at any time.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        metric_partials(batch).write.mode("overwrite").parquet(f"{partials_path}/batch_id={batch_id}")
+        totals = metric_partials(batch)
+        if batch_id > 0:
+            earlier = _read_slot(batch.sparkSession, totals_path, batch_id - 1)
+            figures = [c for c in totals.columns if c not in ("source_ip", "technique_id")]
+            totals = (
+                totals.unionByName(earlier)
+                .groupBy("source_ip", "technique_id")
+                .agg(*[F.sum(c).alias(c) for c in figures])
+            )
+        _write_slot(totals, totals_path, batch_id)
 
     return step
 
@@ -143,12 +192,11 @@ def running_kill_chains(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(*wanted).orderBy(F.desc("id")).limit(newest)
-        earlier = f"{newest_path}/batch_id={batch_id - 1}"
         if batch_id > 0:
-            rows = rows.unionByName(spark.read.parquet(earlier)).orderBy(F.desc("id")).limit(newest)
-        current = f"{newest_path}/batch_id={batch_id}"
-        rows.coalesce(1).write.mode("overwrite").parquet(current)
-        alerts = kill_chains(component_keys(correlation_nodes(spark.read.parquet(current))))
+            earlier = _read_slot(spark, newest_path, batch_id - 1)
+            rows = rows.unionByName(earlier).orderBy(F.desc("id")).limit(newest)
+        _write_slot(rows.coalesce(1), newest_path, batch_id)
+        alerts = kill_chains(component_keys(correlation_nodes(_read_slot(spark, newest_path, batch_id))))
         alerts.coalesce(1).write.mode("overwrite").parquet(f"{alerts_path}/batch_id={batch_id}")
 
     return step

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,15 @@ def test_evaluation_is_safe_on_empty_cells(spark):
     row = evaluate(rows).first()
     assert (row.precision, row.recall, row.f1_score, row.fp_rate) == (0.0, 0.0, 0.0, 0.0)
     assert compare_methods(rows, {"m": "is_anomaly"}).first().flagged == 0
+
+
+def test_quantiles_narrow_their_brackets_until_few_values_are_ordered(spark):
+    """Ties at the edges, heavy tails and one repeated value, with brackets far below the row count."""
+    values = [0.0] * 3000 + [float(2 ** (i % 900)) for i in range(4000)] + [1.5 + i / 7 for i in range(3000)] + [7.0] * 2000
+    frame = spark.createDataFrame([(v, 5.0, None) for v in values], "a double, b double, c double").repartition(5)
+    probs = [0.0, 0.25, 0.3, 0.5, 0.83, 0.95, 1.0]
+    got = {(r.feature, r.prob): r.quantile for r in exact_quantiles(frame, ["a", "b", "c"], probs, hold=8).collect()}
+    for prob in probs:
+        assert got["a", prob] == np.quantile(values, prob)
+        assert got["b", prob] == 5.0
+    assert not [key for key in got if key[0] == "c"]
