@@ -3,7 +3,7 @@
 Words are summed per source; every source gets a target share of all words by its weight, but at most
 ``cap`` times what it has, the excess going to the others by weight. A document is emitted
 floor(target / size of the source) times, and once more with the fraction as probability; the draw is a
-hash of the document and the seed, so reruns agree.
+hash of the document and the seed, turned by its source's shift, so reruns agree.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,8 @@ from emberlog.session import stage
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
+#: Turns of the draws among which each source chooses the one that meets its target best.
+SHIFTS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -54,16 +56,41 @@ def source_rates(sized: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) ->
     return ranked.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def with_copies(docs: DataFrame, rates: DataFrame, seed: int = 11) -> DataFrame:
-    """``docs`` (source, _draw and more) with the columns of ``rates`` and ``copies``."""
-    left = docs.withColumn("_source", F.col("source"))
-    joined = left.join(rates.withColumnRenamed("source", "_of"), F.col("_source").eqNullSafe(F.col("_of")))
-    extra = F.when(F.col("_draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return joined.withColumn("copies", (F.floor("rate") + extra).cast("long")).drop("_source", "_of", "_draw")
+def _of_source(rows: DataFrame, rates: DataFrame, source: Column) -> DataFrame:
+    """``rows`` with the columns of ``rates`` but the source; null is a source."""
+    return rows.withColumn("_source", source).join(
+        rates.withColumnRenamed("source", "_of"), F.col("_source").eqNullSafe(F.col("_of"))
+    ).drop("_source", "_of")
+
+
+def _extra(draw: Column, rate: Column, shift: Column) -> Column:
+    """1 for the documents that get one copy more; a shift turns all draws of a source round the unit circle."""
+    return F.when(F.pmod(draw + shift / float(SHIFTS), F.lit(1.0)) < rate - F.floor(rate), 1).otherwise(0)
+
+
+def with_shifts(sized: DataFrame, rates: DataFrame) -> DataFrame:
+    """``rates`` with ``shift``, from ``sized`` (source, size, _draw).
+
+    Every shift gives each document the fraction as its probability. A source takes the one of SHIFTS by
+    which its words come nearest to its target, so that few or very unequal documents do not miss it.
+    """
+    drawn = _of_source(sized.select("source", "size", "_draw"), rates, F.col("source"))
+    missing = F.max(F.col("target") - F.floor("rate") * F.col("source_size"))
+    apart = [
+        F.abs(F.sum(_extra(F.col("_draw"), F.col("rate"), F.lit(k)) * F.col("size")) - missing) for k in range(SHIFTS)
+    ]
+    nearest = F.array_min(F.array(*[F.struct(d.alias("apart"), F.lit(k).alias("shift")) for k, d in enumerate(apart)]))
+    kept = [F.max(c).alias(c) for c in ("source_size", "target", "rate")]
+    return stage(drawn.groupBy("source").agg(*kept, nearest["shift"].alias("shift")), "source-rates")
+
+
+def copies() -> Column:
+    """How often a document with ``_draw`` and its source's ``rate`` and ``shift`` is emitted."""
+    return (F.floor("rate") + _extra(F.col("_draw"), F.col("rate"), F.col("shift"))).cast("long")
 
 
 def mixture_plan(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies and taken of every document.
+    """doc_id, source, size, source_size, target, rate, shift, copies and taken of every document.
 
     Null text has size 0; a null source is a source of its own, the last one. Rows equal in id and text
     get the same draw. An empty table gives an empty result. Other columns of ``docs`` are not read.
@@ -75,17 +102,18 @@ def mixture_plan(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed
         ),
         "sized",
     )
-    planned = with_copies(sized, source_rates(sized, weights, cap))
+    rates = with_shifts(sized, source_rates(sized, weights, cap))
+    planned = _of_source(sized, rates, F.col("source")).withColumn("copies", copies()).drop("_draw")
     return planned.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: int = 11) -> DataFrame:
     """The mixed corpus: every document as often as its rate and draw say, columns unchanged."""
-    columns = docs.columns
-    rates = source_rates(docs.select("source", word_count(F.col("text")).alias("size")), weights, cap)
-    rates = rates.select(F.col("source").alias("_of"), "rate")
-    left = docs.withColumn("_draw", draw(F.col("doc_id"), F.col("text"), seed))
-    joined = left.join(rates.withColumnRenamed("rate", "_rate"), F.col("source").eqNullSafe(F.col("_of")))
-    extra = F.when(F.col("_draw") < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    times = (F.floor("_rate") + extra).cast("int")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*columns)
+    row = docs.select(F.struct(*docs.columns).alias("_row"))
+    drawn = row.withColumn("_draw", draw(F.col("_row.doc_id"), F.col("_row.text"), seed))
+    sized = stage(
+        drawn.select(F.col("_row.source").alias("source"), word_count(F.col("_row.text")).alias("size"), "_draw"), "sized"
+    )
+    rates = with_shifts(sized, source_rates(sized, weights, cap))
+    planned = _of_source(drawn, rates, F.col("_row.source"))
+    return planned.select("_row", F.explode(F.array_repeat(F.lit(1), copies().cast("int")))).select("_row.*")

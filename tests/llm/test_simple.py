@@ -85,9 +85,21 @@ def test_mixture_comes_near_its_targets(spark):
         "id as doc_id", "repeat('w ', cast(1 + id % 50 as int)) as text", "concat('s', id % 5) as source"
     )
     got = mixing.mixture_plan(docs).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(r["sum(taken)"] == pytest.approx(r["max(target)"], rel=0.005) for r in got)
+    few = docs.selectExpr("doc_id", "repeat('w ', cast(if(doc_id % 97 = 0, 900, 1 + doc_id % 9) as int)) as text",
+                          "concat('s', doc_id % 20) as source").filter("doc_id < 10000")
+    got = mixing.mixture_plan(few).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
     assert all(r["sum(taken)"] == pytest.approx(r["max(target)"], rel=0.05) for r in got)
 
 
+def test_mixing_leaves_columns_of_any_name_alone(spark):
+    names = ["_draw", "_rate", "_of", "rate", "shift", "copies", "size"]
+    docs = spark.createDataFrame([(1, "a b", "x", *names), (2, None, None, *names)], ["doc_id", "text", "source", *names])
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    assert {tuple(r)[3:] for r in mixed.collect()} == {tuple(names)}
+
+
 TOKEN = "ghp_" + "a1B2" * 7 + "xy"
 SECRETS = [
     "Password = 'abc_def' token: x1y2z3w4 SECRET=abc api_key:\"aaaaaa", "password=token=abcdef passwd=secret:abcdef",
