@@ -6,12 +6,14 @@ from catalog import base
 from catalog.duck_base import flag_columns, iqr, over, zscore
 from catalog.registry import query
 from emberlog.functions.text import fold_case
-from emberlog.operators import detect, features
+from emberlog.operators import detect, features, normalize
 from emberlog.operators.quantiles import exact_quantiles
 from emberlog.schema import FEATURE_COLUMNS
 from emberlog.session import new_stage_path
 from emberlog.sources import reports
 
+#: The year of the events table, for texts without one.
+TABLE_YEAR = 2024
 _META = "anomaly_label, _source_ip, _message, _severity, _format, _timestamp, _raw"
 
 
@@ -88,6 +90,28 @@ def timed_event_rate(spark, sf):
     )
 
 
+@query("event_time_of_text", over(
+    "parsed",
+    "SELECT seq, CASE WHEN format <> 'unknown' THEN strftime(event_ts, '%Y-%m-%d %H:%M:%S') END AS event_time FROM parsed",
+))
+def event_time_of_text(spark, sf):
+    timed = normalize.with_event_time(base.parsed(spark, sf), TABLE_YEAR)
+    return timed.select("seq", F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss").alias("event_time"))
+
+
+@query("timed_event_rate_of_text", over(
+    "parsed",
+    "SELECT seq, source_ip, CASE WHEN s IS NOT NULL THEN count(*) OVER (PARTITION BY source_ip, s IS NULL ORDER BY s "
+    "RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) END AS timed_event_rate FROM (SELECT *, "
+    "CASE WHEN format <> 'unknown' THEN epoch(date_trunc('second', event_ts)) END AS s FROM parsed)",
+))
+def timed_event_rate_of_text(spark, sf):
+    timed = normalize.with_event_time(base.parsed(spark, sf), TABLE_YEAR)
+    return features.timed_event_rate(timed.select("seq", "source_ip", "event_ts")).select(
+        "seq", "source_ip", "timed_event_rate"
+    )
+
+
 @query("content_flags_of_documents", f"SELECT doc_id, {flag_columns('text')} FROM documents")
 def content_flags_of_documents(spark, sf):
     docs = base.spread(base.table(spark, sf, "documents").select("doc_id", "text"))

@@ -12,6 +12,7 @@ from emberlog.functions.text import (
     lookup,
     strip_space,
 )
+from emberlog.functions.times import event_time
 
 _JSON_KEYS = P.JSON_TIMESTAMP_KEYS + P.JSON_SEVERITY_KEYS + P.JSON_IP_KEYS + P.JSON_MESSAGE_KEYS
 _JSON_TYPE = "array<struct<" + ",".join(f"`{key}`:string" for key in _JSON_KEYS) + ">>"
@@ -243,6 +244,15 @@ def normalize_export_records(
     )
 
 
+def with_event_time(parsed: DataFrame, assumed_year: int = 1970) -> DataFrame:
+    """``parsed`` with ``event_ts``, the time that the text in ``timestamp`` stands for; an earlier one is replaced.
+
+    NULL where no layout fits; such rows stay. Syslog text carries no year: ``assumed_year`` is taken.
+    """
+    timed = parsed.withColumn("event_ts", event_time(F.col("timestamp"), assumed_year))
+    return once(timed, "event_ts")
+
+
 def parse_rate_report(parsed: DataFrame) -> DataFrame:
     """Rows and share per format, in percent of all rows."""
     counts = parsed.groupBy("format").agg(F.count("*").alias("n_lines"))

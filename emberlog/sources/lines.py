@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from emberlog.functions.text import strip_space
-from emberlog.operators.normalize import normalize_export_records, normalize_lines
+from emberlog.operators.normalize import normalize_export_records, normalize_lines, with_event_time
 
 # Where a new export record starts.
 RECORD_SEPARATOR = "Event["
@@ -142,25 +142,30 @@ def read_sources(
     line_paths: list[str] = (),
     export_paths: list[str] = (),
     profile: str = "A",
+    assumed_year: int | None = None,
 ) -> DataFrame:
     """Parsed events of a source selection with a dense ``seq``; nothing stored is deleted.
 
     ``sample`` reads line logs, ``real`` export records, ``combined`` the lines first and then the
-    records.
+    records. With ``assumed_year`` (that of texts without a year), ``event_ts`` is read from the text too.
     """
     if mode not in CONTAMINATION:
         raise ValueError(f"mode must be one of {sorted(CONTAMINATION)}, not {mode!r}")
+
+    def timed(events: DataFrame) -> DataFrame:
+        return events if assumed_year is None else with_event_time(events, assumed_year)
+
     lines = normalize_lines(read_lines(spark, list(line_paths)))
     if mode == "sample":
-        return lines
+        return timed(lines)
     records = normalize_export_records(
         read_export_records(spark, list(export_paths)), profile=profile
     )
     dense = densify(records)
     if mode == "real":
-        return dense
+        return timed(dense)
     n_lines = lines.agg(F.count("*")).scalar()
-    return lines.unionByName(dense.withColumn("seq", F.col("seq") + n_lines))
+    return timed(lines.unionByName(dense.withColumn("seq", F.col("seq") + n_lines)))
 
 
 def densify(rows: DataFrame, seq_col: str = "seq", block: int = 65_536) -> DataFrame:

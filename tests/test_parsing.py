@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from emberlog.constants.attack_rules import RULES, WORD_BOUNDED_RULES, Rule
 from emberlog.functions import event_time, hour_of_day, is_weekend, matches
 from emberlog.functions.text import fold_case, required_literal, search
-from emberlog.operators.normalize import normalize_export_records, normalize_lines
+from emberlog.operators.normalize import normalize_export_records, normalize_lines, with_event_time
 from emberlog.operators.tagging import rules_from_table, tag_events
 
 
@@ -141,3 +141,17 @@ def test_search_equals_the_plain_regular_expression(spark):
         wrong = [patterns[i] for i in range(len(patterns)) if not row[f"c{i}"]]
         assert not wrong, (row.t, wrong)
     assert required_literal(r"sql.?inject") == ("inject", False)
+
+
+def test_event_time_of_text(spark):
+    texts = ["Feb 29 01:02:03", "10/Oct/2023:23:59:59 +0200", "2023-10-10 09:08:07", "2023-10-10T09:08:07Z", "unknown", None]
+    rows = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "seq int, timestamp string, event_ts string")
+
+    def times(year):
+        got = with_event_time(rows, year).selectExpr("seq", "date_format(event_ts, 'yyyy-MM-dd HH:mm:ss') t").collect()
+        return [t for _, t in sorted(got)]
+
+    assert times(2024) == [
+        "2024-02-29 01:02:03", "2023-10-10 21:59:59", "2023-10-10 09:08:07", "2023-10-10 09:08:07", None, None
+    ]
+    assert times(2023)[0] is None
