@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction.
 
 Fixed expressions find e-mail addresses, network addresses, card and phone numbers. Tokens that these spans
-cover are seeds; a seed's neighbouring word together with the token's shape is a lexical pattern. Patterns and
-the tokens found in them form a graph that is scored in rounds: a pattern is as trusted as the tokens it
-holds (all of them, seeds or not), a token as its best pattern. Tokens in highly trusted patterns become spans too.
+cover are seeds; the word before a token, the word after it, and both together are its lexical patterns, whatever
+the token looks like. Patterns and the tokens found in them form a graph that is scored in rounds: a pattern is as
+trusted as the tokens it holds (all of them, seeds or not), a token as its best pattern. Tokens in highly trusted
+patterns become spans too.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,11 @@ IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.|$)){4}$"
 #: Whole runs of 16 to 19 digits with single separators.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Words that may be identifiers: six characters or more, a digit or an at sign among them.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]{6,}+"
+#: Words that may be identifiers: six characters or more, with a digit, an at sign, or a dot, hyphen or underscore
+#: between two other characters.
+CANDIDATE = (
+    r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@]|[A-Za-z]++[._-][A-Za-z])[^\x20\x09-\x0D]{6,}+"
+)
 
 #: Characters on each side of a candidate in which its neighbouring word is looked for.
 CONTEXT = 48
@@ -120,10 +124,19 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, of(1, IP, lambda h: h.rlike(IP_PARTS)), of(2, CARD, lambda h: luhn(digits(h))), phone)
 
 
-def shape(token: Column) -> Column:
-    """Letters as one ``a`` per run, digits as their number, other characters as they are."""
-    bare = F.regexp_replace(token, r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"\p{L}+", "a"), "[0-9]", "9")
+def bare(token: Column) -> Column:
+    """A token without the punctuation around it."""
+    return F.regexp_replace(token, r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
+
+
+def lexical_patterns(left: Column, right: Column) -> Column:
+    """The patterns of the words around a token: left, right, both; a side without a word gives none."""
+    sides = F.array(
+        F.when(left != "", F.concat(F.lit("L "), left)),
+        F.when(right != "", F.concat(F.lit("R "), right)),
+        F.when((left != "") & (right != ""), F.concat(F.lit("B "), left, F.lit(" "), right)),
+    )
+    return F.array_compact(sides)
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
@@ -137,9 +150,8 @@ def _candidates(docs: DataFrame) -> DataFrame:
     def described(m: Column) -> Column:
         left = F.lower(F.regexp_extract(m["left"], r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
         right = F.lower(F.regexp_extract(m["right"], r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
-        token = F.when(F.length(m["hit"]) <= TOKEN_CHARS, m["hit"]).otherwise(F.sha2(m["hit"], 256))
-        form = F.substr(shape(F.left(m["hit"], F.lit(TOKEN_CHARS))), F.lit(1), F.lit(TOKEN_CHARS))
-        patterns = F.array(F.concat(F.lit("L "), left, F.lit(" "), form), F.concat(F.lit("R "), right, F.lit(" "), form))
+        token = bare(F.when(F.length(m["hit"]) <= TOKEN_CHARS, m["hit"]).otherwise(F.sha2(m["hit"], 256)))
+        patterns = lexical_patterns(left, right)
         covered = F.exists("_spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
         return F.struct(m["start"], m["end"], token.alias("token"), patterns.alias("patterns"), covered.alias("seed"))
 

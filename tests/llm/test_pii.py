@@ -56,3 +56,16 @@ def test_patterns_find_unseen_identifiers(spark):
     got = {r.doc_id: r for r in _same(spark.createDataFrame(rows, "doc_id bigint, text string"))}
     assert got[900].spans == "learned:19:35" and got[900].n_card == 0
     assert got[901].spans == "" and got[902].spans == ""
+
+
+OTHER = ["4000-000000-00002", "0171-5551234", "DE89370400440532013000", "123-45-6789", "jane_doe"]
+
+
+def test_patterns_reach_other_shapes(spark):
+    cards = [v for v in (str(4 * 10**15 + 7 * k) for k in range(4000)) if brute.luhn(v)][:80]
+    rows = [(i, f"words {i} before, card {v} for words {i} after") for i, v in enumerate(cards)]
+    rows += [(900 + i, f"other words, card {token} and more") for i, token in enumerate(OTHER)]
+    rows += [(950 + i, f"version {token} of the tool") for i, token in enumerate(OTHER)]
+    got = {r.doc_id: r for r in _same(spark.createDataFrame(rows, "doc_id bigint, text string"))}
+    for i, token in enumerate(OTHER):
+        assert got[900 + i].spans == f"learned:18:{18 + len(token)}" and got[950 + i].spans == ""
