@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction.
 
 Fixed expressions find e-mail addresses, network addresses, card and phone numbers. Tokens that these spans
-cover are seeds; the word before a token, the word after it, and both together are its lexical patterns, whatever
-the token looks like. Patterns and the tokens found in them form a graph that is scored in rounds: a pattern is as
+find are seeds, however many words they have; the word before a token, the word after it, and both together are its
+lexical patterns, whatever the token looks like. Patterns and the tokens found in them form a graph that is scored in rounds: a pattern is as
 trusted as the tokens it holds (all of them, seeds or not), a token as its best pattern. Tokens in highly trusted
 patterns become spans too.
 """
@@ -24,8 +24,10 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Words that may be identifiers: six characters or more, with a digit, an at sign, or a dot, hyphen or underscore
 #: between two other characters.
+#: Numbers in two or more groups of under six characters, parted by single blanks, are one identifier.
 CANDIDATE = (
-    r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@]|[A-Za-z]++[._-][A-Za-z])[^\x20\x09-\x0D]{6,}+"
+    r"(?<![^\x20\x09-\x0D])(?:(?=[^\x20\x09-\x0D0-9@]*+[0-9@]|[A-Za-z]++[._-][A-Za-z])[^\x20\x09-\x0D]{6,}+"
+    r"|(?=[0-9()+.\x20-]{6})[(+]?[0-9][0-9().-]{0,4}+(?:\x20[(+]?[0-9][0-9().-]{0,4}+(?![^\x20\x09-\x0D]))++)"
 )
 
 #: Characters on each side of a candidate in which its neighbouring word is looked for.
@@ -66,6 +68,8 @@ def _before(steps: Column) -> Column:
 def matches(text: Column, pattern: str, context: int = 0) -> Column:
     """start, end, hit of the leftmost non-overlapping matches; with ``context``, also the text around.
 
+    That text goes on over one neighbouring match on each side, so a match may be the other's neighbour.
+
     The text between matches comes from splitting by the same expression, so the lengths of both add up to
     positions in code points.
     """
@@ -80,10 +84,12 @@ def matches(text: Column, pattern: str, context: int = 0) -> Column:
                     start = F.get(before, i) + F.length(F.get(gaps, i))
                     fields = [start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("hit")]
                     if context:
-                        fields += [
-                            F.right(F.get(gaps, i), F.lit(context)).alias("left"),
-                            F.left(F.get(gaps, i + 1), F.lit(context)).alias("right"),
-                        ]
+                        n, none = F.lit(context), F.lit("")
+                        left = [F.right(F.get(gaps, i - 1), n), F.get(hits, i - 1)]
+                        right = [F.get(hits, i + 1), F.left(F.get(gaps, i + 2), n)]
+                        left = [*[F.coalesce(x, none) for x in left], F.right(F.get(gaps, i), n)]
+                        right = [F.left(F.get(gaps, i + 1), n), *[F.coalesce(x, none) for x in right]]
+                        fields += [F.right(F.concat(*left), n).alias("left"), F.left(F.concat(*right), n).alias("right")]
                     return F.struct(*fields)
 
                 return F.transform(hits, one)
@@ -108,17 +114,18 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def base_spans(text: Column) -> Column:
-    """start, end, kind (index in KINDS) of the fixed expressions' matches, by kind, then start."""
+def base_matches(text: Column) -> Column:
+    """start, end, hit, left, right, kind (index in KINDS) of the fixed expressions' matches, by kind, then start."""
 
     def digits(hit: Column) -> Column:
         return F.regexp_replace(hit, "[^0-9]", "")
 
     def of(kind: int, pattern: str, good) -> Column:
-        found = F.filter(matches(text, pattern), lambda m: good(m["hit"]))
-        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind")))
+        found = F.filter(matches(text, pattern, CONTEXT), lambda m: good(m["hit"]))
+        return F.transform(found, lambda m: F.struct(*[m[k].alias(k) for k in fields], F.lit(kind).alias("kind")))
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>")
+    fields = ("start", "end", "hit", "left", "right")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,hit:string,left:string,right:string,kind:int>>")
     email = F.when(F.contains(text, F.lit("@")), of(0, EMAIL, lambda h: F.lit(True))).otherwise(none)
     phone = F.when(F.contains(text, F.lit("+")), of(3, PHONE, lambda h: F.length(digits(h)).between(8, 15))).otherwise(none)
     return F.concat(email, of(1, IP, lambda h: h.rlike(IP_PARTS)), of(2, CARD, lambda h: luhn(digits(h))), phone)
@@ -140,23 +147,32 @@ def lexical_patterns(left: Column, right: Column) -> Column:
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """docs' columns but the text, _row, _spans, and _tokens: start, end, token, patterns, seed."""
+    """docs' columns but the text, _row, _spans, and _tokens: start, end, token, patterns, seed.
+
+    Tokens are the base spans (seeds) and the candidates that no base span touches. Neighbours are whole words
+    beside the words that a token touches, so what is glued to a span is no neighbour.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumn("_text", text).withColumns(
-        {"_spans": base_spans(F.col("_text")), "_found": matches(F.col("_text"), CANDIDATE, CONTEXT)}
+        {"_base": base_matches(F.col("_text")), "_found": matches(F.col("_text"), CANDIDATE, CONTEXT)}
     )
-    found = once(found, "_spans", "_found").drop("text", "_text")
+    found = once(found, "_base", "_found").drop("text", "_text")
 
-    def described(m: Column) -> Column:
-        left = F.lower(F.regexp_extract(m["left"], r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-        right = F.lower(F.regexp_extract(m["right"], r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
+    def described(m: Column, seed: bool) -> Column:
+        left = F.lower(F.regexp_extract(m["left"], r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[^\x20\x09-\x0D]*$", 1))
+        right = F.lower(F.regexp_extract(m["right"], r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1))
         token = bare(F.when(F.length(m["hit"]) <= TOKEN_CHARS, m["hit"]).otherwise(F.sha2(m["hit"], 256)))
         patterns = lexical_patterns(left, right)
-        covered = F.exists("_spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-        return F.struct(m["start"], m["end"], token.alias("token"), patterns.alias("patterns"), covered.alias("seed"))
+        return F.struct(m["start"], m["end"], token.alias("token"), patterns.alias("patterns"), F.lit(seed).alias("seed"))
+
+    def free(m: Column) -> Column:
+        return ~F.exists("_base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
 
+    seeds = F.transform("_base", lambda m: described(m, True))
+    others = F.transform(F.filter("_found", free), lambda m: described(m, False))
+    spans = F.transform("_base", lambda m: F.struct(m["start"], m["end"], m["kind"]))
     return stage(
-        found.withColumn("_tokens", F.transform("_found", described)).drop("_found")
+        found.withColumns({"_tokens": F.concat(seeds, others), "_spans": spans}).drop("_found", "_base")
         .withColumn("_row", F.monotonically_increasing_id()),
         "identifiers",
     )

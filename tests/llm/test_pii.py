@@ -69,3 +69,16 @@ def test_patterns_reach_other_shapes(spark):
     got = {r.doc_id: r for r in _same(spark.createDataFrame(rows, "doc_id bigint, text string"))}
     for i, token in enumerate(OTHER):
         assert got[900 + i].spans == f"learned:18:{18 + len(token)}" and got[950 + i].spans == ""
+
+
+def test_contexts_around_whole_spans(spark):
+    phones = [f"+1 (743) 555-{3000 + k}" for k in range(40)]
+    rows = [(i, f"words {i} x call {p} y{i} or more") for i, p in enumerate(phones)]
+    cards = [v for v in (str(4 * 10**15 + 7 * k) for k in range(4000)) if brute.luhn(v)][:40]
+    rows += [(100 + i, f"words, card {v[:4]} {v[4:8]} {v[8:12]} {v[12:]} y{i} more") for i, v in enumerate(cards)]
+    rows += [(900, "please call 0171-5551234 or"), (901, "your card 4000 0000 0000 0003 x"), (902, "dial 0171-5551234 so")]
+    rows += [(910 + i, f"from host10.net {p} done") for i, p in enumerate(phones)]
+    rows += [(990, "via host10.net 0171-5551299 x")]
+    got = {r.doc_id: r for r in _same(spark.createDataFrame(rows, "doc_id bigint, text string"))}
+    assert [got[i].spans for i in (900, 901, 902)] == ["learned:12:24", "learned:10:29", ""]
+    assert got[990].spans == "learned:15:27"
