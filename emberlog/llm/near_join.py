@@ -33,8 +33,9 @@ ship_with_tasks(__name__)
 WIDTH = 3
 PERCENT = 90
 #: Sketches of fewer words also meet in words that no shingle falls in. In longer sketches these words
-#: can be left out: a linked pair differs in less than all words with shingles, but for a chance below 1e-9.
-FEW_WORDS = 12
+#: are left out: a pair just at the threshold, at its band's upper end, loses its only equal word with a chance of
+#: B! / B^(B - 1) that each difference has its own word, times that of an empty last one: 1e-13 at 80 % and B = 32.
+FEW_WORDS = 32
 #: A band's largest size over its smallest.
 BAND = 1.3
 ROWS_OUT = 200_000

@@ -73,3 +73,15 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert got == {**dict.fromkeys(range(1, 6), 1), 7: 7, 8: 7, 9: 7, **dict.fromkeys(range(100, 141), 100)}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_an_empty_word_can_be_the_only_equal_one():
+    import numpy as np
+
+    from emberlog.llm import near_join
+
+    count, starts = 14, near_join.band_starts(80)
+    shingles = [np.uint64((((k % 13) * 2**32 // count + 1 + k) << 32) + k) for k in range(65)]
+    common, only = shingles[:52], shingles[52:]
+    left, right = (np.sort(np.array(common + part, np.uint64)) for part in (only[:7], only[7:]))
+    assert set(near_join.sketch_keys(left, 80, starts)) & set(near_join.sketch_keys(right, 80, starts))
