@@ -137,3 +137,33 @@ def repeats(texts, length=400):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def trie(rows):
+    """Node rows from (conv_id, turn, role, text) rows."""
+    convs = defaultdict(list)
+    for c, t, r, x in rows:
+        if c is not None:
+            convs[c].append((t is not None, t or 0, (r or "").encode(), (x or "").encode()))
+    convs = {c: [(r, x) for _, _, r, x in sorted(v)] for c, v in convs.items()}
+    members, children, ends = defaultdict(list), defaultdict(set), defaultdict(list)
+    for c in sorted(convs):
+        h = zlib.crc32(str(c).encode()) % 9
+        path = tuple(convs.get(c - c % 5, [])[:h] + convs[c][h:])
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+            if d:
+                children[path[: d - 1]].add(path[:d])
+        ends[path].append(c)
+    leaves, saved = defaultdict(int), defaultdict(int)
+    for node in sorted(members, key=len, reverse=True):
+        leaves[node] += not children[node]
+        saved[node] += (len(members[node]) - 1) * (len(node[-1][1]) if node else 0)
+        if node:
+            leaves[node[:-1]] += leaves[node]
+            saved[node[:-1]] += saved[node]
+    return [
+        (m[0], len(n), members[n[:-1]][0] if n else None, len(m), len(children[n]), leaves[n], saved[n],
+         hashlib.sha256(",".join(map(str, ends[n])).encode()).hexdigest())
+        for n, m in members.items()
+    ]
