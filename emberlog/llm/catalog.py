@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import chat, fingerprints, mixing, near_join, packing, pii, quality, scan, sharding, substrings, turn_trie
+from emberlog.llm import chat, collocations, fingerprints, mixing, near_join, packing, pii, quality, scan, sharding, substrings, turn_trie
 from emberlog.llm.frames import document_table
 
 
@@ -50,6 +50,10 @@ def op10_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_report(document_table(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_pair_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(document_table(spark, sf_dir, "lang", "text"))
+
+
 def op13_turn_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -58,7 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_snapshots, op2_source_mixture, op3_context_patterns, op4_secret_scan, op5_differencing_pack, op6_quality_votes,
-        op7_bottom_k, op8_feistel_shards, op9_parity_join, op10_bucket_pointers, op13_turn_bitmaps,
+        op7_bottom_k, op8_feistel_shards, op9_parity_join, op10_bucket_pointers,
+        op11_pair_tiles, op13_turn_bitmaps,
     )
 }
-SQL: dict[str, str] = {"op1_chat_snapshots": chat.CHAT_SQL, "op13_turn_bitmaps": turn_trie.TRIE_SQL}
+SQL: dict[str, str] = {
+    "op1_chat_snapshots": chat.CHAT_SQL, "op11_pair_tiles": collocations.PHRASE_SQL, "op13_turn_bitmaps": turn_trie.TRIE_SQL,
+}

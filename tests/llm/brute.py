@@ -167,3 +167,30 @@ def trie(rows):
          hashlib.sha256(",".join(map(str, ends[n])).encode()).hexdigest())
         for n, m in members.items()
     ]
+
+
+def phrases(rows, least=100, longest=5, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) from (lang, text) rows."""
+    n, f = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + k])) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    found = {key: a for key, a in f.items() if a >= least and len(key[1]) > 1}
+    inside = defaultdict(int)
+    for (lang, g), a in found.items():
+        for k in range(2, len(g)):
+            for i in range(len(g) - k + 1):
+                inside[lang, g[i : i + k]] = max(inside[lang, g[i : i + k]], a)
+    out = defaultdict(list)
+    for (lang, g), a in found.items():
+        cuts = [(1000 * a * n[lang] // (f[lang, g[:k]] * f[lang, g[k:]]), k) for k in range(1, len(g))]
+        score, k = min(cuts)
+        if 100 * inside[lang, g] < 100 * a:
+            out[lang].append((-score, -a, " ".join(g).encode(), f[lang, g[:k]], f[lang, g[k:]]))
+    return [
+        (lang, i, g.decode(), -a, l, r, n[lang], -s)
+        for lang, rest in out.items() for i, (s, a, g, l, r) in enumerate(sorted(rest)[:top], 1)
+    ]
