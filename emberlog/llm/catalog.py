@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import chat, collocations, fingerprints, mixing, near_join, packing, pii, quality, scan, sharding, substrings, turn_trie
+from emberlog.llm import chat, collocations, extraction, fingerprints, mixing, near_join, packing, pii, quality, scan, sharding, substrings, turn_trie
 from emberlog.llm.frames import document_table
 
 
@@ -54,6 +54,10 @@ def op11_pair_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.top_phrases(document_table(spark, sf_dir, "lang", "text"))
 
 
+def op12_dom_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_turn_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -63,7 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_snapshots, op2_source_mixture, op3_context_patterns, op4_secret_scan, op5_differencing_pack, op6_quality_votes,
         op7_bottom_k, op8_feistel_shards, op9_parity_join, op10_bucket_pointers,
-        op11_pair_tiles, op13_turn_bitmaps,
+        op11_pair_tiles, op12_dom_marginals, op13_turn_bitmaps,
     )
 }
 SQL: dict[str, str] = {
