@@ -4,15 +4,17 @@ A sketch is the sorted array of the k smallest distinct shingle hashes. Sketches
 sketch of the whole; two sketches estimate resemblance, containment and the number of distinct shingles.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.once import once
-from emberlog.llm.frames import global_row_numbers, let, words_of
+from emberlog.llm.frames import let, words_of
 from emberlog.session import stage
 
 SHINGLE = 5
 SKETCH = 128
+#: Order of documents: descending id, null last, then two hashes of the text.
+KEY = ["_null", "_down", "_hash1", "_hash2"]
 
 
 def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
@@ -69,20 +71,47 @@ def fingerprint(docs: DataFrame, text: str = "text", k: int = SKETCH) -> DataFra
     return docs.drop("sketch").withColumn("sketch", sketch(F.col(text), k))
 
 
-def _next_in_order(docs: DataFrame) -> DataFrame:
-    """Per different (id, text hash): those of the next document, and how much of its text is wanted.
+def _order_key(doc_id: Column) -> list[Column]:
+    """Columns that ascend as ids descend, null last (~x falls as x rises and never overflows)."""
+    return [doc_id.isNull().alias("_null"), F.coalesce(F.bitwise_not(doc_id), F.lit(0).cast("long")).alias("_down")]
 
-    Order: descending id, then text hash; after the last comes the first. Only narrow columns move.
+
+def _block_starts(keys: DataFrame) -> list[tuple]:
+    """The first key of each block, ascending: one per shuffle partition, so bounded by the session's setting."""
+    spark = keys.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = keys.repartitionByRange(parts, *KEY).select(*KEY, F.spark_partition_id().alias("_part"))
+    firsts = placed.groupBy("_part").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*")
+    return sorted(tuple(row) for row in firsts.collect())
+
+
+def _block_of(starts: list[tuple]) -> Column:
+    """The number of the last block that starts at or before the row's key, by binary search."""
+    keys = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(k, KEY, strict=True)]) for k in starts])
+    own = F.struct(*KEY)
+    jumps = [1 << i for i in reversed(range(len(starts).bit_length()))]
+    step = lambda at, jump: F.when(F.get(keys, at + jump) <= own, at + jump).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, jumps)), F.lit(0), step)
+
+
+def _with_next(texts: DataFrame, starts: list[tuple], k: int) -> DataFrame:
+    """Different texts with their sketch, and the text and sketch of the next one; texts are shuffled once.
+
+    Rows are dealt by blocks of the order. The first row of a block is also lent to the block before it (that of the first block
+    to the last one), so the next row is always in the same block.
     """
-    keys = docs.select("_id", "_hash", "_chars").distinct()
-    ranked = global_row_numbers(keys, [F.col("_id").desc_nulls_last(), F.col("_hash")], "_rank")
-    rows = ranked.count()
-    sender = ranked.select(
-        F.col("_id").alias("_next_id"), F.col("_hash").alias("_next_hash"),
-        F.pmod(F.col("_rank") - 1, F.lit(max(rows, 1))).alias("_rank"),
-    )
-    wanted = F.floor(F.col("_chars") / 2).cast("int").alias("_wanted")
-    return ranked.join(sender, "_rank").select("_id", "_hash", wanted, "_next_id", "_next_hash")
+    last = len(starts) - 1
+    is_first = F.struct(*KEY) == F.get(F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(s, KEY, strict=True)]) for s in starts]), F.col("_block"))
+    before = F.when(F.col("_block") == 0, last).otherwise(F.col("_block") - 1)
+    placed = once(texts.withColumn("_block", _block_of(starts)), "_block")
+    here = F.struct(F.col("_block").alias("_block"), F.lit(False).alias("_lent"))
+    lent = F.struct(before.alias("_block"), F.lit(True).alias("_lent"))
+    dealt = placed.select(
+        *KEY, "_id", "_copies", "_text", F.inline(F.when(is_first, F.array(here, lent)).otherwise(F.array(here)))
+    ).repartition(len(starts), "_block")
+    sketched = once(dealt.withColumn("_own", sketch(F.col("_text"), k)), "_own")
+    order = Window.partitionBy("_block").orderBy("_lent", *KEY)
+    return sketched.withColumns({"_next_text": F.lead("_text").over(order), "_next_own": F.lead("_own").over(order)}).filter("not _lent")
 
 
 def edited_likeness(docs: DataFrame, k: int = SKETCH) -> DataFrame:
@@ -91,37 +120,32 @@ def edited_likeness(docs: DataFrame, k: int = SKETCH) -> DataFrame:
     A document is edited by replacing its second half with the start of the next document's text. Null text
     is empty; null ids are last; documents of one id are ordered by text hash; rows equal in id and
     text all get that document's result. A single document is its own next one. An empty table gives an
-    empty result.
+    empty result. Other columns are not read.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    texts = once(
-        docs.select(F.col("doc_id").alias("_id"), text.alias("_text")).withColumn("_hash", F.xxhash64("_text")), "_hash"
-    )
-    pairs = stage(_next_in_order(texts.withColumn("_chars", F.length("_text"))), "next-document")
-    sends = pairs.select(
-        F.col("_next_id").alias("_from_id"), F.col("_next_hash").alias("_from_hash"), F.col("_id").alias("_to_id"),
-        F.col("_hash").alias("_to_hash"), "_wanted",
-    )
-    sent = (
-        texts.join(sends, F.col("_id").eqNullSafe(F.col("_from_id")) & (F.col("_hash") == F.col("_from_hash")))
-        .select("_to_id", "_to_hash", F.expr("substring(_text, 1, _wanted)").alias("_start"), F.col("_text").alias("_sent_text"))
-        .select("_to_id", "_to_hash", "_start", sketch(F.col("_sent_text"), k).alias("_next_sketch"))
-        .dropDuplicates(["_to_id", "_to_hash"])
-    )
-    met = texts.join(sent, F.col("_id").eqNullSafe(F.col("_to_id")) & (F.col("_hash") == F.col("_to_hash")))
-    chars = F.length("_text")
-    kept = F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 2) as int))")
-    edited = once(
-        met.select("_id", chars.cast("long").alias("n_chars"), "_text", "_next_sketch", F.concat(kept, "_start").alias("_edited")),
-        "_edited",
-    )
-    sketched = once(
-        edited.withColumns({"_own": sketch(F.col("_text"), k), "_new": sketch(F.col("_edited"), k)}), "_own", "_new"
-    )
+    text = F.coalesce(F.col("text"), F.lit("")).alias("_text")
+    texts = docs.select(F.col("doc_id").alias("_id"), text)
+    hashes = [F.xxhash64(F.lit(i), "_text").alias(f"_hash{i}") for i in (1, 2)]
+    texts = once(texts.select("_id", *_order_key(F.col("_id")), *hashes, "_text"), *KEY[2:])
+    counts = stage(texts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_copies")), "document-keys")
+    starts = _block_starts(counts)
+    if counts.filter("_copies > 1").isEmpty():
+        texts = texts.withColumn("_copies", F.lit(1).cast("long"))
+    else:
+        # Equal rows become one, combined before the shuffle, so a row that is there very often stays small.
+        texts = texts.groupBy("_id", *KEY).agg(F.count(F.lit(1)).alias("_copies"), F.first("_text").alias("_text"))
+    if not starts:
+        starts = [(False, 0, 0, 0)]
+    met = _with_next(texts, starts, k)
+    half = F.floor(F.length("_text") / 2).cast("int")
+    edit = F.concat(F.substring("_text", F.lit(1), F.length("_text") - half), F.substring("_next_text", F.lit(1), half))
+    edited = once(met.withColumn("_edited", edit), "_edited")
+    sketched = once(edited.withColumn("_new", sketch(F.col("_edited"), k)), "_new")
     own, new = F.col("_own"), F.col("_new")
-    return sketched.select(
-        F.col("_id").alias("doc_id"), "n_chars", F.sha2("_edited", 256).alias("edited_sha256"),
+    result = sketched.select(
+        F.col("_id").alias("doc_id"), F.length("_text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
         sketch_text(own).alias("fingerprint"), sketch_text(new).alias("edited_fingerprint"),
-        resemblance(own, new, k).alias("near_edited"), resemblance(own, F.col("_next_sketch"), k).alias("near_next"),
-        containment(own, new, k).alias("kept_share"), distinct_shingles(own, k).alias("distinct_shingles"),
+        resemblance(own, new, k).alias("near_edited"), resemblance(own, F.col("_next_own"), k).alias("near_next"),
+        containment(own, new, k).alias("kept_share"), distinct_shingles(own, k).alias("distinct_shingles"), "_copies",
     )
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    return once(result, "near_edited", "near_next", "kept_share").select("*", copies.alias("_copy")).drop("_copy", "_copies")

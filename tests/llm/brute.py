@@ -194,3 +194,33 @@ def phrases(rows, least=100, longest=5, top=2000):
         (lang, i, g.decode(), -a, l, r, n[lang], -s)
         for lang, rest in out.items() for i, (s, a, g, l, r) in enumerate(sorted(rest)[:top], 1)
     ]
+
+
+def edits(rows):
+    """(doc_id, text, edited text, next text) per different row, from (doc_id, text, tie) rows in descending id, null last."""
+    kept = sorted({(d is None, -(d or 0), tie, t or "") for d, t, tie in rows})
+    out = {}
+    for (no_id, d, _, t), (*_, after) in zip(kept, kept[1:] + kept[:1], strict=True):
+        half = len(t) // 2
+        out[None if no_id else -d, t] = (t[: len(t) - half] + after[:half], after)
+    return out
+
+
+def word_shingles(text, width=5):
+    w = words(text)
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def passage_words(texts, length=50):
+    """Per text: words in runs of ``length`` words that start twice or more in all texts."""
+    lists = [words(t) for t in texts]
+    count = Counter(tuple(w[i : i + length]) for w in lists for i in range(len(w) - length + 1))
+    out = []
+    for w in lists:
+        hit = {i + k for i in range(len(w) - length + 1) if count[tuple(w[i : i + length])] > 1 for k in range(length)}
+        out.append(len(hit))
+    return out
