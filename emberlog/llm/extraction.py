@@ -310,9 +310,11 @@ def labelled_pages(htmls: list[str], seed: int = 7) -> list[Page]:
 
 def train(pages: DataFrame) -> Model:
     """The model for a table of pages, fitted on at most TRAIN_PAGES of it, chosen by hash, of at most TRAIN_CHARS characters."""
-    short = pages.filter(F.length("html").between(1, TRAIN_CHARS)).select("html")
-    chosen = short.orderBy(F.xxhash64("html"), "html").limit(TRAIN_PAGES).collect()
-    return fit(labelled_pages([row.html for row in chosen]))
+    short = pages.filter(F.length("html").between(1, TRAIN_CHARS)).select("html", F.xxhash64("html").alias("h"))
+    # The hashes first: whole pages of every task would be too much for the driver.
+    chosen = [row.h for row in short.select("h").distinct().orderBy("h").limit(TRAIN_PAGES).collect()]
+    found = short.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).collect() if chosen else []
+    return fit(labelled_pages([row.html for row in sorted(found)]))
 
 
 def _extractor(model: Model):
