@@ -16,6 +16,13 @@ def _same(frame, rows):
     want = brute.repeats([t for _, t in rows])
     got = substrings.repeat_report(frame).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str((d, *w)) for (d, _), w in zip(rows, want, strict=True))
+    passages = substrings.repeat_report(frame).select("doc_id", "n_passages").collect()
+    long, short = (brute.passage_words([t for _, t in rows], n) for n in (substrings.PASSAGE, substrings.SHARED))
+    ids = [d for d, _ in rows]
+    if len(set(ids)) == len(ids):
+        seen = {r.doc_id: r.n_passages for r in passages}
+        assert all(seen[d] > 0 for d, n in zip(ids, long, strict=True) if n)
+        assert not any(seen[d] for d, n in zip(ids, short, strict=True) if not n)
 
 
 def test_documents(docs, rows):
@@ -38,5 +45,20 @@ def test_copied_passages(spark):
             text = pool[int(rng.integers(0, len(pool)))]
             cut = sorted(rng.integers(0, len(text) + 1, 2)) if rng.random() < 0.6 else (0, len(text))
             parts += [text[cut[0] : cut[1]], "".join(chr(x) for x in rng.integers(97, 122, int(rng.integers(0, 300))))]
-        rows.append((i if i % 50 else None, "".join(parts)))
+        rows.append((i, "".join(parts)))
+    _same(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7), rows)
+
+
+def test_copied_word_passages(spark):
+    rng = np.random.default_rng(8)
+    pool = [[f"{chr(97 + int(x) % 26)}{int(x)}" for x in rng.integers(0, 400, n)] for n in (49, 50, 51, 60, 84, 85, 86, 130, 400)]
+    pool += [["x"] * 120, ["a", "b"] * 60, ["same"] * 49]
+    rows = []
+    for i in range(250):
+        parts = []
+        for _ in range(int(rng.integers(0, 4))):
+            passage = pool[int(rng.integers(0, len(pool)))]
+            cut = sorted(rng.integers(0, len(passage) + 1, 2)) if rng.random() < 0.6 else (0, len(passage))
+            parts += [*passage[cut[0] : cut[1]], *[f"own{int(x)}" for x in rng.integers(0, 10**6, int(rng.integers(0, 40)))]]
+        rows.append((i, [" ", "\n", "\x0b "][i % 3].join(parts)))
     _same(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7), rows)
