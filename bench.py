@@ -21,7 +21,7 @@ from catalog import base  # noqa: E402
 from emberlog.operators import correlate, detect, queries, triage  # noqa: E402
 from emberlog.operators.features import build_features  # noqa: E402
 from emberlog.operators.forest import fit_and_score  # noqa: E402
-from emberlog.operators.lof import lof_detector  # noqa: E402
+from emberlog.operators.lof import NEIGHBOURS, _vectors, find_neighbours, lof_detector  # noqa: E402
 from emberlog.operators.normalize import normalize_lines  # noqa: E402
 from emberlog.operators.quantiles import exact_quantiles  # noqa: E402
 from emberlog.operators.tagging import tag_events  # noqa: E402
@@ -89,6 +89,13 @@ def main():
         for name, _, action in steps(spark, smallest):
             if name != "end_to_end" and (not only or name in only):
                 action()
+    shares = {}
+    if not only:
+        # How the outlier factor's work grows: share of all pairs of vectors that are compared.
+        for place in dict.fromkeys((os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01"), sf_dir)):
+            if os.path.isdir(place):
+                numeric = base.features(spark, place).select(*[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS])
+                shares[os.path.basename(place.rstrip("/"))] = round(find_neighbours(_vectors(numeric, FEATURE_COLUMNS), NEIGHBOURS).share, 4)
     timings, rows = {}, {}
     for name, source, action in steps(spark, sf_dir):
         if only and name not in only:
@@ -110,6 +117,7 @@ def main():
         "unit": "sec",
         "queries": timings,
         "rows_per_second": {name: round(rows[name] / timings[name]) for name in timings},
+        "outlier_factor_pair_share": shares,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }))
 

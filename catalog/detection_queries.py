@@ -254,7 +254,7 @@ def three_vote_ensemble(spark, sf):
     )
 
 
-def _quality_sql(flag: str, source: str) -> str:
+def quality_sql(flag: str, source: str) -> str:
     tp, fp = f"count(*) FILTER ({flag} AND severity_score >= 3)", f"count(*) FILTER ({flag} AND severity_score < 3)"
     fn, tn = f"count(*) FILTER (NOT {flag} AND severity_score >= 3)", f"count(*) FILTER (NOT {flag} AND severity_score < 3)"
     return f"""SELECT total_events, tp + fp AS anomalies_found, tp AS true_positives, fp AS false_positives,
@@ -265,7 +265,7 @@ def _quality_sql(flag: str, source: str) -> str:
       FROM (SELECT count(*) AS total_events, {tp} AS tp, {fp} AS fp, {fn} AS fn, {tn} AS tn FROM {source}))"""
 
 
-@query("evaluate_detector", over("detected", _quality_sql("is_anomaly", "detected")))
+@query("evaluate_detector", over("detected", quality_sql("is_anomaly", "detected")))
 def evaluate_detector(spark, sf):
     return detect.evaluate(base.detected(spark, sf))
 
@@ -275,7 +275,7 @@ _METHODS = {"z-score only": "anomaly_zscore", "IQR only": "anomaly_iqr", "both":
 
 @query("compare_methods", over("detected", " UNION ALL ".join(
     f"SELECT '{label}' AS method, anomalies_found AS flagged, round(anomalies_found * 100.0 / total_events, 1) AS rate, "
-    f"precision, recall FROM ({_quality_sql(flag, 'detected')})" for label, flag in _METHODS.items()
+    f"precision, recall FROM ({quality_sql(flag, 'detected')})" for label, flag in _METHODS.items()
 )))
 def compare_methods(spark, sf):
     return detect.compare_methods(base.detected(spark, sf), _METHODS)

@@ -1,9 +1,11 @@
-"""Trained detectors over the given tables. Random trees have no SQL counterpart."""
+"""Trained detectors over the given tables; their SQL grows the same trees and compares all pairs."""
 
 from pyspark.sql import functions as F
 
 from catalog import base
-from catalog.duck_base import over
+from catalog.detection_queries import quality_sql
+from catalog.duck_base import FEATURES, over, zscore
+from catalog.duck_models import VOTED, forest as forest_sql, outlier_factor, standardised
 from catalog.registry import query
 from emberlog.operators import forest, lof
 from emberlog.operators.detect import evaluate
@@ -13,23 +15,34 @@ from emberlog.session import new_stage_path, stage
 from emberlog.sources.models import load_forest, save_forest
 
 
-@query("isolation_forest")
+_FOREST = forest_sql("features", "seq", FEATURE_COLUMNS, 0.1)
+_FACTOR = outlier_factor("features", "seq", FEATURE_COLUMNS, 0.1)
+_VOTE = (zscore(FEATURE_COLUMNS), _FOREST, _FACTOR, VOTED)
+# Order and line number alone do not tell the given lines apart. Valid in Spark SQL and DuckDB.
+_ITEM_KEY = "concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT))"
+_ITEM_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("isolation_forest", over("features", "SELECT k AS seq, if_score, if_flag FROM forest", _FOREST))
 def isolation_forest(spark, sf):
     scored, _ = forest.fit_and_score(base.features(spark, sf), FEATURE_COLUMNS)
     return scored.select("seq", "if_score", "if_flag")
 
 
-@query("isolation_forest_of_lineitem")
+@query("isolation_forest_of_lineitem", f"""
+    WITH {forest_sql("lineitem", _ITEM_KEY, _ITEM_COLUMNS, 0.05)}
+    SELECT l_orderkey, l_linenumber, if_score, if_flag FROM lineitem JOIN forest ON k = {_ITEM_KEY}""")
 def isolation_forest_of_lineitem(spark, sf):
-    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    rows = base.even_table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", *columns).withColumn(
-        "key", F.xxhash64("l_orderkey", "l_linenumber")
-    )
-    scored, _ = forest.fit_and_score(rows, columns, key="key", contamination=0.05)
+    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = base.even_table(spark, sf, "lineitem", *names, *_ITEM_COLUMNS).withColumn("key", F.expr(_ITEM_KEY))
+    scored, _ = forest.fit_and_score(rows, _ITEM_COLUMNS, key="key", contamination=0.05)
     return scored.select("l_orderkey", "l_linenumber", "if_score", "if_flag")
 
 
-@query("saved_forest_predictions")
+@query("saved_forest_predictions", over(
+    "features", """SELECT k AS seq, if_score AS anomaly_score, if_flag AS is_anomaly,
+        CASE WHEN if_score > 0.75 THEN 'HIGH' WHEN if_score > 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM forest""", _FOREST,
+))
 def saved_forest_predictions(spark, sf):
     """Model written, read back and applied to the same rows."""
     features = base.features(spark, sf)
@@ -41,7 +54,8 @@ def saved_forest_predictions(spark, sf):
 
 
 @query("saved_forest_agrees", over(
-    "lines", "SELECT count(*) AS n_rows, count(*) AS equal_scores, count(*) AS equal_flags, 0.0::DOUBLE AS lowest, 1.0::DOUBLE AS highest FROM lines"
+    "features", "SELECT count(*) AS n_rows, count(if_score) AS equal_scores, count(if_flag) AS equal_flags, min(if_score) AS lowest, max(if_score) AS highest FROM forest",
+    _FOREST,
 ))
 def saved_forest_agrees(spark, sf):
     """A saved model scores the training rows as the fresh one did."""
@@ -62,23 +76,29 @@ def saved_forest_agrees(spark, sf):
     )
 
 
-@query("local_outlier_factor")
+@query("local_outlier_factor", over("features", "SELECT k AS seq, lof_score, lof_flag FROM factor", _FACTOR))
 def local_outlier_factor(spark, sf):
     return lof.lof_detector(base.features(spark, sf), FEATURE_COLUMNS).select("seq", "lof_score", "lof_flag")
 
 
-@query("neighbour_weights", over(
-    "features",
-    f"SELECT count(*) AS n_vectors, 20::BIGINT AS least_weight, 20::BIGINT AS most_weight "
-    f"FROM (SELECT DISTINCT {', '.join(FEATURE_COLUMNS)} FROM features)",
-))
+@query("neighbour_weights", """
+    WITH v AS (SELECT c_acctbal, c_nationkey, count(*) AS mult FROM customer GROUP BY ALL),
+    st AS (SELECT avg(c_acctbal) AS m0, stddev_pop(c_acctbal) AS s0, avg(c_nationkey) AS m1, stddev_pop(c_nationkey) AS s1 FROM customer),
+    z AS MATERIALIZED (SELECT c_acctbal, c_nationkey, mult, (c_acctbal - m0) / s0 AS x, (c_nationkey - m1) / s1 AS y FROM v, st),
+    nn AS (SELECT a.c_acctbal, a.c_nationkey, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d,
+        b.mult - CAST(a.c_acctbal = b.c_acctbal AND a.c_nationkey = b.c_nationkey AS INT) AS mult, b.c_acctbal AS bx, b.c_nationkey AS by_ FROM z a, z b),
+    w AS (SELECT *, sum(mult) OVER (PARTITION BY c_acctbal, c_nationkey ORDER BY d, bx, by_) - mult AS before FROM nn WHERE mult > 0)
+    SELECT c_acctbal, c_nationkey, count(*) AS n_near, sum(least(mult, 20 - before))::BIGINT AS weight, round(max(d), 6) AS k_distance
+    FROM w WHERE before < 20 GROUP BY c_acctbal, c_nationkey""")
 def neighbour_weights(spark, sf):
-    """Every distinct vector has exactly 20 neighbours, copies counted."""
-    numeric = base.features(spark, sf).select(*[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS])
-    near = lof.nearest_neighbours(lof._vectors(numeric, FEATURE_COLUMNS), 20)
-    return near.groupBy("vid").agg(F.sum("weight").alias("w")).agg(
-        F.count("*").alias("n_vectors"), F.min("w").alias("least_weight"), F.max("w").alias("most_weight")
+    """Neighbours, their weight and the k-distance of every distinct vector; copies counted."""
+    columns = ["c_acctbal", "c_nationkey"]
+    numeric = base.table(spark, sf, "customer").select(*[F.col(c).cast("double").alias(c) for c in columns])
+    vectors = lof._vectors(numeric, columns)
+    near = lof.nearest_neighbours(vectors, 20).groupBy("vid").agg(
+        F.count("*").alias("n_near"), F.sum("weight").alias("weight"), F.round(F.max("distance"), 6).alias("k_distance")
     )
+    return vectors.join(near, "vid").select("c_acctbal", F.col("c_nationkey").cast("long").alias("c_nationkey"), "n_near", "weight", "k_distance")
 
 
 @query("customer_outlier_factor", """
@@ -95,7 +115,9 @@ def customer_outlier_factor(spark, sf):
     return rows.select("c_custkey", F.round("lof_raw", 6).alias("lof"))
 
 
-@query("three_detector_vote")
+@query("three_detector_vote", over(
+    "features", "SELECT seq, if_flag, lof_flag, zscore_flag, detector_votes, anomaly_score, confidence, is_anomaly FROM voted", *_VOTE
+))
 def three_detector_vote(spark, sf):
     voted, _ = run_ensemble(base.features(spark, sf))
     return voted.select(
@@ -103,13 +125,17 @@ def three_detector_vote(spark, sf):
     )
 
 
-@query("three_detector_quality")
+@query("three_detector_quality", over("features", quality_sql("is_anomaly", "voted"), *_VOTE))
 def three_detector_quality(spark, sf):
     voted, _ = run_ensemble(base.features(spark, sf))
     return evaluate(voted)
 
 
-@query("analysed_events")
+@query("analysed_events", over(
+    "tagged", """SELECT t.seq, t.seq + 1 AS id, t.timestamp, t.severity, t.source_ip, t.message, t.format AS log_format, v.anomaly_score, v.is_anomaly,
+        v.confidence, v.detector_votes, t.technique_id, t.technique_name, t.tactic, t.mitre_confidence, substr(t.raw, 1, 500) AS raw,
+        FALSE AS is_false_positive FROM tagged t JOIN voted v USING (seq)""", FEATURES, *_VOTE,
+))
 def analysed_events(spark, sf):
     """All batch steps from lines to event rows."""
     parsed = stage(base.parsed(spark, sf).drop("event_ts", "ip", "event_type"), "parsed")

@@ -25,3 +25,8 @@ def score_band(score: Column) -> Column:
 def safe_ratio(part: Column, whole: Column) -> Column:
     """``part / whole`` as a double, 0 when the whole is 0."""
     return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
+
+
+def settled(value: float | None) -> float:
+    """A mean or deviation without the last digits, which depend on the order of summation (null: 0)."""
+    return float(f"{value or 0.0:.12g}")

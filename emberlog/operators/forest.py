@@ -1,5 +1,6 @@
 """Isolation forest: trees are grown in parallel tasks from bounded samples, rows scored in batches."""
 
+import hashlib
 import sys
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from emberlog.functions.numbers import settled
 from emberlog.operators.quantiles import exact_quantiles
 from emberlog.session import stage
 
@@ -24,6 +26,8 @@ MAX_NODES_PER_TREE = 2 * SAMPLE - 1
 _EULER = 0.5772156649015329
 # Expected rows of the pool that all trees draw from.
 POOL = 16_384
+# Draws are whole numbers below SPAN; paths are multiples of 1 / PATH_UNITS.
+SPAN, PATH_UNITS = 2**52, 2**20
 
 _NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, path double, size int"
@@ -38,26 +42,42 @@ def average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n <= 2, 1.0, usual))
 
 
-def _grow(rows: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """Nodes (node, feature, threshold, left, right, path) of one tree."""
+def _share(*parts: object) -> float:
+    """A number in [0, 1) that follows from the parts alone: the first 52 bits of their MD5."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / SPAN
+
+
+def _draw(*parts: Column) -> Column:
+    """The same number of columns, times SPAN."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def _grow(rows: np.ndarray, seed: int, tree: int) -> list[tuple]:
+    """Nodes (node, feature, threshold, left, right, path) of one tree.
+
+    A split follows from the seed, the tree and the place of its node alone (the children of place p are 2p and 2p + 1), so the
+    same trees can be grown anywhere. Paths are multiples of 2^-20: their sums do not depend on any order.
+    """
     limit = int(np.ceil(np.log2(max(len(rows), 2))))
     nodes: list[tuple] = []
-    waiting = [(0, np.arange(len(rows)), 0)]
+    waiting = [(0, 1, np.arange(len(rows)), 0)]
     next_id = 1
     while waiting:
-        node, members, depth = waiting.pop()
+        node, place, members, depth = waiting.pop()
         part = rows[members]
         low, high = part.min(axis=0), part.max(axis=0)
         varied = np.flatnonzero(high > low)
         if depth >= limit or len(members) <= 1 or len(varied) == 0:
-            nodes.append((node, -1, 0.0, -1, -1, depth + float(average_path(len(members)))))
+            path = depth + float(average_path(len(members)))
+            nodes.append((node, -1, 0.0, -1, -1, float(np.rint(path * PATH_UNITS)) / PATH_UNITS))
             continue
-        feature = int(rng.choice(varied))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        feature = int(varied[int(_share(seed, tree, place, "feature") * len(varied))])
+        threshold = float(low[feature] + _share(seed, tree, place, "threshold") * (high[feature] - low[feature]))
         goes_left = part[:, feature] <= threshold
         nodes.append((node, feature, threshold, next_id, next_id + 1, 0.0))
-        waiting.append((next_id, members[goes_left], depth + 1))
-        waiting.append((next_id + 1, members[~goes_left], depth + 1))
+        waiting.append((next_id, 2 * place, members[goes_left], depth + 1))
+        waiting.append((next_id + 1, 2 * place + 1, members[~goes_left], depth + 1))
         next_id += 2
     return nodes
 
@@ -130,16 +150,14 @@ def _sampled(
 
     The pool is a hash-chosen share of all rows, so the draws cost the same however many rows there are.
     """
-    span = 2**31
-    drawn = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(span))
-    draw = F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(span))
-    pooled = df.filter(drawn < int(min(1.0, pool / n) * span))
+    pooled = df.filter(_draw(F.lit(seed + 1), F.col(key)) < int(min(1.0, pool / n) * SPAN))
+    draw = _draw(F.lit(seed), F.col("tree"), F.col(key))
     rows = pooled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     by_draw = Window.partitionBy("tree").orderBy("draw", key)
     # Twice the wanted share passes the threshold, the exact number is cut by place.
     return (
         rows.withColumn("draw", draw)
-        .filter(F.col("draw") < int(min(1.0, 2.0 * sample / min(n, pool)) * span))
+        .filter(F.col("draw") < int(min(1.0, 2.0 * sample / min(n, pool)) * SPAN))
         .withColumn("place", F.row_number().over(by_draw))
         .filter(F.col("place") <= sample)
         .select("tree", key, *columns)
@@ -163,8 +181,8 @@ def fit_isolation_forest(
     ).first()
     if not stats["n"]:
         raise ValueError("an isolation forest needs at least one row")
-    mean = [float(stats[f"m{i}"] or 0.0) for i in range(len(columns))]
-    std = [float(stats[f"s{i}"] or 0.0) or 1.0 for i in range(len(columns))]
+    mean = [settled(stats[f"m{i}"]) for i in range(len(columns))]
+    std = [settled(stats[f"s{i}"]) or 1.0 for i in range(len(columns))]
 
     numeric = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
     chosen = _sampled(numeric, key, columns, stats["n"], trees, sample, seed)
@@ -174,7 +192,7 @@ def fit_isolation_forest(
         tree = int(group["tree"].iloc[0])
         ordered = group.sort_values(key)
         rows = (ordered[columns].to_numpy(dtype=float) - centre) / scale
-        nodes = _grow(rows, np.random.default_rng([seed, tree]))
+        nodes = _grow(rows, seed, tree)
         frame = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "path"])
         frame.insert(0, "tree", tree)
         frame["size"] = len(rows)

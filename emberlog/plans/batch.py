@@ -35,22 +35,14 @@ def run_ensemble(
 ) -> tuple[DataFrame, ForestModel]:
     """Isolation forest, outlier factor and z-score with the three-way vote.
 
-    Pass a staged frame: every detector reads it on its own. Detector results are joined by key.
+    Pass a staged frame. Each detector adds its columns to the frame of the one before: the forest scores rows in place, the
+    outlier factor is joined by vector, the z-score compares with two figures a column; nothing is joined by key.
     """
-    wanted = [key, *columns] + ([z_score_col] if z_score_col else [])
-    narrow = features.select(*dict.fromkeys(wanted))
-    forest, model = fit_and_score(narrow, columns, key, contamination)
-    factor = lof_detector(narrow.select(key, *columns), columns, contamination)
-    z = zscore_detector(narrow.select(key, *columns), columns, flag="zscore_flag")
-    votes = (
-        forest.select(key, "if_flag", "if_score", *([z_score_col] if z_score_col else []))
-        .join(factor.select(key, "lof_flag", "lof_score"), key)
-        .join(z.select(key, "zscore_flag"), key)
-    )
-    result = three_vote_ensemble(votes, z_score_col)
-    if z_score_col:
-        features = features.drop(z_score_col)
-    return features.join(result.drop("if_score", "lof_score"), key), model
+    taken = features.withColumnRenamed(z_score_col, "_z_score") if z_score_col else features
+    forest, model = fit_and_score(taken, columns, key, contamination)
+    scored = zscore_detector(lof_detector(forest, columns, contamination), columns, flag="zscore_flag")
+    voted = three_vote_ensemble(scored, "_z_score" if z_score_col else None)
+    return voted.drop("if_score", "lof_score", "max_zscore", "_z_score"), model
 
 
 def analyse_events(parsed: DataFrame, contamination: float = 0.1, keep: tuple[str, ...] = ()) -> Analysis:

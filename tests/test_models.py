@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators.forest import fit_and_score, load_and_predict
+from emberlog.operators import lof
+from emberlog.operators.forest import _grow, average_path
 from emberlog.operators.lof import lof_detector, local_outlier_factor
 from emberlog.plans.batch import analyse_events, run_ensemble
 from emberlog.sources.models import load_forest, save_forest
@@ -28,8 +30,10 @@ def brute_force_factor(values, k):
     return density[index].mean(1) / density
 
 
-@pytest.mark.parametrize("block", [2048, 24])
-def test_outlier_factor_equals_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "cells"), [(256, 4096), (24, 4096), (16, 2)])
+def test_outlier_factor_equals_brute_force(spark, monkeypatch, block, cells):
+    """Also with many cells, and with two cells cut into many rings."""
+    monkeypatch.setattr(lof, "TOP_CELLS", cells)
     rng = np.random.default_rng(7)
     values = np.vstack([rng.normal(0, 1, (200, 3)), rng.normal(4, 0.1, (100, 3)), [[20, 20, 20]]])
     values[:30] = values[0]
@@ -97,3 +101,29 @@ def test_vote_and_batch_analysis(spark):
     found = {r.seq: r for r in result.detections.collect()}
     assert found[60].if_flag and found[60].zscore_flag and found[60].is_anomaly
     assert rows[61].anomaly_score == found[60].anomaly_score >= 0.4
+
+
+def test_neighbours_are_found_among_few_pairs(spark):
+    """Of four times the vectors, a smaller share of all pairs is compared."""
+    shares = []
+    for n in (1500, 6000):
+        frame = spark.createDataFrame(cloud(n))
+        shares.append(lof.find_neighbours(lof._vectors(frame, ["a", "b", "c"]), 20, block=64).share)
+    assert shares[1] < 0.6 * shares[0] < 0.3
+
+
+def test_trees_follow_from_seed_tree_and_place():
+    rows = np.random.default_rng(2).normal(size=(256, 3))
+    nodes = _grow(rows, 42, 5)
+    assert nodes == _grow(rows, 42, 5) != _grow(rows, 42, 6)
+    inner = [n for n in nodes if n[3] >= 0]
+    assert len(nodes) == 2 * len(inner) + 1 and sorted(n[0] for n in nodes) == list(range(len(nodes)))
+    assert all(n[5] * 2**20 == int(n[5] * 2**20) for n in nodes)
+    assert max(n[5] for n in nodes) <= 8 + average_path(256)
+
+
+def test_vote_keeps_columns_and_a_given_score(spark):
+    frame = spark.createDataFrame(cloud(200, 3)).selectExpr("*", "1.0D AS given", "'x' AS other")
+    voted, _ = run_ensemble(frame, ["a", "b", "c"], 0.05, z_score_col="given")
+    assert voted.filter("other = 'x'").count() == 200
+    assert voted.agg(F.min("anomaly_score")).first()[0] >= 0.2 and "given" not in voted.columns
