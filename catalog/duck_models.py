@@ -33,15 +33,15 @@ def _average_path(n: str) -> str:
     return f"CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} <= 2 THEN 1.0 ELSE 2.0 * (ln({n} - 1.0) + {_EULER}) - 2.0 * ({n} - 1.0) / {n} END"
 
 
-def forest(source: str, key: str, columns: list[str], contamination: float) -> str:
+def forest(source: str, key: str, columns: list[str], contamination: float, seed: int = SEED) -> str:
     """CTEs up to ``forest`` (key, raw score, low, high, cut): trees grown level by level, then every vector walks them."""
     dims = range(1, len(columns) + 1)
     lows, highs = (", ".join(f"{f}(zs[{i}])" for i in dims) for f in ("min", "max"))
     parts = [
         standardised("fz", source, columns, f"{key} AS k"),
-        f"fpool AS MATERIALIZED (SELECT * FROM fz WHERE {_draw(str(SEED + 1), 'k')} < floor(least(1.0, {POOL}.0 / n) * {SPAN}))",
+        f"fpool AS MATERIALIZED (SELECT * FROM fz WHERE {_draw(str(seed + 1), 'k')} < floor(least(1.0, {POOL}.0 / n) * {SPAN}))",
         f"""f0 AS MATERIALIZED (SELECT tree, 1 AS node, zs FROM (
-            SELECT tree, zs, row_number() OVER (PARTITION BY tree ORDER BY {_draw(str(SEED), 'tree', 'k')}, k) AS place
+            SELECT tree, zs, row_number() OVER (PARTITION BY tree ORDER BY {_draw(str(seed), 'tree', 'k')}, k) AS place
             FROM fpool, range({TREES}) AS t(tree)) WHERE place <= {SAMPLE}),
         fsize AS MATERIALIZED (SELECT tree, count(*) AS rows_, ceil(log2(greatest(count(*), 2))) AS deepest FROM f0 GROUP BY tree)""",
     ]
@@ -49,10 +49,10 @@ def forest(source: str, key: str, columns: list[str], contamination: float) -> s
         parts.append(f"""
         g{level} AS MATERIALIZED (SELECT *, [i FOR i IN range(1, {len(columns) + 1}) IF hi[i] > lo[i]] AS varied FROM (
             SELECT tree, node, count(*) AS n, [{lows}] AS lo, [{highs}] AS hi FROM f{level} GROUP BY tree, node)),
-        h{level} AS MATERIALIZED (SELECT tree, node, feature, lo[feature] + {_draw(str(SEED), 'tree', 'node', "'threshold'")} / {SPAN}.0 * (hi[feature] - lo[feature]) AS threshold,
+        h{level} AS MATERIALIZED (SELECT tree, node, feature, lo[feature] + {_draw(str(seed), 'tree', 'node', "'threshold'")} / {SPAN}.0 * (hi[feature] - lo[feature]) AS threshold,
             CASE WHEN feature IS NULL THEN round_even(({level} + {_average_path('n')}) * {PATH_UNITS}, 0) / {PATH_UNITS} END AS path
           FROM (SELECT g.*, CASE WHEN n > 1 AND len(varied) > 0 AND {level} < deepest
-              THEN varied[1 + CAST(floor({_draw(str(SEED), 'tree', 'node', "'feature'")} / {SPAN}.0 * len(varied)) AS INT)] END AS feature
+              THEN varied[1 + CAST(floor({_draw(str(seed), 'tree', 'node', "'feature'")} / {SPAN}.0 * len(varied)) AS INT)] END AS feature
             FROM g{level} g JOIN fsize USING (tree))),
         f{level + 1} AS MATERIALIZED (SELECT tree, node * 2 + CAST(zs[feature] > threshold AS INT) AS node, zs
           FROM f{level} JOIN h{level} USING (tree, node) WHERE feature IS NOT NULL)""")

@@ -6,11 +6,16 @@ from catalog import base
 from catalog.correlation_queries import (
     _ALERTS, _CHAINS, _MICROS, SESSION_CHAINS, SESSIONS, _components, _flat_chains, _micros,
 )
-from catalog.duck_base import over
+from catalog.duck_base import over, py_round
+from catalog.duck_models import forest as forest_sql
 from catalog.registry import query
-from emberlog.session import new_stage_path
+from emberlog.session import new_stage_path, stage
 from emberlog.sources.event_table import mark_false_positives, read_feedback
-from emberlog.streaming import feed
+from emberlog.constants.kill_chains import KILL_CHAINS, UNLINKED_ADDRESSES
+from emberlog.operators.forest import fit_and_score
+from emberlog.schema import FEATURE_COLUMNS
+from emberlog.sources.models import publish_forest
+from emberlog.streaming import feed, keyed
 
 
 def _table(spark, sf):
@@ -163,3 +168,88 @@ def stream_late_marks(spark, sf):
         if place == 0:
             mark_false_positives(base.feedback(spark, sf), rows, marks)
     return spark.read.parquet(shown).select("id", "is_false_positive")
+
+
+PARTS = 3
+# Ten years: the given events come in no order of time, and none is to be late.
+IDLE = 24 * 3650
+
+
+def _in_parts(rows, name, order="seq"):
+    """A stream of ``PARTS`` triggers: equal shares of the rows in the given order, each share in no order."""
+    spark = rows.sparkSession
+    path = new_stage_path(spark, name)
+    marks = rows.approxQuantile(order, [i / PARTS for i in range(1, PARTS)], 0.0)
+    part = sum((F.when(F.col(order) >= mark, 1).otherwise(0) for mark in marks), F.lit(0))
+    for i in range(PARTS):
+        rows.filter(part == i).orderBy(F.xxhash64(order)).coalesce(1).write.mode("append").parquet(path)
+    return feed.table_stream(spark, path, rows.schema, max_files=1)
+
+
+@query("stream_features", over("parsed", f"""
+    SELECT seq, source_ip, count(*) OVER so_far AS ip_event_count,
+      {py_round("count(*) FILTER (severity IN ('HIGH','CRITICAL')) OVER so_far / count(*) OVER so_far", 4)} AS ip_fail_rate,
+      count(*) OVER (PARTITION BY source_ip ORDER BY seq RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING) AS rolling_event_rate
+    FROM parsed WINDOW so_far AS (PARTITION BY source_ip ORDER BY seq)"""))
+def stream_features(spark, sf):
+    """Address features over the events so far, from keyed state over several triggers."""
+    events = base.parsed(spark, sf).select("seq", F.col("event_ts").cast("timestamp").alias("event_ts"), "source_ip", "severity")
+    stream = _in_parts(stage(events, "parsed"), "stream-parsed")
+    with keyed.keyed_state(spark):
+        return feed.run_once(keyed.stream_features(stream, idle_hours=IDLE), "stream-features")
+
+
+_SECOND_SEED = 7
+_HALF = "(SELECT count(*) // 2 FROM features)"
+_CONFIDENCE = "CASE WHEN if_score > 0.75 THEN 'HIGH' WHEN if_score > 0.5 THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+@query("stream_scored_events", over(
+    "features",
+    f"""SELECT k AS seq, if_score AS anomaly_score, if_flag AS is_anomaly, {_CONFIDENCE} AS confidence, 1::BIGINT AS model_version FROM first_model WHERE k < {_HALF}
+    UNION ALL SELECT k, if_score, if_flag, {_CONFIDENCE}, 2 FROM second_model WHERE k >= {_HALF}""",
+    f"first_model AS MATERIALIZED (WITH {forest_sql('features', 'seq', FEATURE_COLUMNS, 0.1)} SELECT * FROM forest)",
+    f"second_model AS MATERIALIZED (WITH {forest_sql('features', 'seq', FEATURE_COLUMNS, 0.1, _SECOND_SEED)} SELECT * FROM forest)",
+))
+def stream_scored_events(spark, sf):
+    """Two triggers, a new model published between them; scores and flags by the range and limit of its training."""
+    features = base.features(spark, sf).select("seq", *FEATURE_COLUMNS)
+    models, rows, shown, checkpoint = (new_stage_path(spark, n) for n in ("models", "stream-rows", "scored", "scored-checkpoint"))
+    half = features.count() // 2
+    step = feed.scored_batches(models, shown)
+    for part, seed in ((F.col("seq") < half, 42), (F.col("seq") >= half, _SECOND_SEED)):
+        publish_forest(spark, fit_and_score(features, FEATURE_COLUMNS, seed=seed)[1], models)
+        features.filter(part).write.mode("append").parquet(rows)
+        feed.start_batches(feed.table_stream(spark, rows, features.schema), step, checkpoint, once=True).awaitTermination()
+    return spark.read.parquet(shown).select("seq", "anomaly_score", "is_anomaly", "confidence", "model_version")
+
+
+_CHAIN_TABLE = ", ".join(f"({i}, '{c.name.replace(chr(39), chr(39) * 2)}', '{c.severity}', {list(c.tactics)})" for i, c in enumerate(KILL_CHAINS))
+_TACTICS = ", ".join(f"'{t}'" for t in sorted({t for c in KILL_CHAINS for t in c.tactics}))
+_STEPS = f"""
+chain AS (SELECT * FROM (VALUES {_CHAIN_TABLE}) AS t(cid, chain_name, severity, tactics)),
+wanted AS MATERIALIZED (SELECT seq, source_ip, tactic, epoch_us(event_ts) AS at_us, row_number() OVER (PARTITION BY source_ip ORDER BY event_ts, seq) AS i
+  FROM tagged WHERE tactic IN ({_TACTICS}) AND source_ip IS NOT NULL AND source_ip NOT IN ({", ".join(f"'{a}'" for a in UNLINKED_ADDRESSES)}) AND event_ts IS NOT NULL),
+walk AS (
+  SELECT source_ip, cid, 0::BIGINT AS i, 0 AS step, 0::BIGINT AS first_us, 0::BIGINT AS last_us, FALSE AS done, 0::BIGINT AS seq
+  FROM (SELECT DISTINCT source_ip FROM wanted), chain
+  UNION ALL
+  SELECT source_ip, cid, i, CASE WHEN hit THEN at_step + 1 ELSE at_step END,
+    CASE WHEN (hit AND at_step = 0) OR anew THEN at_us ELSE first_us END, CASE WHEN hit OR anew THEN at_us ELSE last_us END, hit AND at_step + 1 = len(tactics), seq
+  FROM (SELECT *, tactic = tactics[at_step + 1] AS hit, tactic <> tactics[at_step + 1] AND tactic = tactics[1] AND at_step = 1 AS anew FROM (
+    SELECT w.source_ip, w.cid, e.i, e.at_us, e.seq, e.tactic, c.tactics, w.first_us, w.last_us,
+      CASE WHEN w.done OR (w.step > 0 AND e.at_us - w.last_us > 86400000000) THEN 0 ELSE w.step END AS at_step
+    FROM walk w JOIN wanted e ON e.source_ip = w.source_ip AND e.i = w.i + 1 JOIN chain c ON c.cid = w.cid))
+)"""
+
+
+@query("stream_ordered_chains", over(
+    "tagged", "SELECT source_ip, chain_name, severity, first_us, last_us, seq FROM walk JOIN chain USING (cid) WHERE done", _STEPS, recursive=True
+))
+def stream_ordered_chains(spark, sf):
+    """Chains completed in order, from keyed state over several triggers whose rows come in no order."""
+    rows = base.tagged(spark, sf).select("seq", "event_ts", "source_ip", "tactic").withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    timed = stage(rows.withColumn("at_us", F.unix_micros("event_ts")), "tagged")
+    stream = _in_parts(timed, "stream-tagged", order="at_us")
+    with keyed.keyed_state(spark):
+        return feed.run_once(keyed.ordered_chain_stream(stream), "stream-chains")

@@ -1,5 +1,8 @@
 """Saved forest models: one Parquet table of scaler figures and one of tree nodes."""
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +37,25 @@ def load_forest(spark: SparkSession, path: str) -> ForestModel:
         nodes.toPandas(),
         limits.score_low, limits.score_high, limits.cut, limits.contamination,
     )
+
+
+_VERSIONS = "version long, folder string"
+
+
+def publish_forest(spark: SparkSession, model: ForestModel, root: str) -> int:
+    """Store a model as the next version below ``root``; readers see it once its row in the version table is written."""
+    version = (latest_version(spark, root) or (0, ""))[0] + 1
+    folder = f"model-{version}-{uuid.uuid4().hex}"
+    save_forest(spark, model, f"{root}/{folder}")
+    spark.createDataFrame([(version, folder)], _VERSIONS).coalesce(1).write.mode("append").parquet(f"{root}/versions")
+    return version
+
+
+def latest_version(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """Number and folder of the newest version; None while there is none. One small row a version is read."""
+    try:
+        rows = spark.read.schema(_VERSIONS).parquet(f"{root}/versions")
+    except AnalysisException:
+        return None
+    newest = rows.orderBy(F.desc("version"), "folder").first()
+    return (newest.version, f"{root}/{newest.folder}") if newest else None

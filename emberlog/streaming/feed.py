@@ -20,10 +20,12 @@ from emberlog.operators.correlate import (
     session_chains,
 )
 from emberlog.operators.features import row_features
+from emberlog.operators.forest import ForestModel, load_and_predict
 from emberlog.operators.normalize import normalize_lines
 from emberlog.operators.tagging import tag_events
 from emberlog.session import new_stage_path
 from emberlog.sources.event_table import current_events, read_feedback
+from emberlog.sources.models import latest_version, load_forest
 
 NEWEST_FOR_CHAINS = 100
 
@@ -202,6 +204,29 @@ def running_kill_chains(
     return step
 
 
+def scored_batches(model_root: str, path: str, key: str = "seq") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` step: score each batch of feature rows by the newest published model, with the range of its training.
+
+    A model published between two batches is used from the next one on. Rows carry ``model_version``; a retried batch
+    overwrites its own folder. Raises while no model is published.
+    """
+    loaded: dict[int, ForestModel] = {}
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = latest_version(spark, model_root)
+        if newest is None:
+            raise FileNotFoundError(f"no model is published below {model_root}")
+        version, folder = newest
+        if version not in loaded:
+            loaded.clear()
+            loaded[version] = load_forest(spark, folder)
+        scored = load_and_predict(batch, loaded[version], key, training_range=True)
+        scored.withColumn("model_version", F.lit(version)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return step
+
+
 def start_append(stream: DataFrame, path: str, checkpoint: str, once: bool = False,
                  interval: str = "2 seconds") -> StreamingQuery:
     """Write a stream to a Parquet table, every ``interval`` or once over all there is."""
