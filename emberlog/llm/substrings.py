@@ -12,7 +12,6 @@ string that all their windows cover: equal strings repeat all windows at once; w
 one member of every part has its windows refined to full depth, one bucket each.
 """
 
-import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -66,27 +65,32 @@ def pair_name(first: np.ndarray, later: np.ndarray) -> np.ndarray:
 LETTERS = pair_name(np.arange(1, 257, dtype=np.uint64), np.full(256, 77, np.uint64))
 
 
-class _WordNames(dict):
-    """Names of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
-            self.clear()
-        self[word] = name = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return name
-
-
 def _byte_units(text: bytes) -> np.ndarray:
     return LETTERS[np.frombuffer(text, np.uint8)]
 
 
-def _word_units(text: bytes) -> np.ndarray:
-    """Names of the words of a text; bytes.split() cuts at the white space that SPACE names."""
-    words = text.split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
-_WORDS = _WordNames()
+def _word_units(text: bytes) -> np.ndarray:
+    """Names of the words of a text, from differences of one running polynomial over its bytes."""
+    data = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(np.r_[True, _GAPS[data], True]))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = (_UP, _DOWN) if len(data) < len(_UP) else (_powers(BASE, len(data)), _powers(UNBASE, len(data)))
+    sums = np.r_[np.uint64(0), np.cumsum(LETTERS[data] * up[: len(data)], dtype=np.uint64)]
+    return pair_name((sums[ends] - sums[starts]) * down[starts], (ends - starts).astype(np.uint64))
+
+
+BASE = 0xD1342543DE82EF95
+UNBASE = pow(BASE, -1, 1 << 64)
+_UP, _DOWN = _powers(BASE, 1 << 14), _powers(UNBASE, 1 << 14)
+#: White space, as in SPACE.
+_GAPS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 BYTES = Scale(LENGTH, 128, 16, 256, 256, _byte_units)
 WORDS = Scale(PASSAGE, PASSAGE - SHARED + 1, 4, 16, 16, _word_units)
 
