@@ -157,7 +157,7 @@ def kill_chains(spark, sf):
 
 
 @query("kill_chain_scan", over(
-    "events", f"SELECT *, (SELECT count(*) FROM newest) AS events_scanned FROM ({_ALERTS})",
+    "events", f"SELECT *, (SELECT count(*) FROM newest) AS events_scanned, count(*) OVER () AS count FROM ({_ALERTS})",
     "newest AS MATERIALIZED (SELECT * FROM ev ORDER BY id DESC LIMIT 200)", _components("newest"), _CHAINS, recursive=True,
 ))
 def kill_chain_scan(spark, sf):

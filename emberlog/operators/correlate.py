@@ -431,10 +431,12 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, groups: DataFrame, chains:
 
 
 def kill_chain_scan(events: DataFrame, limit: int = 200) -> DataFrame:
-    """Alerts over the newest ``limit`` events with the number of events scanned."""
+    """Alerts over the newest ``limit`` events with the number of events scanned and of alerts."""
     newest = stage(events.orderBy(F.desc("id")).limit(limit), "newest-events")
     scanned = newest.agg(F.count("*")).scalar()
-    return kill_chains(component_keys(correlation_nodes(newest))).withColumn("events_scanned", scanned)
+    alerts = kill_chains(component_keys(correlation_nodes(newest))).withColumn("events_scanned", scanned)
+    # A window over all alerts: ``limit`` events give few.
+    return alerts.withColumn("count", F.count("*").over(Window.partitionBy()))
 
 
 # --- documented 5-minute mode -------------------------------------------------------------------
