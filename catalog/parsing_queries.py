@@ -8,9 +8,11 @@ from catalog.duck_base import (
 )
 from catalog.registry import query
 from emberlog.constants import parsing as P
+from emberlog.constants.attack_rules import CONFIDENCE_RANK, RULES, TECHNIQUES
 from emberlog.functions import is_external
-from emberlog.functions.text import first_address
+from emberlog.functions.text import first_address, lookup
 from emberlog.operators import normalize, tagging
+from emberlog.operators.rule_table import tag_by_rule_table
 from emberlog.session import new_stage_path
 from emberlog.sources.lines import read_export_records, read_lines, read_sources
 
@@ -238,6 +240,42 @@ def tag_events(spark, sf):
     return base.tagged(spark, sf).select("seq", *_TAGS.split(", "))
 
 
+# One rule per order, for the lines of the process with the order's number; the fixed rules come before them.
+_ORDER_CONFIDENCE = {"F": "HIGH", "O": "MEDIUM", "P": "LOW"}
+_BY_ORDER = f"""
+SELECT seq, CASE WHEN wins THEN 'T1046' ELSE technique_id END AS technique_id,
+  CASE WHEN wins THEN {text(TECHNIQUES["T1046"][0])} ELSE technique_name END AS technique_name,
+  CASE WHEN wins THEN {text(TECHNIQUES["T1046"][1])} ELSE tactic END AS tactic,
+  CASE WHEN wins THEN confidence ELSE mitre_confidence END AS mitre_confidence,
+  CASE WHEN wins THEN 'sshd' || chr(92) || '[' || o_orderkey || chr(92) || ']: ' ELSE matched_rule END AS matched_rule
+FROM (SELECT *, o_orderkey IS NOT NULL
+    AND {case_of("confidence", CONFIDENCE_RANK, "-1")} > {case_of("mitre_confidence", CONFIDENCE_RANK, "-1")} AS wins
+  FROM (SELECT t.*, o.o_orderkey, {case_of("o.o_orderstatus", _ORDER_CONFIDENCE, "'NONE'")} AS confidence FROM tagged t
+    LEFT JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = regexp_extract(t.raw, 'sshd.([0-9]+).: ', 1)))"""
+
+
+def _fixed_rules(spark):
+    rows = [(r.technique, r.confidence, p, i, j) for i, r in enumerate(RULES) for j, p in enumerate(r.patterns)]
+    return spark.createDataFrame(rows, "technique string, confidence string, pattern string, rule_order long, pattern_order int")
+
+
+@query("tags_by_rule_table", over("tagged", _BY_ORDER))
+def tags_by_rule_table(spark, sf):
+    """The fixed rules and one rule per order, all from one table; at sf0.1 150,000 patterns."""
+    per_order = base.table(spark, sf, "orders").select(
+        F.lit("T1046").alias("technique"),
+        lookup(F.col("o_orderstatus"), _ORDER_CONFIDENCE, "NONE").alias("confidence"),
+        F.format_string("sshd\\[%d\\]: ", "o_orderkey").alias("pattern"),
+        (F.col("o_orderkey") + len(RULES)).alias("rule_order"),
+        F.lit(0).alias("pattern_order"),
+    )
+    techniques = spark.createDataFrame(
+        [(t, name, tactic) for t, (name, tactic) in TECHNIQUES.items()], "technique string, name string, tactic string"
+    )
+    rules = _fixed_rules(spark).unionByName(per_order)
+    return tag_by_rule_table(base.parsed(spark, sf), rules, techniques).select("seq", *_TAGS.split(", "))
+
+
 def _text_tags(name: str, keys: str, expr: str) -> str:
     rule, columns = tag_columns("txt")
     return (

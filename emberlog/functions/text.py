@@ -60,6 +60,8 @@ def is_external(address: Column) -> Column:
 # Letters that a case-insensitive search treats as "s" and "i" but lower() keeps.
 _ODD_LETTERS = ("ſıİ", "sii")
 
+#: A repetition, greedy, lazy or possessive.
+_REPEATED = r"(?:(?:[?*+]|\{[^}]*\})[?+]?)"
 _ESCAPED_PLAIN = re.compile(r"\\([^\w\s])")
 
 
@@ -74,14 +76,16 @@ def required_literal(pattern: str) -> tuple[str, bool]:
 
     Groups, classes and quantified characters end a run; an alternation has no required text.
     """
-    # Anything this reading does not cover (nesting, escapes by name or number) has no shortcut.
-    if "|" in pattern or re.search(r"\([^)]*\(|\\[ac-rtuvx-zABCE-RT-VX-Z0-9]", pattern.replace(r"\d", "")):
+    # Anything this reading does not cover (nesting, flags, escapes by name or number) has no shortcut.
+    if "|" in pattern or "(?" in pattern or re.search(r"\([^)]*\(|\\[ac-rtuvx-zABCE-RT-VX-Z0-9]", pattern.replace(r"\d", "")):
         return "", False
     plain = _ESCAPED_PLAIN.sub(lambda m: f"\0{m.group(1)}", pattern)
-    text = re.sub(r"\([^)]*\)[?*+]?|\[[^\]]*\][?*+]?", "\n", plain)
-    text = re.sub(r"\\.[?*+]?(\{[^}]*\})?", "\n", text)
-    text = re.sub(r"\0?[^\n\0](?:[?*]|\{[^}]*\})|(?<!\0)[.^$]", "\n", text)
-    text = re.sub(r"(\0?[^\n\0])\+", r"\1\n", text)
+    # Classes before groups, as a class may hold parentheses; "\0" marks a plain character.
+    text = re.sub(rf"(?<!\0)\[\^?\]?(?:\0.|[^\]\0])*\]{_REPEATED}?", "\n", plain)
+    text = re.sub(rf"(?<!\0)\((?:\0.|[^)\0])*\){_REPEATED}?", "\n", text)
+    text = re.sub(rf"(?<!\0)\\.{_REPEATED}?", "\n", text)
+    text = re.sub(r"(\0?[^\n\0])\+[?+]?", r"\1\n", text)
+    text = re.sub(rf"\0?[^\n\0]{_REPEATED}|(?<!\0)[.^$]", "\n", text)
     runs = [run.replace("\0", "") for run in text.split("\n")]
     best = max(runs, key=len)
     return best, best == plain.replace("\0", "")

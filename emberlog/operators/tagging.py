@@ -16,7 +16,7 @@ def rules_from_table(table: DataFrame, max_patterns: int = 10_000) -> tuple[Rule
     """Rules from an editable table (technique, confidence, pattern, rule_order, pattern_order).
 
     Rules are compiled into the plan as expressions, so the driver reads them; a table with more than
-    ``max_patterns`` rows is refused, none is left out.
+    ``max_patterns`` rows is refused, none is left out: ``rule_table.tag_by_rule_table`` takes any number.
     """
     columns = ("technique", "confidence", "pattern", "rule_order", "pattern_order")
     rows = table.select(*columns).limit(max_patterns + 1).collect()

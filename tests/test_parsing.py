@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.constants.attack_rules import RULES, WORD_BOUNDED_RULES, Rule
+from emberlog.constants.attack_rules import RULES, TECHNIQUES, WORD_BOUNDED_RULES, Rule
 from emberlog.functions import event_time, hour_of_day, is_weekend, matches
 from emberlog.functions.text import fold_case, required_literal, search
 from emberlog.operators.normalize import normalize_export_records, normalize_lines, with_event_time
+from emberlog.operators.rule_table import tag_by_rule_table
 from emberlog.operators.tagging import rules_from_table, tag_events
 
 
@@ -130,10 +131,12 @@ def test_word_bounded_rules_and_rule_tables(spark):
 
 
 def test_search_equals_the_plain_regular_expression(spark):
-    patterns = sorted({p for rule in RULES for p in rule.patterns}) + [r"((a)b)c", r"a|b", r"x{2}y", r"\bfoo\b", r"a[bc]d"]
+    patterns = sorted({p for rule in RULES for p in rule.patterns}) + [r"((a)b)c", r"a|b", r"x{2}y", r"\bfoo\b", r"a[bc]d"] + [
+        r"[a-c]{3} xxy", r"(ab){1}c", r".*?foo", r"x??xy", r"ab\[1\]", r"a+?b+c", r"[)]?abc", r"(?s)cross.site",
+    ]
     texts = [
         "abc xxy foo acd", "../etc CVE-2024-11 rce", "IEX  (1)", "91.108.4.55", "12 ports in 3", "union    select", "4.2 GB copied",
-        "PORTSCAN REVERSE SHELL", "ſcan ſweep", "Kelvin", "cross\nsite", "a.b", "-ENC -ExecutionPolicy", "log x delete",
+        "PORTSCAN REVERSE SHELL", "ſcan ſweep", "Kelvin", "cross\nsite", "a.b", "Ab[1]", "-ENC -ExecutionPolicy", "log x delete",
     ]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("f", fold_case(F.col("t")))
     checks = rows.select("t", *[(search(F.col("t"), F.col("f"), p) == matches(F.col("t"), p)).alias(f"c{i}") for i, p in enumerate(patterns)])
@@ -155,3 +158,48 @@ def test_event_time_of_text(spark):
         "2024-02-29 01:02:03", "2023-10-10 21:59:59", "2023-10-10 09:08:07", "2023-10-10 09:08:07", None, None
     ]
     assert times(2023)[0] is None
+
+
+RULE_TABLE = "technique string, confidence string, pattern string, rule_order long, pattern_order int"
+NAMES = "technique string, name string, tactic string"
+
+
+def test_rule_table_equals_compiled_rules(spark):
+    texts = [
+        "Failed password for admin", "nmap and MASSCAN", "ſcan ſweep", "12 ports in 3", "quiet", "", None, "powershell -enc x",
+        "union    select", "IEX  (1)", "cross\nsite", "x" * 200_000 + " mimikatz lsass",
+    ]
+    events = spark.createDataFrame(
+        [(i, t, None if i % 2 else "raw nmap" if i % 3 == 0 else "") for i, t in enumerate(texts)],
+        "seq long, message string, raw string",
+    ).withColumn("priority", F.lit(7)).withColumn("note", F.lit("kept"))
+    rows = [(r.technique, r.confidence, p, i, j) for i, r in enumerate(RULES) for j, p in enumerate(r.patterns)]
+    rules = spark.createDataFrame(rows + [("T9", "ODD", "quiet", 99, 0), ("T9", "HIGH", None, 99, 1)], RULE_TABLE)
+    names = spark.createDataFrame([(t, *rest) for t, rest in TECHNIQUES.items()], NAMES)
+    want = {tuple(r) for r in tag_events(events).collect()}
+    # One slice, then slices of a few patterns each: the winner is the same.
+    for size, block in ((1 << 20, 1024), (400, 4)):
+        got = tag_by_rule_table(events, rules, names, slice_bytes=size, block=block)
+        assert got.columns == tag_events(events).columns
+        assert {tuple(r) for r in got.collect()} == want
+    none = tag_by_rule_table(events, rules.limit(0), names)
+    assert {(r.technique_id, r.mitre_confidence) for r in none.collect()} == {(None, "NONE")}
+    assert tag_by_rule_table(events.limit(0), rules, names).count() == 0
+
+
+def test_rule_table_of_fifty_thousand_patterns(spark):
+    rules = spark.range(50_000).select(
+        F.concat(F.lit("T"), F.col("id") % 7).alias("technique"),
+        F.when(F.col("id") % 3 == 0, "HIGH").otherwise("LOW").alias("confidence"),
+        F.format_string(r"user\s+u%d\b", "id").alias("pattern"), F.col("id").alias("rule_order"),
+        F.lit(0).alias("pattern_order"),
+    )
+    events = spark.range(0, 100_000, 997).select(F.format_string("USER  u%d and user u4 came", "id").alias("message"))
+    names = spark.createDataFrame([("T0", "zero", "tactic"), ("T0", "zero", "tactic")], NAMES)
+    got = tag_by_rule_table(events, rules, names, raw_col=None, slice_bytes=2 << 20).collect()
+    assert len(got) == 101
+    for row in got:
+        n = int(row.message.split()[1][1:])
+        best = n if n < 50_000 and (n % 3 == 0 or n < 4) else 4
+        assert row.matched_rule == rf"user\s+u{best}\b" and row.technique_id == f"T{best % 7}"
+        assert row.technique_name == ("zero" if best % 7 == 0 else "Unknown")
