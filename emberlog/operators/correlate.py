@@ -22,6 +22,7 @@ from emberlog.constants.kill_chains import (
     KillChain,
 )
 from emberlog.functions.text import severity_rank
+from emberlog.operators.ranking import row_numbers
 from emberlog.session import stage
 
 RANK_BLOCK = 65_536
@@ -48,7 +49,7 @@ def _linkable(address: Column) -> Column:
 
 
 def _rank_within(
-    df: DataFrame, key: str, rank: str, order: Sequence[str] = ("position",), width: int = RANK_BLOCK
+    df: DataFrame, key: str, rank: str, order: Sequence[str] = ("position",)
 ) -> DataFrame:
     """Add the 0-based place of a row within its key in the given order.
 
@@ -56,7 +57,7 @@ def _rank_within(
     the earlier blocks, so one busy key is spread over many tasks. The second step joins on the
     same keys and adds no shuffle of the rows. Rows with a NULL key get no usable rank.
     """
-    keyed = df.withColumn("_block", F.floor(F.col(order[0]) / width))
+    keyed = df.withColumn("_block", F.floor(F.col(order[0]) / RANK_BLOCK))
     local = Window.partitionBy(key, "_block").orderBy(*order)
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -445,14 +446,16 @@ def kill_chain_scan(events: DataFrame, limit: int = 200) -> DataFrame:
 def timed_ip_edges(events: DataFrame, ts_col: str = "event_ts", window_minutes: int = 5) -> DataFrame:
     """Address links in time order that are at most ``window_minutes`` apart.
 
-    Reach stays 14, which keeps every pair of successive events linked and the links linear.
+    Reach stays 14, which keeps every pair of successive events linked and the links linear. Events are numbered
+    once over all addresses by range partitions, so a burst of one address is spread over the tasks like any rows.
     """
     span = window_minutes * 60_000_000
     micros = F.unix_micros(F.col(ts_col).cast("timestamp"))
     nodes = events.filter(_linkable(F.col("source_ip"))).select(
         "id", micros.alias("micros"), F.col("source_ip").alias("ip_key")
     )
-    ranked = _rank_within(nodes, "ip_key", "rank", ("micros", "id"), width=60_000_000)
+    # Successive events of an address have successive numbers, wherever its first one falls.
+    ranked = row_numbers(nodes, [F.col("ip_key"), F.col("micros"), F.col("id")], "rank")
     return (
         _following(ranked, "ip_key", "rank", SAME_IP_REACH, ["id", "micros"])
         .filter(F.col("_v.micros") - F.col("micros") <= span)

@@ -36,33 +36,47 @@ def anomalies(events: DataFrame, limit: int = 50) -> DataFrame:
     )
 
 
-def _most_frequent(events: DataFrame, column: str) -> Column:
-    """Most frequent value as a scalar; ties go to the smaller value."""
-    return (
-        events.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(1).select(column)
-    ).scalar()
-
-
 def metrics(events: DataFrame) -> DataFrame:
-    """One row of summary figures; false positives are included in all counts."""
+    """One row of summary figures; false positives are included in all counts.
+
+    One scan: counts per address and technique first, then that much smaller result by address, by technique and in
+    total. Most frequent values: ties go to the smaller value, NULL first.
+    """
     is_anomaly = F.col("is_anomaly")
-    totals = events.agg(
-        F.count("*").alias("total_events"),
-        F.count_if(is_anomaly).alias("total_anomalies"),
-        F.count_if(F.col("is_false_positive")).alias("false_positives_blocked"),
-        F.count_if(F.col("severity") == "CRITICAL").alias("critical_events"),
-        F.count_if(F.col("severity") == "HIGH").alias("high_events"),
-        F.count("technique_id").alias("mitre_tagged"),
-        F.avg(F.when(is_anomaly, F.col("anomaly_score"))).alias("_mean"),
+    pairs = events.groupBy("source_ip", "technique_id").agg(
+        F.count("*").alias("n"),
+        F.count_if(is_anomaly).alias("anomalies"),
+        F.count_if(F.col("is_false_positive")).alias("false_positives"),
+        F.count_if(F.col("severity") == "CRITICAL").alias("critical"),
+        F.count_if(F.col("severity") == "HIGH").alias("high"),
+        F.count("technique_id").alias("tagged"),
+        F.sum(F.when(is_anomaly, F.col("anomaly_score"))).alias("score"),
+        F.count(F.when(is_anomaly, F.col("anomaly_score"))).alias("scored"),
+    )
+    counts = ["n", "anomalies", "false_positives", "critical", "high", "tagged", "score", "scored"]
+    sets = pairs.groupingSets(
+        [[F.col("source_ip")], [F.col("technique_id")], []], F.col("source_ip"), F.col("technique_id")
+    ).agg(*[F.sum(c).alias(c) for c in counts], F.grouping("source_ip").alias("no_ip"), F.grouping("technique_id").alias("no_technique"))
+    overall = (F.col("no_ip") == 1) & (F.col("no_technique") == 1)
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.max(F.when(overall, F.col(name))), F.lit(0)).alias(name)
+
+    def most_frequent(name: str, rows: Column) -> Column:
+        return F.min(F.when(rows, F.struct((-F.col("n")).alias("order"), F.col(name).alias("value"))))["value"]
+
+    one = sets.agg(
+        *[total(c) for c in counts],
+        most_frequent("source_ip", F.col("no_ip") == 0).alias("top_attacker_ip"),
+        most_frequent("technique_id", (F.col("no_technique") == 0) & F.col("technique_id").isNotNull()).alias("top_technique"),
     )
-    total, tagged = F.col("total_events"), F.col("mitre_tagged")
-    return totals.select(
-        "total_events", "total_anomalies", "false_positives_blocked", "critical_events", "high_events",
-        "mitre_tagged",
-        F.when(total > 0, F.round(tagged / total * 100, 1)).otherwise(F.lit(0.0)).alias("mitre_tag_rate"),
-        F.round(F.coalesce("_mean", F.lit(0.0)), 3).alias("avg_anomaly_score"),
-        _most_frequent(events, "source_ip").alias("top_attacker_ip"),
-        _most_frequent(events.filter(F.col("technique_id").isNotNull()), "technique_id").alias("top_technique"),
+    rate = F.when(F.col("n") > 0, F.round(F.col("tagged") / F.col("n") * 100, 1)).otherwise(F.lit(0.0))
+    mean = F.when(F.col("scored") > 0, F.col("score") / F.col("scored")).otherwise(F.lit(0.0))
+    return one.select(
+        F.col("n").alias("total_events"), F.col("anomalies").alias("total_anomalies"),
+        F.col("false_positives").alias("false_positives_blocked"), F.col("critical").alias("critical_events"),
+        F.col("high").alias("high_events"), F.col("tagged").alias("mitre_tagged"), rate.alias("mitre_tag_rate"),
+        F.round(mean, 3).alias("avg_anomaly_score"), "top_attacker_ip", "top_technique",
     )
 
 

@@ -1,5 +1,8 @@
 """The event table and the feedback table: append-only Parquet, corrected at read time."""
 
+import re
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,10 @@ from emberlog.session import stage
 
 RAW_LENGTH = 500
 _DATE = "ingest_date"
+_BATCH = "ingest_batch"
+#: Below the table; readers of Parquet skip names that start with an underscore.
+_MANIFEST = "_manifest"
+MANIFEST_SCHEMA = StructType().add("batch", "string").add("first_id", "long").add("rows", "long").add("last_id", "long")
 
 
 def assemble_events(
@@ -74,27 +81,62 @@ def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def append_events(rows: DataFrame, path: str, key: str = "seq") -> int:
-    """Append assembled rows and return their number.
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row per committed batch: its name, first id, number of rows and last id."""
+    return _read(spark, f"{path}/{_MANIFEST}", MANIFEST_SCHEMA)
+
+
+def append_events(rows: DataFrame, path: str, key: str = "seq", batch: str | None = None) -> int:
+    """Append assembled rows as one batch and return their number.
 
-    Ids continue after the table's largest one: ``next id + key``, so ``key`` must start at 0 and be
-    dense for ids without gaps. The table is partitioned by ingest date.
+    Ids continue after the last committed one: ``last id + 1 + key``, so ``key`` must start at 0 and be dense
+    for ids without gaps. A batch is written once, to a folder of its own, partitioned by ingest date; then its
+    row in the manifest commits it, so that readers see all of a batch or nothing. The next first id comes from
+    the manifest and not from the stored rows.
+
+    A ``batch`` that is already there is replaced and keeps its ids; without a name every call is a new batch.
+    Refused is a repeated batch with more rows than the ids that it holds, if others have followed. One writer at a time.
     """
     spark = rows.sparkSession
-    last = read_events(spark, path).agg(F.max("id")).scalar()
-    batch = rows.withColumn("id", F.coalesce(last, F.lit(0)) + F.col(key) + 1)
-    batch = batch.withColumn("inserted_at", F.current_timestamp()).withColumn(
-        "is_false_positive", F.lit(False)
+    name = uuid.uuid4().hex if batch is None else batch
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", name):
+        raise ValueError(f"a batch is named by letters, digits, '_', '.' and '-', not {batch!r}")
+    manifest = read_manifest(spark, path)
+    seen = manifest.agg(
+        F.max("last_id").alias("last"),
+        F.max(F.when(F.col("batch") == name, F.col("first_id"))).alias("first"),
+        F.max(F.when(F.col("batch") == name, F.col("last_id"))).alias("own_last"),
+    ).first()
+    first_id = seen.first if seen.first is not None else (seen.last or 0) + 1
+    if seen.first is not None and seen.own_last < seen.last:
+        largest = rows.agg(F.max(key)).first()[0]
+        if largest is not None and first_id + largest > seen.own_last:
+            raise ValueError(f"batch {name!r} has grown and later batches follow it")
+
+    numbered = rows.withColumn("id", F.lit(first_id) + F.col(key))
+    stamped = numbered.withColumn("inserted_at", F.current_timestamp()).withColumn("is_false_positive", F.lit(False))
+    layout = stamped.select(*[F.col(f.name).cast(f.dataType) for f in EVENTS_SCHEMA.fields])
+    folder = f"{path}/{_BATCH}={name}"
+    layout.withColumn(_DATE, F.to_date("inserted_at")).write.mode("overwrite").partitionBy(_DATE).parquet(folder)
+    # The batch's own ids only: one column of what was just written.
+    written = _read(spark, folder, EVENTS_SCHEMA).agg(F.count("*").alias("n"), F.max("id").alias("last")).first()
+    last_id = first_id - 1 if written.last is None else written.last
+    entry = spark.range(1).select(
+        F.lit(name).alias("batch"), F.lit(first_id).cast("long").alias("first_id"),
+        F.lit(written.n).cast("long").alias("rows"), F.lit(last_id).cast("long").alias("last_id"),
     )
-    layout = batch.select(*[F.col(f.name).cast(f.dataType) for f in EVENTS_SCHEMA.fields])
-    staged = stage(layout.withColumn(_DATE, F.to_date("inserted_at")), "event-batch")
-    staged.write.mode("append").partitionBy(_DATE).parquet(path)
-    return staged.count()
+    entry.write.mode("overwrite").parquet(f"{path}/{_MANIFEST}/of={name}")
+    return written.n
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The event table as stored; an empty table if nothing was written yet."""
-    return _read(spark, path, EVENTS_SCHEMA)
+    """The committed batches of the event table; an empty table if nothing was written yet.
+
+    The join is by the folder's name, so folders that no manifest row commits are not read.
+    """
+    by_batch = StructType(EVENTS_SCHEMA.fields).add(_BATCH, "string")
+    committed = read_manifest(spark, path).select(F.col("batch").alias(_BATCH))
+    return _read(spark, path, by_batch).join(committed, _BATCH, "left_semi").select(*EVENTS_SCHEMA.names)
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
