@@ -1,8 +1,5 @@
 """Line-log and export-record sources with a dense row number."""
 
-from functools import reduce
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,39 +16,55 @@ RECORD_SPLIT = r"Event\[\d+\]:"
 CONTAMINATION = {"sample": 0.1, "real": 0.05, "combined": 0.05}
 
 
-def _read_existing(spark: SparkSession, paths: list[str], column: str, **options) -> DataFrame:
-    """Text rows of every path that exists, in list order, with their place in the files."""
-    parts = []
+def _existing(spark: SparkSession, paths: list[str]) -> list[tuple[int, str]]:
+    """Rank and full name of all that the listed paths and patterns name; what does not exist is left out."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    found = []
     for rank, path in enumerate(paths):
-        try:
-            frame = spark.read.text(path, **options)
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error.getCondition()):
-                raise
-            continue
-        parts.append(
-            frame.select(
-                F.make_valid_utf8("value").alias(column),
-                F.lit(rank).alias("_rank"),
-                F.col("_metadata.file_path").alias("_file"),
-                F.col("_metadata.file_block_start").alias("_start"),
-            )
-        )
-    if not parts:
-        empty = f"{column} string, _rank int, _file string, _start long"
-        return spark.createDataFrame([], empty)
-    return reduce(DataFrame.unionByName, parts)
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        for status in place.getFileSystem(conf).globStatus(place) or []:
+            found.append((rank, status.getPath().toUri().toString()))
+    return found
+
+
+def _read_existing(spark: SparkSession, paths: list[str], column: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Text rows of all paths that exist, read at once, with their place in the files; and rank and name of the paths."""
+    roots = _existing(spark, paths)
+    named = spark.createDataFrame(roots, "_rank int, _root string")
+    if not roots:
+        return spark.createDataFrame([], f"{column} string, _file string, _start long"), named
+    jvm = spark._jvm
+    # A plain path again, so that names with blanks or signs are found.
+    names = sorted({jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(root)).toString() for _, root in roots})
+    frame = spark.read.text(names, **options)
+    rows = frame.select(
+        F.make_valid_utf8("value").alias(column),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+    )
+    return rows, named
+
+
+def _in_paths(blocks: DataFrame, roots: DataFrame) -> DataFrame:
+    """The blocks with the rank of the path that names their file or a folder above it, once for each such path."""
+    bare = F.regexp_replace("_file", "^file:/+", "file:/")
+    parts = F.split(bare, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    plain = roots.select("_rank", F.regexp_replace(F.regexp_replace("_root", "^file:/+", "file:/"), "/$", "").alias("_root"))
+    return blocks.withColumn("_root", F.explode(above)).join(plain, "_root").drop("_root")
 
 
-def _with_seq(rows: DataFrame, seq_col: str) -> DataFrame:
+def _with_seq(rows: DataFrame, roots: DataFrame, seq_col: str) -> DataFrame:
     """Number the rows 0, 1, 2 … in path, file and line order without a global sort.
 
     Rows are counted per file block; the running sum of the counts is each block's offset. Within
-    a block, rows keep the order of Spark's own increasing id.
+    a block, rows keep the order of Spark's own increasing id. Paths are matched with blocks, not with
+    rows; a file that two paths name is numbered once for each. ``_leads`` marks the first row of a file.
     """
-    block = ["_rank", "_file", "_start"]
+    block = ["_file", "_start"]
     marked = rows.withColumn("_mid", F.monotonically_increasing_id())
-    blocks = marked.groupBy(*block).agg(F.count("*").alias("_n"), F.min("_mid").alias("_first"))
+    counted = marked.groupBy(*block).agg(F.count("*").alias("_n"), F.min("_mid").alias("_first"))
+    blocks = _in_paths(counted, roots)
     in_file = Window.partitionBy("_rank", "_file").orderBy("_start").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -67,12 +80,13 @@ def _with_seq(rows: DataFrame, seq_col: str) -> DataFrame:
         blocks.withColumn("_c", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))
         .join(file_offset, ["_rank", "_file"])
         .join(path_offset, "_rank")
-        .select(*block, "_first", (F.col("_a") + F.col("_b") + F.col("_c")).alias("_offset"))
+        .select(*block, "_first", "_c", (F.col("_a") + F.col("_b") + F.col("_c")).alias("_offset"))
     )
     return (
         marked.join(offsets, block)
         .withColumn(seq_col, F.col("_offset") + F.col("_mid") - F.col("_first"))
-        .drop("_mid", "_first", "_offset", *block)
+        .withColumn("_leads", (F.col("_c") == 0) & (F.col("_mid") == F.col("_first")))
+        .drop("_mid", "_first", "_offset", "_c", *block)
     )
 
 
@@ -82,42 +96,41 @@ def read_lines(spark: SparkSession, paths: str | list[str], seq_col: str = "seq"
     Paths that do not exist are skipped.
     """
     listed = [paths] if isinstance(paths, str) else list(paths)
-    rows = _read_existing(spark, listed, "line").withColumn("line", strip_space(F.col("line")))
+    rows, roots = _read_existing(spark, listed, "line")
+    rows = rows.withColumn("line", strip_space(F.col("line")))
     rows = rows.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
-    return _with_seq(rows, seq_col).select(seq_col, "line")
+    return _with_seq(rows, roots, seq_col).select(seq_col, "line")
 
 
 def read_export_records(
-    spark: SparkSession, paths: str | list[str], whole_files: bool = False, seq_col: str = "seq"
+    spark: SparkSession, paths: str | list[str], whole_files: bool = False, seq_col: str = "seq", block: int = 65_536
 ) -> DataFrame:
     """Multi-line export records (``seq``, ``record``), one per ``Event[n]:`` marker.
 
     The default splits large files between tasks. A separator that is not a marker (``Event[`` in a
-    description) is put back: such rows are rare, so only they and their records are regrouped.
+    description) is put back: only such rows are regrouped, numbered in blocks of ``block`` pieces, so that one
+    file of many such rows is worked on in many tasks.
     ``whole_files=True`` reads each file as one row instead, for small files.
     """
     listed = [paths] if isinstance(paths, str) else list(paths)
     if whole_files:
-        rows = _read_existing(spark, listed, "text", wholetext=True)
+        rows, roots = _read_existing(spark, listed, "text", wholetext=True)
         pieces = rows.withColumn("record", F.explode(F.split("text", RECORD_SPLIT))).drop("text")
         pieces = pieces.filter((strip_space(F.col("record")) != ""))
-        return _with_seq(pieces, seq_col).select(seq_col, "record")
+        return _with_seq(pieces, roots, seq_col).select(seq_col, "record")
 
-    rows = _read_existing(spark, listed, "piece", lineSep=RECORD_SEPARATOR)
-    numbered = _with_seq(rows.withColumn("_origin", F.col("_file")), "_piece")
-    # What a file has before its first marker is a record too.
-    firsts = numbered.groupBy("_origin").agg(F.min("_piece").alias("_first_piece"))
-    numbered = numbered.join(firsts, "_origin").withColumn("_leads", F.col("_piece") == F.col("_first_piece"))
+    rows, roots = _read_existing(spark, listed, "piece", lineSep=RECORD_SEPARATOR)
+    # What a file has before its first marker is a record too, so every file begins with a start.
+    numbered = _with_seq(rows, roots, "_piece")
     is_start = F.col("_leads") | F.col("piece").rlike(RECORD_START)
     starts = numbered.filter(is_start).withColumn(
         "record", F.when(F.col("_leads"), F.col("piece")).otherwise(F.regexp_replace("piece", RECORD_START, ""))
     )
-    # Runs of continuation rows: the row before a run is the record they belong to.
-    loose = numbered.filter(~is_start)
-    run = F.col("_piece") - F.row_number().over(Window.partitionBy("_origin").orderBy("_piece"))
+    # Runs of continuation rows: numbered among themselves block by block, a run keeps one distance to the piece
+    # numbers. The row before a run is the record that it belongs to; only a record's own rows come together.
+    loose = densify(numbered.filter(~is_start).withColumn("_dense", F.col("_piece")), "_dense", block)
     tails = (
-        loose.withColumn("_run", run)
-        .groupBy("_origin", "_run")
+        loose.groupBy((F.col("_piece") - F.col("_dense")).alias("_run"))
         .agg(
             (F.min("_piece") - 1).alias("_piece"),
             F.array_join(
@@ -128,9 +141,9 @@ def read_export_records(
                 "",
             ).alias("_tail"),
         )
-        .select("_origin", "_piece", "_tail")
+        .select("_piece", "_tail")
     )
-    joined = starts.join(tails, ["_origin", "_piece"], "left").select(
+    joined = starts.join(tails, "_piece", "left").select(
         F.col("_piece").alias(seq_col), F.concat("record", F.coalesce("_tail", F.lit(""))).alias("record")
     )
     return joined.filter(strip_space(F.col("record")) != "")

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from emberlog.operators import queries as Q
 from emberlog.operators.correlate import correlation_edges, correlation_nodes, edge_type_counts
 from emberlog.operators.normalize import normalize_lines, parse_rate_report
 from emberlog.operators.tagging import tag_events, technique_report
+from emberlog.sources import answers as A
 from emberlog.sources import event_table as E
 from emberlog.sources.lines import densify, read_export_records, read_lines, read_sources
 from emberlog.sources.reports import write_csv, write_json
@@ -45,6 +47,47 @@ def test_export_records_both_readers(spark, tmp_path):
     assert whole == split
 
 
+def test_paths_are_read_at_once(spark, tmp_path):
+    folder = tmp_path / "logs of day #1"
+    (folder / "b").mkdir(parents=True)
+    (folder / "2.log").write_text("two\n")
+    (folder / "1.log").write_text("one\n\n")
+    (tmp_path / "solo é.log").write_text("solo\n")
+    (tmp_path / "empty.log").write_text("")
+
+    def lines(*paths):
+        return [(r.seq, r.line) for r in read_lines(spark, list(paths)).orderBy("seq").collect()]
+
+    solo, both = str(tmp_path / "solo é.log"), str(folder / "*.log")
+    assert lines(solo, str(tmp_path / "none"), both) == [(0, "solo"), (1, "one"), (2, "two")]
+    # The order of the list counts, and a path listed twice is read twice.
+    assert lines(both, str(tmp_path / "empty.log"), solo, both) == [(0, "one"), (1, "two"), (2, "solo"), (3, "one"), (4, "two")]
+    assert lines(str(folder / "2.log"), f"file://{folder}/1.log") == [(0, "two"), (1, "one")]
+    many = [str(folder / "1.log")] * 1500
+    assert read_lines(spark, many).count() == 1500
+    plan = read_lines(spark, [solo, both])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+
+
+def test_loose_pieces_of_one_file_go_through_many_tasks(spark, tmp_path):
+    # Half of all separators are no markers; runs reach over blocks of pieces and over file splits.
+    rng = random.Random(3)
+    wanted, text = [], ""
+    for i in range(600):
+        body = f" Event ID: {i}\n" + "".join(f"see Event[x{j}] " for j in range(rng.choice([0, 0, 0, 1, 2, 40])))
+        wanted.append(body.strip())
+        text += f"Event[{i}]:\n{body}\n"
+    path = tmp_path / "export.log"
+    path.write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        records = read_export_records(spark, [str(path), str(path)], block=16)
+        got = [r.record.strip() for r in records.orderBy("seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == wanted + wanted
+
+
 def test_source_selection(spark, tmp_path):
     (tmp_path / "a.log").write_text("free text\n\nmore text\n")
     (tmp_path / "x.log").write_text("Event[0]:\n Event ID: 4625\nEvent[1]:\n nothing\nEvent[2]:\n Event ID: 1102\n")
@@ -103,6 +146,72 @@ def test_event_table_and_feedback(spark, tmp_path):
     assert (row.mitre_tag_rate, row.avg_anomaly_score) == (33.3, 0.9)
 
 
+def test_repeated_batches_replace_themselves(spark, tmp_path):
+    table = str(tmp_path / "events")
+
+    def rows(n, start=0):
+        return E.with_defaults(spark.createDataFrame([event(i, ip=f"1.1.1.{start + i}") for i in range(n)], LAYOUT))
+
+    def stored():
+        return {r.id: r.source_ip for r in E.read_events(spark, table).collect()}
+
+    assert E.append_events(rows(3), table, batch="a") == 3
+    assert E.append_events(rows(2, 10), table, batch="b") == 2
+    first = stored()
+    assert first == {1: "1.1.1.0", 2: "1.1.1.1", 3: "1.1.1.2", 4: "1.1.1.10", 5: "1.1.1.11"}
+    assert E.append_events(rows(3), table, batch="a") == 3
+    assert stored() == first
+    # The last batch may grow when it is repeated; one with batches after it may not.
+    assert E.append_events(rows(4, 10), table, batch="b") == 4
+    assert sorted(stored()) == [1, 2, 3, 4, 5, 6, 7]
+    with pytest.raises(ValueError):
+        E.append_events(rows(4), table, batch="a")
+    with pytest.raises(ValueError):
+        E.append_events(rows(1), table, batch="a/b")
+    assert sorted(stored()) == [1, 2, 3, 4, 5, 6, 7]
+    assert E.append_events(rows(0), table) == 0
+    # What no manifest row commits is not read.
+    E.read_events(spark, table).limit(1).write.parquet(f"{table}/ingest_batch=lost/ingest_date=2024-01-01")
+    assert sorted(stored()) == [1, 2, 3, 4, 5, 6, 7]
+    assert E.append_events(rows(1), table) == 1 and max(stored()) == 8
+    assert {(r.batch, r.first_id, r.rows, r.last_id) for r in E.read_manifest(spark, table).filter("rows > 1").collect()} == {
+        ("a", 1, 3, 3), ("b", 4, 4, 7),
+    }
+
+
+def test_answers_are_kept_across_batches(spark, tmp_path):
+    path = str(tmp_path / "answers")
+    layout = "id long, technique_id string, severity string, message string"
+    asked = []
+
+    def answer(requests):
+        asked.append(sorted(r.message or "none" for r in requests.collect()))
+        # "odd" gets no answer, "twice" gets two: the smaller one is kept.
+        rows = requests.filter("coalesce(message, '') <> 'odd'").withColumn("n", F.when(F.col("message") == "twice", F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(0))))
+        return rows.select("cache_key", F.explode("n").alias("note"), F.lit("model").alias("source"))
+
+    def run(number, *messages, start=0):
+        events = spark.createDataFrame([(start + i, None, "HIGH", m) for i, m in enumerate(messages)], layout)
+        rows = A.answer_batch(events, path, number, answer)
+        return [(r.message, r.note, r.source, r.asked_by, r.cached) for r in rows.orderBy("id").collect()]
+
+    first = run(0, "one", "twice", "one", "odd")
+    assert asked[-1] == ["odd", "one", "twice"]
+    assert first == [
+        ("one", 0, "model", 0, False), ("twice", 1, "model", 1, False), ("one", 0, "model [cached]", 0, True), ("odd", None, None, None, False),
+    ]
+    second = run(1, "one", "odd", "new", None, start=10)
+    assert asked[-1] == ["new", "none", "odd"]
+    assert second[0] == ("one", 0, "model [cached]", 0, True) and second[2] == ("new", 0, "model", 12, False)
+    # A retry asks the same keys and changes nothing.
+    requests = asked[-1]
+    assert run(1, "one", "odd", "new", None, start=10) == second
+    assert asked[-1] == requests
+    assert A.stored_answers(spark, path).groupBy("cache_key").count().filter("count > 1").count() == 0
+    assert run(2, start=20) == []
+    assert A.batch_report(spark.createDataFrame([], "cached boolean")).first().hit_rate == 0.0
+
+
 def test_metrics_of_an_empty_table(spark, tmp_path):
     row = Q.metrics(E.read_events(spark, str(tmp_path / "none"))).first()
     assert (row.total_events, row.mitre_tag_rate, row.avg_anomaly_score, row.top_attacker_ip) == (0, 0.0, 0.0, None)
