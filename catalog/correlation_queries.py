@@ -77,10 +77,13 @@ def _flat_chains(df):
 
 @query("correlation_nodes", over(
     "events",
-    "SELECT id, -id AS position, source_ip, severity, tactic, technique_id, anomaly_score, message FROM nd", _LINKS,
+    "SELECT nd.id, -nd.id AS position, nd.source_ip, nd.severity, nd.tactic, nd.technique_id, nd.anomaly_score, nd.message, "
+    "ev.timestamp, epoch_us(ev.event_ts) AS inserted_us FROM nd JOIN ev USING (id)", _LINKS,
 ))
 def correlation_nodes(spark, sf):
-    return _nodes(spark, sf)
+    events = base.stored_events(spark, sf).withColumn("inserted_at", F.col("event_ts").cast("timestamp"))
+    nodes = C.correlation_nodes(events)
+    return nodes.withColumn("inserted_us", F.unix_micros("inserted_at")).drop("inserted_at")
 
 
 def _ranked(spark, sf):
@@ -192,6 +195,43 @@ def graph_summary(spark, sf):
     return C.graph_summary(nodes, C.correlation_edges(nodes), C.correlated_groups(keys), C.kill_chains(keys))
 
 
+_NEWEST = "newest AS MATERIALIZED (SELECT * FROM ev ORDER BY id DESC LIMIT 100)"
+_NEWEST_LINKS = _LINKS.replace("FROM ev)", "FROM newest)")
+
+
+def _newest_graph(spark, sf):
+    return C.newest_graph(base.stored_events(spark, sf))
+
+
+@query("newest_graph_nodes", over(
+    "events",
+    "SELECT id, source_ip AS label, anomaly_score AS score, severity, technique_id AS technique, tactic, "
+    "substr(message, 1, 60) AS message FROM nd", _NEWEST, _NEWEST_LINKS,
+))
+def newest_graph_nodes(spark, sf):
+    """Nodes of the graph over the newest 100 events."""
+    return _newest_graph(spark, sf)[0]
+
+
+@query("newest_graph_edges", over(
+    "events", "SELECT u AS source, v AS target, relation, weight FROM edges", _NEWEST, _NEWEST_LINKS
+))
+def newest_graph_edges(spark, sf):
+    return _newest_graph(spark, sf)[1]
+
+
+@query("newest_graph_summary", over(
+    "events",
+    "SELECT (SELECT count(*) FROM newest) AS node_count, (SELECT count(*) FROM edges) AS edge_count, "
+    "(SELECT count(*) FROM grp) AS correlated_groups, "
+    f"(SELECT count(*) FROM ({_ALERTS})) AS kill_chain_count",
+    _NEWEST, _NEWEST_LINKS, _components("newest").replace("nd AS MATERIALIZED", "nd2 AS MATERIALIZED")
+    .replace("FROM nd", "FROM nd2").replace("nd.", "nd2."), _CHAINS, recursive=True,
+))
+def newest_graph_summary(spark, sf):
+    return _newest_graph(spark, sf)[2]
+
+
 @query("timed_ip_edges", over(
     "events",
     "SELECT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v, 'same_ip_in_time' AS relation, a.source_ip AS key, "
@@ -255,6 +295,19 @@ def session_chains_in_part(spark, sf):
     )
 
 
+# With a day of silence as the gap, sessions are long enough to hold whole chains.
+DAY_SESSIONS = SESSIONS.replace("300000000", "86400000000")
+
+
+@query("session_chains_of_days", over("events", SESSION_CHAINS, DAY_SESSIONS, _CHAINS))
+def session_chains_of_days(spark, sf):
+    chains = C.session_chains(C.address_sessions(base.stored_events(spark, sf), gap_minutes=1440))
+    return _micros(
+        chains, "event_count", "chain_name", "severity", "match_percent",
+        F.array_join("tactics_found", ",").alias("tactics_found"),
+    )
+
+
 _IN_ORDER = " UNION ALL ".join(
     f"SELECT source_ip, {text(c.name)} AS chain_name, epoch_us(t0) AS first_us, epoch_us(t{len(c.tactics) - 1}) AS last_us FROM "
     f"(SELECT source_ip, " + ", ".join(f"min(event_ts) FILTER (tactic = {text(t)}) AS t{i}" for i, t in enumerate(c.tactics))

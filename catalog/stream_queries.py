@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import base
 from catalog.correlation_queries import (
-    _ALERTS, _CHAINS, _MICROS, SESSION_CHAINS, SESSIONS, _components, _flat_chains, _micros,
+    _ALERTS, _CHAINS, _MICROS, DAY_SESSIONS, SESSION_CHAINS, SESSIONS, _components, _flat_chains, _micros,
 )
 from catalog.duck_base import over, py_round
 from catalog.duck_models import forest as forest_sql
@@ -118,6 +118,15 @@ def stream_session_chains(spark, sf):
     )
 
 
+@query("stream_session_chains_of_days", over("events", SESSION_CHAINS, DAY_SESSIONS, _CHAINS))
+def stream_session_chains_of_days(spark, sf):
+    stream = feed.session_chain_stream(_table(spark, sf), gap_minutes=1440)
+    return _micros(
+        feed.run_once(stream, "day-session-chains", "complete"), "event_count", "chain_name", "severity", "match_percent",
+        F.array_join("tactics_found", ",").alias("tactics_found"),
+    )
+
+
 @query("stream_feedback_overlay", over("events", "SELECT id, severity, is_false_positive FROM ev"))
 def stream_feedback_overlay(spark, sf):
     stream = feed.overlay_feedback(_table(spark, sf), base.feedback(spark, sf))

@@ -59,6 +59,24 @@ def append_and_read_events(spark, sf):
     )
 
 
+@query("append_twice", over(
+    "events",
+    "SELECT p AS id, severity, source_ip, anomaly_score, technique_id, 'day' || part AS batch, "
+    "min(p) OVER (PARTITION BY part) AS first_id, count(*) OVER (PARTITION BY part) AS rows, max(p) OVER (PARTITION BY part) AS last_id "
+    "FROM (SELECT *, (id - 1) % 3 AS part, row_number() OVER (ORDER BY (id - 1) % 3, id) AS p FROM ev)",
+))
+def append_twice(spark, sf):
+    """Three batches, the first two written again, as a retry does: they replace themselves and keep their ids."""
+    path = new_stage_path(spark, "event-table")
+    rows = base.stored_events(spark, sf).withColumn("part", (F.col("id") - 1) % 3)
+    rows = rows.withColumn("seq", F.floor((F.col("id") - 1) / 3)).drop("id", "is_false_positive")
+    for part in (0, 1, 0, 2, 1):
+        event_table.append_events(rows.filter(F.col("part") == part).drop("part"), path, batch=f"day{part}")
+    batches = event_table.read_manifest(spark, path)
+    events = event_table.read_events(spark, path).select("id", "severity", "source_ip", "anomaly_score", "technique_id")
+    return events.join(batches, F.col("id").between(F.col("first_id"), F.col("last_id")))
+
+
 @query("recent_events", over("events", f"SELECT {_SHOWN} FROM ev ORDER BY id DESC LIMIT 50"))
 def recent_events(spark, sf):
     return _shown(Q.recent_events(base.events(spark, sf)))

@@ -1,5 +1,8 @@
 """Triage and prompt data over the given tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import base
@@ -7,6 +10,8 @@ from catalog.duck_base import any_word, over, text
 from catalog.registry import query
 from emberlog.constants import triage_text as X
 from emberlog.operators import triage as T
+from emberlog.session import new_stage_path, stage
+from emberlog.sources.answers import answer_batch, batch_report
 
 
 def _branch(cascade, lowered: str, score: str) -> str:
@@ -52,9 +57,9 @@ def triage_v1(spark, sf):
     return _flat(T.triage(base.stored_events(spark, sf), "v1"), "id")
 
 
-@query("triage_v2", over("events", _triage(X.CASCADE_V2, "ev", "id")))
+@query("triage_v2", over("events", _triage(X.CASCADE_V2, "ev", "id, 'rule-based' AS prompt_style")))
 def triage_v2(spark, sf):
-    return _flat(T.triage(base.stored_events(spark, sf), "v2"), "id")
+    return _flat(T.triage(base.stored_events(spark, sf), "v2"), "id", "prompt_style")
 
 
 _TURNS = (
@@ -101,6 +106,59 @@ def cache_report(spark, sf):
     return T.cache_report(base.stored_events(spark, sf), "v2")
 
 
+# Three batches in the order of the ids.
+_THIRDS = f"""asked AS MATERIALIZED (SELECT *, CAST((id - 1) * 3 // (SELECT max(id) FROM ev) AS BIGINT) AS batch, {KEY_V1} AS cache_key FROM ev),
+firsts AS MATERIALIZED (SELECT cache_key, min(batch) AS first_batch, min(id) AS first_id FROM asked GROUP BY 1)"""
+
+
+def _answer(requests):
+    """The rule cascade stands for the slow step."""
+    return T.triage(requests, "v1").select("cache_key", *_COLUMNS, "source", "latency_ms")
+
+
+def _answered_thirds(spark, sf, retried):
+    """The answered batches of the three thirds of the events; those in ``retried`` are answered twice."""
+    events = base.stored_events(spark, sf)
+    last = events.agg(F.max("id")).scalar()
+    events = stage(events.withColumn("third", F.floor((F.col("id") - 1) * 3 / last)), "thirds")
+    path = new_stage_path(spark, "answers")
+    for number in range(3):
+        rows = events.filter(F.col("third") == number)
+        for _ in range(2 if number in retried else 1):
+            answered = answer_batch(rows, path, number, _answer)
+        yield number, answered
+
+
+@query("answered_batches", over(
+    "events",
+    "SELECT batch, count(*) AS requests, count(*) FILTER (id = first_id) AS asked, count(*) FILTER (id <> first_id) AS hits, "
+    "round(count(*) FILTER (id <> first_id) / count(*), 4) AS hit_rate FROM asked JOIN firsts USING (cache_key) GROUP BY batch",
+    _THIRDS,
+))
+def answered_batches(spark, sf):
+    """Hits per batch: a later batch asks only keys that no earlier one has; the second batch is retried."""
+    reports = [
+        batch_report(rows).withColumn("batch", F.lit(n).cast("long")) for n, rows in _answered_thirds(spark, sf, {1})
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
+@query("answered_events", over(
+    "events",
+    "SELECT e.id, e.batch, e.cache_key, f.first_id AS asked_by, e.id <> f.first_id AS cached, a.threat_type, a.explanation, "
+    "'rule-based' || CASE WHEN e.id <> f.first_id THEN ' [cached]' ELSE '' END AS source "
+    f"FROM asked e JOIN firsts f USING (cache_key) JOIN ({_triage(X.CASCADE_V1, 'ev', 'id')}) a ON a.id = f.first_id",
+    _THIRDS,
+))
+def answered_events(spark, sf):
+    """Every event with the answer that its key got when it was first asked."""
+    batches = [
+        rows.select("id", F.col("third").alias("batch"), "cache_key", "asked_by", "cached", "threat_type", "explanation", "source")
+        for _, rows in _answered_thirds(spark, sf, {0})
+    ]
+    return reduce(DataFrame.unionByName, batches)
+
+
 @query("attached_answers", over(
     "events",
     f"SELECT e.id, a.n_events, a.first_id FROM (SELECT id, {KEY_V1} AS k FROM ev) e "

@@ -30,8 +30,13 @@ CHUNK = 8_192
 
 
 def correlation_nodes(events: DataFrame, newest_first: bool = True) -> DataFrame:
-    """Nodes with defaults; ``position`` orders the list (newest id first unless told otherwise)."""
+    """Nodes with defaults; ``position`` orders the list (newest id first unless told otherwise).
+
+    Events without ``timestamp`` or ``inserted_at`` get empty texts or NULL times.
+    """
     order = -F.col("id") if newest_first else F.col("id")
+    stamp = F.col("timestamp") if "timestamp" in events.columns else F.lit("")
+    inserted = F.col("inserted_at") if "inserted_at" in events.columns else F.lit(None)
     return events.select(
         "id",
         order.alias("position"),
@@ -41,6 +46,8 @@ def correlation_nodes(events: DataFrame, newest_first: bool = True) -> DataFrame
         F.coalesce("technique_id", F.lit("")).alias("technique_id"),
         F.coalesce(F.col("anomaly_score").cast("double"), F.lit(0.0)).alias("anomaly_score"),
         F.substring(F.coalesce("message", F.lit("")), 1, 80).alias("message"),
+        F.coalesce(stamp.cast("string"), F.lit("")).alias("timestamp"),
+        inserted.cast("timestamp").alias("inserted_at"),
     )
 
 
@@ -49,7 +56,7 @@ def _linkable(address: Column) -> Column:
 
 
 def _rank_within(
-    df: DataFrame, key: str, rank: str, order: Sequence[str] = ("position",)
+    df: DataFrame, key: str, rank: str, order: Sequence[str] = ("position",), width: int = RANK_BLOCK
 ) -> DataFrame:
     """Add the 0-based place of a row within its key in the given order.
 
@@ -57,7 +64,7 @@ def _rank_within(
     the earlier blocks, so one busy key is spread over many tasks. The second step joins on the
     same keys and adds no shuffle of the rows. Rows with a NULL key get no usable rank.
     """
-    keyed = df.withColumn("_block", F.floor(F.col(order[0]) / RANK_BLOCK))
+    keyed = df.withColumn("_block", F.floor(F.col(order[0]) / width))
     local = Window.partitionBy(key, "_block").orderBy(*order)
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -431,6 +438,15 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, groups: DataFrame, chains:
     )
 
 
+def newest_graph(events: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Graph export over the newest ``limit`` events: node list, edge list and the row of counts."""
+    nodes = stage(correlation_nodes(events.orderBy(F.desc("id")).limit(limit)), "newest-nodes")
+    edges = correlation_edges(nodes)
+    keys = component_keys(nodes)
+    counts = graph_summary(nodes, edges, correlated_groups(keys), kill_chains(keys))
+    return graph_nodes(nodes), graph_edges(edges), counts
+
+
 def kill_chain_scan(events: DataFrame, limit: int = 200) -> DataFrame:
     """Alerts over the newest ``limit`` events with the number of events scanned and of alerts."""
     newest = stage(events.orderBy(F.desc("id")).limit(limit), "newest-events")

@@ -42,7 +42,7 @@ def triage(
 ) -> DataFrame:
     """Add the cascade's answer as columns; first branch with a matching word or score wins.
 
-    The last branch catches everything, the one before goes by score.
+    The last branch catches everything, the one before goes by score. Profile v2 names its ``prompt_style`` too.
     """
     _profile(profile)
     verdicts = list(cascade or _CASCADES[profile])
@@ -69,6 +69,7 @@ def triage(
     prepared = events.withColumn("_lower", F.lower(F.coalesce("message", F.lit("")))).withColumn(
         "_branch", branch
     )
+    style = [F.lit("rule-based").alias("prompt_style")] if profile == "v2" else []
     return once(prepared.drop("_lower"), "_branch").select(
         *events.columns,
         chosen([v.threat_type for v in verdicts]).alias("threat_type"),
@@ -79,6 +80,7 @@ def triage(
         chosen([v.false_positive_probability for v in verdicts]).alias("false_positive_probability"),
         F.lit("rule-based").alias("source"),
         F.lit(0).cast("long").alias("latency_ms"),
+        *style,
     )
 
 

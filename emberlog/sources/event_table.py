@@ -134,7 +134,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
     The join is by the folder's name, so folders that no manifest row commits are not read.
     """
-    by_batch = StructType(EVENTS_SCHEMA.fields).add(_BATCH, "string")
+    by_batch = StructType(list(EVENTS_SCHEMA.fields)).add(_BATCH, "string")
     committed = read_manifest(spark, path).select(F.col("batch").alias(_BATCH))
     return _read(spark, path, by_batch).join(committed, _BATCH, "left_semi").select(*EVENTS_SCHEMA.names)
 

@@ -1,3 +1,5 @@
+import glob
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -5,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators import correlate as C
+from emberlog.session import staging_dir
 
 SEVERITIES = ["INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
 TACTICS = ["Initial Access", "Execution", "Command and Control", "Discovery", None, None]
@@ -120,3 +123,24 @@ def test_edge_counts_report(spark):
     edges = C.correlation_edges(C.correlation_nodes(spark.createDataFrame(random_events(9), LAYOUT)))
     got = {r.relation: r.n_edges for r in C.edge_type_counts(edges).collect()}
     assert got == dict(Counter(literal_links(random_events(9)).values()))
+
+
+def test_time_links_of_a_burst_of_one_address(spark):
+    # A third of all events are one address within one second; many share the very moment.
+    rng = random.Random(4)
+    events = [(i, "9.9.9.9" if i % 3 == 0 else f"1.1.1.{i % 40}", rng.randrange(4) if i % 3 == 0 else rng.randrange(86_400)) for i in range(3000)]
+    frame = spark.createDataFrame(events, "id long, source_ip string, s long").withColumn("event_ts", F.timestamp_seconds("s"))
+    got = {(r.u, r.v, r.key) for r in C.timed_ip_edges(frame).collect()}
+    wanted = set()
+    by_ip = defaultdict(list)
+    for i, ip, s in events:
+        by_ip[ip].append((s, i))
+    for ip, rows in by_ip.items():
+        rows.sort()
+        for n, (s, i) in enumerate(rows):
+            wanted |= {(min(i, j), max(i, j), ip) for t, j in rows[n + 1:n + 15] if t - s <= 300}
+    assert got == wanted
+    # The address that is a third of all rows was sorted in several tasks, one file each.
+    newest = max(glob.glob(f"{staging_dir(spark)}/ranked-*"), key=os.path.getmtime)
+    busy = spark.read.parquet(newest).filter("ip_key = '9.9.9.9'").select(F.input_file_name())
+    assert busy.count() == 1000 and busy.distinct().count() > 1
