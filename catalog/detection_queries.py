@@ -1,5 +1,8 @@
 """Features and detectors over the given tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import base
@@ -29,6 +32,29 @@ def feature_matrix(spark, sf):
     return rows.select("seq", *features.ml_columns(rows))
 
 
+# The given lines hold no events of the last format: features of nothing have all columns and no rows.
+_FORMATS = ("syslog", "json", "evtx")
+
+
+@query("features_by_format", over(
+    "parsed",
+    "SELECT f.format, count(p.seq) AS n_rows, CAST(coalesce(sum(p.n), 0) AS BIGINT) AS sum_of_counts, 22 AS n_columns FROM (VALUES "
+    + ", ".join(f"('{name}')" for name in _FORMATS)
+    + ") f(format) LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY format, source_ip) AS n FROM parsed) p USING (format) GROUP BY 1",
+))
+def features_by_format(spark, sf):
+    """Features built from the events of one format each, also from none."""
+    events = base.parsed(spark, sf)
+    parts = []
+    for name in _FORMATS:
+        built = features.build_features(events.filter(F.col("format") == name))
+        parts.append(built.agg(
+            F.lit(name).alias("format"), F.count("*").alias("n_rows"),
+            F.coalesce(F.sum("ip_event_count"), F.lit(0)).alias("sum_of_counts"), F.lit(len(built.columns)).alias("n_columns"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("feature_metadata", over("features", f"SELECT seq, {_META} FROM features"))
 def feature_metadata(spark, sf):
     """The label placeholder and the carried columns of every event."""
