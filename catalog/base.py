@@ -65,7 +65,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table (id, event_ts and the stored columns) with statistical detections."""
     tags = stage(tagged(spark, sf_dir).drop("ip", "event_type"), "tagged")
-    frame = stage(build_features(tags), "features")
+    frame = stage(build_features(tags).select("seq", *FEATURE_COLUMNS), "features")
     votes = F.col("anomaly_zscore").cast("int") + F.col("anomaly_iqr").cast("int")
     detections = two_vote_ensemble(frame, FEATURE_COLUMNS).select(
         "seq", "anomaly_score", "is_anomaly", "confidence", votes.alias("detector_votes")

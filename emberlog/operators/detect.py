@@ -46,26 +46,19 @@ def zscore_detector(
     return max_zscore(df, columns).withColumn(flag, F.col("max_zscore") > threshold)
 
 
-def iqr_detector(
-    df: DataFrame,
-    columns: list[str],
-    multiplier: float = IQR_MULTIPLIER,
-    flag: str = "anomaly_iqr",
-    approximate: bool = False,
-) -> DataFrame:
-    """Flag rows outside the quartile fences of any column; columns without spread are skipped.
-
-    Quartiles are exact and computed when this is called, see ``exact_quantiles``;
-    ``approximate=True`` takes one sketch pass instead. Stage an input that is costly to compute.
-    """
+def _quartiles(df: DataFrame, columns: list[str], approximate: bool = False) -> dict[str, tuple[float, float]]:
+    """First and third quartile of every column that has values."""
     if approximate:
         marks = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75]) for c in columns]).first()
-        quartiles = {c: tuple(q) for c, q in zip(columns, marks) if q is not None}
-    else:
-        rows = exact_quantiles(df, columns, [0.25, 0.75]).collect()
-        by_place = {(row.feature, row.prob): row.quantile for row in rows}
-        quartiles = {c: (by_place[c, 0.25], by_place[c, 0.75]) for c in columns if (c, 0.25) in by_place}
+        return {c: tuple(q) for c, q in zip(columns, marks) if q is not None}
+    rows = exact_quantiles(df, columns, [0.25, 0.75]).collect()
+    by_place = {(row.feature, row.prob): row.quantile for row in rows}
+    return {c: (by_place[c, 0.25], by_place[c, 0.75]) for c in columns if (c, 0.25) in by_place}
+
 
+def _outside_fences(
+    df: DataFrame, columns: list[str], quartiles: dict[str, tuple[float, float]], multiplier: float, flag: str
+) -> DataFrame:
     def outside(name: str) -> Column:
         first, third = quartiles.get(name, (0.0, 0.0))
         width = third - first
@@ -77,6 +70,21 @@ def iqr_detector(
     return once(df.withColumn(flag, reduce(or_, [outside(c) for c in columns])), flag)
 
 
+def iqr_detector(
+    df: DataFrame,
+    columns: list[str],
+    multiplier: float = IQR_MULTIPLIER,
+    flag: str = "anomaly_iqr",
+    approximate: bool = False,
+) -> DataFrame:
+    """Flag rows outside the quartile fences of any column; columns without spread are skipped.
+
+    Quartiles are exact and computed when this is called, see ``exact_quantiles``;
+    ``approximate=True`` takes one sketch pass instead. Stage an input that is costly to compute.
+    """
+    return _outside_fences(df, columns, _quartiles(df, columns, approximate), multiplier, flag)
+
+
 def zscore_score(max_z: Column) -> Column:
     """Largest z-score clipped at 5 and scaled to 0-1."""
     return F.bround(F.least(max_z, F.lit(5.0)) / 5.0, 4)
@@ -89,7 +97,9 @@ def two_vote_ensemble(
     iqr_multiplier: float = IQR_MULTIPLIER,
 ) -> DataFrame:
     """z-score and IQR votes: both agree HIGH (an anomaly), one LOW, none NONE."""
-    flagged = iqr_detector(zscore_detector(df, columns, z_threshold), columns, iqr_multiplier)
+    # Quartiles are taken before the z-scores are added, or every pass of theirs would compute them again.
+    quartiles = _quartiles(df, columns)
+    flagged = _outside_fences(zscore_detector(df, columns, z_threshold), columns, quartiles, iqr_multiplier, "anomaly_iqr")
     z, iqr = F.col("anomaly_zscore"), F.col("anomaly_iqr")
     return (
         flagged.withColumn("anomaly_score", zscore_score(F.col("max_zscore")))

@@ -20,6 +20,9 @@ _JSON_TYPE = "array<struct<" + ",".join(f"`{key}`:string" for key in _JSON_KEYS)
 # Texts of JSON values that count as empty (zero, false, empty list or object).
 _EMPTY_JSON = ["0", "0.0", "-0", "-0.0", "false", "[]", "{}"]
 
+# Stands between the groups of one match.
+_BREAK = "\x01"
+
 
 def _worded_severity(lowered: Column) -> Column:
     result = None
@@ -65,10 +68,18 @@ def _truthy(record: Column, line: Column, keys: list[str]) -> Column:
     for key in keys:
         value = record.getField(key)
         quoted = line.rlike(rf'"{key}"\s*:\s*"')
-        values.append(F.when((value != "") & (~value.isin(*_EMPTY_JSON) | quoted), value))
+        # A missing value is told first: the search for quotes is the costly part.
+        values.append(F.when(value.isNotNull() & (value != "") & (~value.isin(*_EMPTY_JSON) | quoted), value))
     return F.coalesce(*values)
 
 
+def _groups(raw: Column, pattern: str, numbers: tuple[int, ...]) -> Column:
+    """The groups of an anchored pattern that fits ``raw``, from one match instead of one per group."""
+    joined = F.regexp_replace(raw, f"{pattern}(?s:.*)", _BREAK.join(f"${number}" for number in numbers))
+    one_by_one = F.array(*[F.regexp_extract(raw, pattern, number) for number in numbers])
+    return F.when(raw.contains(_BREAK), one_by_one).otherwise(F.split(joined, _BREAK))
+
+
 def normalize_lines(
     lines: DataFrame, line_col: str = "line", lenient_time: bool = False
 ) -> DataFrame:
@@ -106,7 +117,7 @@ def normalize_lines(
     kind = F.col("format")
     parts = None
     for name, (pattern, numbers) in groups.items():
-        fields = F.array(*[F.regexp_extract(raw, pattern, number) for number in numbers])
+        fields = _groups(raw, pattern, numbers)
         parts = F.when(kind == name, fields) if parts is None else parts.when(kind == name, fields)
     record = F.col("_json")[0]
     with_parts = with_format.select(

@@ -3,8 +3,6 @@
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,12 +51,17 @@ class _Cell:
         return [min(max(lower, 0.0), 1.0), min(max(upper, 0.0), 1.0)]
 
 
-def _narrow(numeric: DataFrame, cells: list[_Cell]) -> None:
-    """Take a sketch inside every bracket, count the proposed bracket and accept it if it holds the rank."""
+def _by_bracket(cells: list[_Cell]) -> list[list[_Cell]]:
+    """The cells that look at the same rows of the same column, together."""
     shared: dict[tuple, list[_Cell]] = {}
     for cell in cells:
         shared.setdefault((cell.column, cell.low, cell.high), []).append(cell)
-    groups = list(shared.values())
+    return list(shared.values())
+
+
+def _narrow(numeric: DataFrame, cells: list[_Cell]) -> None:
+    """Take a sketch inside every bracket, count the proposed bracket and accept it if it holds the rank."""
+    groups = _by_bracket(cells)
     sketches = numeric.agg(
         *[
             F.percentile_approx(
@@ -100,38 +103,39 @@ def _ordered(numeric: DataFrame, cells: list[_Cell]) -> dict[tuple[int, int], tu
     if not cells:
         return {}
 
-    def candidate(cell: _Cell) -> Column:
-        row = F.struct(F.lit(cell.column).alias("i"), F.lit(cell.prob).alias("j"), cell.value.alias("value"))
-        return F.when(cell.within(), row)
+    groups = _by_bracket(cells)
 
-    # Rows in no bracket leave before the explode, repeated values are counted before the shuffle.
+    # Rows in no bracket leave at once, repeated values are counted before the shuffle.
+    candidates = [x for i, group in enumerate(groups) for x in (F.lit(i), F.when(group[0].within(), group[0].value))]
     counted = (
-        numeric.filter(reduce(or_, [cell.within() for cell in cells]))
-        .select(F.explode(F.array_compact(F.array(*[candidate(cell) for cell in cells]))).alias("k"))
-        .select("k.*")
-        .groupBy("i", "j", "value")
+        numeric.select(F.stack(F.lit(len(groups)), *candidates).alias("bracket", "value"))
+        .filter(F.col("value").isNotNull())
+        .groupBy("bracket", "value")
         .agg(F.count("*").alias("n"))
     )
     through = F.sum("n").over(
-        Window.partitionBy("i", "j").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
 
-    def looked_up(figure: Callable[[_Cell], int]) -> Column:
-        entries = [part for cell in cells for part in (F.lit(cell.column * 1_000 + cell.prob), F.lit(figure(cell)))]
-        return F.create_map(*entries)[F.col("i") * 1_000 + F.col("j")].cast("long")
+    def wanted(cell: _Cell) -> Column:
+        ranks = (math.floor(cell.position) - cell.below, math.ceil(cell.position) - cell.below)
+        return F.struct(
+            F.lit(cell.column).alias("i"), F.lit(cell.prob).alias("j"),
+            F.lit(ranks[0]).cast("long").alias("low_rank"), F.lit(ranks[1]).cast("long").alias("high_rank"),
+        )
 
+    entries = [part for i, group in enumerate(groups) for part in (F.lit(i), F.array(*map(wanted, group)))]
     last = F.col("through")
     first = last - F.col("n")
-    low_rank = looked_up(lambda cell: math.floor(cell.position) - cell.below)
-    high_rank = looked_up(lambda cell: math.ceil(cell.position) - cell.below)
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank < last), F.col("value")))
+    def at(rank: str) -> Column:
+        return F.max(F.when((first <= F.col(rank)) & (F.col(rank) < last), F.col("value")))
 
     rows = (
         counted.withColumn("through", through)
+        .select("value", "n", "through", F.inline(F.create_map(*entries)[F.col("bracket")]))
         .groupBy("i", "j")
-        .agg(at(low_rank).alias("low"), at(high_rank).alias("high"))
+        .agg(at("low_rank").alias("low"), at("high_rank").alias("high"))
         .collect()
     )
     return {(row.i, row.j): (row.low, row.high) for row in rows}
@@ -146,8 +150,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per column and probability: ``feature``, ``prob``, ``quantile``; none for empty columns.
 
-    A bracket around every wanted rank starts as the whole column. While it holds more than about
-    ``hold`` different values, a percentile sketch of the rows inside proposes a narrower one and a
+    A bracket around every wanted rank starts as the whole column; a column of few different values is
+    counted and ordered at once. While a bracket holds more than about ``hold`` different values, a percentile sketch of the rows inside proposes a narrower one and a
     second pass counts the rows below and inside; a proposal that misses the rank is widened and taken
     again. Each round keeps about two thousandths of a bracket's rows, so no step orders more than
     ``hold`` values however long the input is. ``positions`` replaces the linear positions by other
@@ -155,9 +159,12 @@ def exact_quantiles(
     """
     places = positions or [linear_position(p) for p in probs]
     numeric = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    sizes = numeric.agg(*[F.count(f"c{i}") for i in range(len(columns))]).first()
+    figures = numeric.agg(
+        *[F.count(f"c{i}") for i in range(len(columns))], *[F.approx_count_distinct(f"c{i}") for i in range(len(columns))]
+    ).first()
+    sizes, values = figures[:len(columns)], figures[len(columns):]
     cells = [
-        _Cell(i, j, float(places[j](n)), n, n) for i, n in enumerate(sizes) if n for j in range(len(probs))
+        _Cell(i, j, float(places[j](n)), n, values[i]) for i, n in enumerate(sizes) if n for j in range(len(probs))
     ]
     wide = [cell for cell in cells if cell.values > hold]
     while wide:
