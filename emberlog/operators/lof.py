@@ -134,7 +134,8 @@ def _tree(vectors: DataFrame, n: int, block: int) -> _Tree:
 def _in_blocks(vectors: DataFrame, tree: _Tree, block: int) -> tuple[DataFrame, DataFrame]:
     """Vectors with their block (cell, sub), and one row per block: its box, its ring around the centre, its weight.
 
-    A cell of more than ``block`` vectors is cut into rings of ``block`` by the distance to its centre.
+    A cell of at least two blocks is cut into equal rings by the distance to its centre. No ring is smaller than ``block``: a
+    remainder of a few vectors could not bound their k-distances, and they would meet all other blocks.
     """
     shared = vectors.sparkSession.sparkContext.broadcast(tree)
 
@@ -148,10 +149,11 @@ def _in_blocks(vectors: DataFrame, tree: _Tree, block: int) -> tuple[DataFrame,
 
     placed = vectors.select("vid", "v", "mult").mapInPandas(assign, "vid long, v array<double>, mult long, cell int, ring double")
     ranked = row_numbers(placed, [F.col("cell"), F.col("ring"), F.col("vid")], "place")
-    starts = ranked.groupBy("cell").agg(F.min("place").alias("start"))
-    sub = F.floor((F.col("place") - F.col("start")) / block).cast("int")
+    starts = ranked.groupBy("cell").agg(F.min("place").alias("start"), F.count("*").alias("held"))
+    rings = F.greatest(F.lit(1), F.floor(F.col("held") / block))
+    sub = F.floor((F.col("place") - F.col("start")) * rings / F.col("held")).cast("int")
     # At most one row per cell of the tree.
-    members = ranked.join(F.broadcast(starts), "cell").withColumn("sub", sub).drop("place", "start")
+    members = ranked.join(F.broadcast(starts), "cell").withColumn("sub", sub).drop("place", "start", "held")
     dims = len(tree.centre[0])
     blocks = members.groupBy("cell", "sub").agg(
         F.array(*[F.min(F.col("v")[i]) for i in range(dims)]).alias("low"),
@@ -170,6 +172,18 @@ def _from_boxes(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
     return np.sqrt(total)
 
 
+def _within_boxes(values: np.ndarray, low: np.ndarray, high: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """A distance within which every vector has ``k`` neighbours, as whole boxes lie within it; infinite if there are too few."""
+    total = np.zeros((len(values), len(low)))
+    for dim in range(values.shape[1]):
+        x = values[:, dim, None]
+        total += np.maximum(np.abs(x - low[None, :, dim]), np.abs(x - high[None, :, dim])) ** 2
+    order = np.argsort(total, axis=1, kind="stable")
+    enough = np.cumsum(weight[order], axis=1) - 1 >= k
+    last = np.sqrt(np.take_along_axis(total, order, axis=1))[np.arange(len(values)), enough.argmax(axis=1)]
+    return np.where(enough.any(axis=1), last, np.inf)
+
+
 def _array(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float).reshape(len(column), -1)
 
@@ -180,18 +194,20 @@ def _visits(members: DataFrame, blocks: DataFrame, tree: _Tree, k: int) -> DataF
     # One box per cell of the tree, so at most TOP_CELLS rows.
     cells = blocks.groupBy("cell").agg(
         F.array(*[F.min(F.col("low")[i]) for i in range(len(tree.centre[0]))]).alias("low"),
-        F.array(*[F.max(F.col("high")[i]) for i in range(len(tree.centre[0]))]).alias("high"), F.count("*").alias("subs"),
+        F.array(*[F.max(F.col("high")[i]) for i in range(len(tree.centre[0]))]).alias("high"), F.count("*").alias("subs"), F.sum("weight").alias("weight"),
     ).toPandas()
-    shared = spark.sparkContext.broadcast((cells["cell"].to_numpy(), _array(cells["low"]), _array(cells["high"])))
+    shared = spark.sparkContext.broadcast((cells["cell"].to_numpy(), _array(cells["low"]), _array(cells["high"]), cells["weight"].to_numpy()))
 
     def route(group: pd.DataFrame) -> pd.DataFrame:
         """Bound the k-distance within the own block, then list the cells that may hold nearer ones."""
         group = group.sort_values("vid", ignore_index=True)
-        names, low, high = shared.value
+        names, low, high, weight = shared.value
         values, mult = _array(group["v"]), group["mult"].to_numpy()
         index, near = _nearest(_distances(values, values), k + 1)
         enough = np.cumsum(mult[index], axis=1) - 1 >= k
         bound = np.where(enough.any(axis=1), near[np.arange(len(near)), enough.argmax(axis=1)], np.inf)
+        for lost in np.array_split(np.flatnonzero(np.isinf(bound)), 1 + np.isinf(bound).sum() // 512):
+            bound[lost] = _within_boxes(values[lost], low, high, weight, k)
         bound = bound * (1 + 1e-9) + 1e-12
         found = [_from_boxes(values[i:i + 512], low, high) <= bound[i:i + 512, None] for i in range(0, len(values), 512)]
         return pd.DataFrame({"vid": group["vid"], "v": group["v"], "bound": bound, "cells": [list(names[row]) for part in found for row in part]})
