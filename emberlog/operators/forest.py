@@ -95,20 +95,34 @@ class ForestModel:
     cut: float = float("nan")
     contamination: float = 0.1
 
+    @staticmethod
+    def _depths(ordered: pd.DataFrame, offsets: np.ndarray) -> list[int]:
+        """The longest way from the root to a leaf, tree by tree; a child comes after its parent."""
+        left, right = ordered["left"].to_numpy(), ordered["right"].to_numpy()
+        depth = np.zeros(len(ordered), dtype=int)
+        base = np.repeat(offsets, np.diff([*offsets, len(ordered)]))
+        for node in np.flatnonzero(left >= 0):
+            depth[base[node] + left[node]] = depth[base[node] + right[node]] = depth[node] + 1
+        return [int(part.max()) for part in np.split(depth, offsets[1:])]
+
     def raw_score(self, spark: SparkSession) -> Column:
         """Column of 2^(-mean path / expected path): higher is more anomalous."""
         ordered = self.nodes.sort_values(["tree", "node"])
         sizes = ordered.groupby("tree").size().to_numpy()
         offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         start = np.repeat(offsets, sizes)
-        left = ordered["left"].to_numpy()
+        left, right = ordered["left"].to_numpy(), ordered["right"].to_numpy()
+        inner = left >= 0
+        # A leaf leads to itself, so all rows take the same number of steps and none has to be told apart.
+        itself = np.arange(len(ordered))
+        sides = np.where(inner, [start + left, start + right], itself)
         packed = spark.sparkContext.broadcast(
             {
                 "roots": offsets,
-                "feature": ordered["feature"].to_numpy(),
+                "steps": self._depths(ordered, offsets),
+                "feature": np.where(inner, ordered["feature"].to_numpy(), 0),
                 "threshold": ordered["threshold"].to_numpy(),
-                "left": np.where(left >= 0, start + left, -1),
-                "right": np.where(left >= 0, start + ordered["right"].to_numpy(), -1),
+                "next": np.ascontiguousarray(sides.T).reshape(-1),
                 "path": ordered["path"].to_numpy(),
                 "expected": float(average_path(ordered["size"].iloc[0])),
                 "mean": np.array(self.mean),
@@ -125,17 +139,14 @@ class ForestModel:
             back = back.reshape(-1)
             rows = (rows - model["mean"]) / model["std"]
             total = np.zeros(len(rows))
-            index = np.arange(len(rows))
-            for root in model["roots"]:
+            flat, first = rows.reshape(-1), np.arange(len(rows)) * rows.shape[1]
+            feature, threshold, following = model["feature"], model["threshold"], model["next"]
+            for root, steps in zip(model["roots"], model["steps"], strict=True):
                 at = np.full(len(rows), root)
-                active = index
-                while len(active):
-                    here = at[active]
-                    inner = model["left"][here] >= 0
-                    active, here = active[inner], here[inner]
-                    lower = rows[active, model["feature"][here]] <= model["threshold"][here]
-                    at[active] = np.where(lower, model["left"][here], model["right"][here])
-                total += model["path"][at]
+                for _ in range(steps):
+                    lower = flat.take(first + feature.take(at)) <= threshold.take(at)
+                    at = following.take(2 * at + ~lower)
+                total += model["path"].take(at)
             depth = total / len(model["roots"])
             scored = np.exp2(-depth / model["expected"]) if model["expected"] > 0 else np.ones(len(rows))
             return pd.Series(scored[back])
