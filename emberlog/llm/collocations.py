@@ -27,8 +27,8 @@ TILE = 1024
 DENSE = TILE * TILE // 8
 #: Words or phrases shipped to the tasks at once: at most some 100 MB.
 SLICE = 1 << 20
-#: Ids per row of encoded text (a row ends with a document), pairs counted at once, different words counted at once.
-CHUNK, PAIRS, WORDS = 1 << 18, 1 << 21, 1 << 18
+#: Ids per row of encoded text (a row ends with a document), pairs counted at once, different words counted at once, counts per batch.
+CHUNK, PAIRS, WORDS, SENT = 1 << 18, 1 << 21, 1 << 18, 1 << 16
 
 # Bytes that end a piece, and blanks.
 ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
@@ -105,39 +105,59 @@ def _encoder(words: dict[str, dict[bytes, int]], last: bool):
 def tile_counts(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different (left, right) pairs of ids and how often each occurs."""
     across = int(right.max()) // TILE + 1 if len(right) else 1
-    tile = (left // TILE) * across + right // TILE
-    names, of, sizes = np.unique(tile, return_inverse=True, return_counts=True)
-    out, rest = [], np.ones(len(left), bool)
-    for k in np.flatnonzero(sizes >= DENSE):
-        chosen = of == k
-        rest &= ~chosen
-        cells = np.bincount((left[chosen] % TILE) * TILE + right[chosen] % TILE, minlength=TILE * TILE)
+    # Tile and cell in one number below 2^62, sorted in place: the only array as long as the input that is held.
+    code = left.astype(np.int64)
+    code //= TILE
+    code *= across
+    code += right // TILE
+    code *= TILE * TILE
+    code += (left % TILE) * TILE + right % TILE
+    code.sort()
+    tile = code // (TILE * TILE)
+    cuts = np.r_[0, np.flatnonzero(tile[1:] != tile[:-1]) + 1, len(code)]
+    names = tile[cuts[:-1]] if len(code) else tile
+    del tile
+    out, rest, kept = [], np.ones(len(code), bool), np.diff(cuts)
+    for k in np.flatnonzero(kept >= DENSE):
+        cells = np.bincount(code[cuts[k]:cuts[k + 1]] - names[k] * TILE * TILE, minlength=TILE * TILE)
+        rest[cuts[k]:cuts[k + 1]] = False
         full = np.flatnonzero(cells)
         out.append((full // TILE + names[k] // across * TILE, full % TILE + names[k] % across * TILE, cells[full]))
-    pairs, n = np.unique((left[rest] << 32) | right[rest], return_counts=True)
-    out.append((pairs >> 32, pairs & 0xFFFFFFFF, n))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    code = code[rest] if out else code
+    del rest
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[starts, len(code)])
+    code = code[starts]
+    tile, cell = code // (TILE * TILE), code % (TILE * TILE)
+    out.append((tile // across * TILE + cell // TILE, tile % across * TILE + cell % TILE, n))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if len(out) > 1 else out[0]
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ids -> partial counts p, q, n of neighbouring ids."""
     held, size = [], 0
 
-    def count() -> pa.RecordBatch:
+    def count() -> Iterator[pa.RecordBatch]:
         ids = np.concatenate(held)
+        held.clear()
         at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-        columns = tile_counts(ids[at].astype(np.int64), ids[at + 1].astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["p", "q", "n"])
+        left, right = ids[at], ids[at + 1]
+        del ids, at
+        columns = tile_counts(left, right)
+        del left, right
+        # Small batches: both sides of the pipe hold one whole.
+        for start in range(0, len(columns[0]), SENT):
+            yield pa.RecordBatch.from_arrays([pa.array(c[start:start + SENT], pa.int64()) for c in columns], names=["p", "q", "n"])
 
     for batch in batches:
         for row in batch.column(0):
             held.append(np.frombuffer(row.as_buffer(), "<i4"))
             size += len(held[-1])
             if size >= PAIRS:
-                yield count()
-                held, size = [], 0
+                yield from count()
+                size = 0
     if held:
-        yield count()
+        yield from count()
 
 
 def _pair_encoder(pairs: np.ndarray, ranks: np.ndarray):

@@ -74,3 +74,13 @@ def test_counts_beyond_64_bits(spark):
     row = spark.createDataFrame([(10**15, 9 * 10**16, 10**15 + 1, 10**15 + 3)], "a long, n long, l long, r long")
     cut = collocations._cut_scores(2, row.a, row.n, collocations.F.array("l"), collocations.F.array("r"))
     assert row.select(cut.score).first()[0] == 1000 * 10**15 * 9 * 10**16 // ((10**15 + 1) * (10**15 + 3))
+
+
+def test_pairs_are_sent_in_small_batches(monkeypatch):
+    monkeypatch.setattr(collocations, "SENT", 100)
+    ids = np.arange(1_000, dtype="<i4")
+    rows = collocations._ids_frame([ids, ids])
+    counted = list(collocations._pair_counts(iter([rows])))
+    assert max(batch.num_rows for batch in counted) <= 100
+    got = {(p, q): n for batch in counted for p, q, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+    assert got.pop((999, 0)) == 1 and got == {(i, i + 1): 2 for i in range(999)}
