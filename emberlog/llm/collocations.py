@@ -160,8 +160,11 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from count()
 
 
-def _pair_encoder(pairs: np.ndarray, ranks: np.ndarray):
-    """Rows of ids (and ids of pairs from earlier slices) -> ids of the pairs that start at each place."""
+def _pair_encoder(pairs: np.ndarray, ranks: np.ndarray, last: bool):
+    """Rows of ids (and ids of pairs from earlier slices) -> the same with ids of the pairs that start at each place, at last these alone.
+
+    Squeezing in a step of its own would keep a second Python worker beside that of every task.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,19 +177,20 @@ def _pair_encoder(pairs: np.ndarray, ranks: np.ndarray):
                 place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
                 hit = pairs[place] == key
                 out[at[hit]] = ranks[place[hit]]
+                if last:
+                    out = _squeeze(out)
+                    if len(out) > 1:
+                        yield _ids_frame([out])
+                    continue
                 rows.append(row.as_py())
                 done.append(out.astype("<i4").tobytes())
+            if last:
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(done, pa.binary())], names=["ids", "next"])
 
     return encode
 
 
-def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [_squeeze(np.frombuffer(row.as_buffer(), "<i4")) for row in batch.column(1)]
-        yield _ids_frame([r for r in rows if len(r) > 1])
-
-
 def _ranked(counts: DataFrame, names: list[str], name: str) -> tuple[DataFrame, int]:
     """The frequent rows with ``id`` from 0 by falling count, written once, and how many they are."""
     frequent = stage(counts.filter(F.col("a") >= LEAST), name)
@@ -220,10 +224,10 @@ def _encode_pairs(rows: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
         p, q, ids = (table.column(c).to_numpy() for c in ("p", "q", "id"))
         key = (p << 32) | q
         order = np.argsort(key)
-        rows = rows.mapInArrow(_pair_encoder(key[order], ids[order].astype(np.int32)), "ids binary, next binary")
-        if start + SLICE < size:
-            rows = stage(rows, "phrase-ids")
-    return stage(rows.mapInArrow(_squeezed, "ids binary"), "phrase-ids")
+        last = start + SLICE >= size
+        encode = _pair_encoder(key[order], ids[order].astype(np.int32), last)
+        rows = stage(rows.mapInArrow(encode, "ids binary" if last else "ids binary, next binary"), "phrase-ids")
+    return rows
 
 
 def _cut_scores(words: int, a: Column, n: Column, firsts: Column, rests: Column) -> Column:
