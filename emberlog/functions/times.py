@@ -22,6 +22,12 @@ MONTH_DAYS = {
 }
 MONTH_NUMBER = {name: index + 1 for index, name in enumerate(MONTH_DAYS)}
 
+# Starts of texts whose day exists in every month, so that no calendar is asked.
+_EARLY_DAY = r"(?:1\d|2[0-8]|0?[1-9])"
+_SYSLOG_EARLY = rf"(?i)^(?:{'|'.join(MONTH_DAYS)})\s+{_EARLY_DAY}\s"
+_ACCESS_EARLY = rf"(?i)^{_EARLY_DAY}/(?:{'|'.join(MONTH_DAYS)})/(?!0000)"
+_NUMERIC_EARLY = rf"^(?!0000)\d{{4}}-(?:1[0-2]|0?[1-9])-{_EARLY_DAY}[T\s]"
+
 
 def _part(ts: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(ts, pattern, group)
@@ -32,33 +38,35 @@ def _number(ts: Column, pattern: str, group: int) -> Column:
 
 
 def _numeric_date(ts: Column, pattern: str) -> Column:
-    pieces = [_part(ts, pattern, group) for group in (1, 2, 3)]
-    return F.try_to_date(F.concat_ws("-", *pieces), "yyyy-M-d")
+    """Date of a text that fits ``pattern``, from one match; NULL if the calendar has no such day."""
+    return F.regexp_replace(ts, pattern, "$1-$2-$3").try_cast("date")
 
 
 def _access_date(ts: Column, pattern: str) -> Column:
     month = lookup(F.lower(_part(ts, pattern, 2)), MONTH_NUMBER, 0).cast("string")
-    return F.try_to_date(F.concat_ws("-", _part(ts, pattern, 3), month, _part(ts, pattern, 1)), "yyyy-M-d")
+    return F.concat_ws("-", _part(ts, pattern, 3), month, _part(ts, pattern, 1)).try_cast("date")
 
 
 def _valid_syslog(ts: Column) -> Column:
     month = F.lower(_part(ts, SYSLOG_TIME, 1))
-    return ts.rlike(SYSLOG_TIME) & (_number(ts, SYSLOG_TIME, 2) <= lookup(month, MONTH_DAYS, 0))
+    in_month = _number(ts, SYSLOG_TIME, 2) <= lookup(month, MONTH_DAYS, 0)
+    return ts.rlike(SYSLOG_TIME) & (ts.rlike(_SYSLOG_EARLY) | in_month)
 
 
 def hour_of_day(timestamp: Column, fallback: int | Column = -1) -> Column:
     """Wall-clock hour of the timestamp text; ``fallback`` where no layout fits."""
     ts = strip_space(timestamp)
     default = fallback if isinstance(fallback, Column) else F.lit(fallback)
+
+    def valid(pattern: str, early: str, date: Column) -> Column:
+        return ts.rlike(pattern) & (ts.rlike(early) | date.isNotNull())
+
     return (
         F.when(_valid_syslog(ts), _number(ts, SYSLOG_TIME, 3))
-        .when(ts.rlike(ACCESS_TIME) & _access_date(ts, ACCESS_TIME).isNotNull(), _number(ts, ACCESS_TIME, 4))
-        .when(
-            ts.rlike(ACCESS_TIME_UTC) & _access_date(ts, ACCESS_TIME_UTC).isNotNull(),
-            _number(ts, ACCESS_TIME_UTC, 4),
-        )
-        .when(ts.rlike(WINDOWS_TIME) & _numeric_date(ts, WINDOWS_TIME).isNotNull(), _number(ts, WINDOWS_TIME, 4))
-        .when(ts.rlike(ISO_TIME) & _numeric_date(ts, ISO_TIME).isNotNull(), _number(ts, ISO_TIME, 4))
+        .when(valid(ACCESS_TIME, _ACCESS_EARLY, _access_date(ts, ACCESS_TIME)), _number(ts, ACCESS_TIME, 4))
+        .when(valid(ACCESS_TIME_UTC, _ACCESS_EARLY, _access_date(ts, ACCESS_TIME_UTC)), _number(ts, ACCESS_TIME_UTC, 4))
+        .when(valid(WINDOWS_TIME, _NUMERIC_EARLY, _numeric_date(ts, WINDOWS_TIME)), _number(ts, WINDOWS_TIME, 4))
+        .when(valid(ISO_TIME, _NUMERIC_EARLY, _numeric_date(ts, ISO_TIME)), _number(ts, ISO_TIME, 4))
         .otherwise(default)
     )
 

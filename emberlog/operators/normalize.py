@@ -102,8 +102,8 @@ def normalize_lines(
     with_format = with_json.withColumn(
         "format",
         F.when(is_json, "json")
-        .when(raw.rlike(P.WINDOWS_LINE), "windows_event")
-        .when(raw.rlike(P.ACCESS_LINE), "apache")
+        .when(raw.contains("EventID=") & raw.rlike(P.WINDOWS_LINE), "windows_event")
+        .when(raw.contains('"') & raw.rlike(P.ACCESS_LINE), "apache")
         .when(raw.rlike(syslog_pattern), "syslog")
         .otherwise("unknown"),
     )

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from emberlog.functions.times import hour_of_day, is_weekend
 from emberlog.operators import detect, lof, quantiles, rule_table
 from emberlog.operators.normalize import normalize_lines
 
@@ -79,3 +80,19 @@ def test_boxes_bound_what_a_small_block_cannot(spark):
     bound = lof._within_boxes(np.array([[0.5], [9.0]]), low, high, np.array([2, 2, 1]), 3)
     assert bound.tolist() == [2.5, 9.0]
     assert np.isinf(lof._within_boxes(np.array([[0.5]]), low, high, np.array([2, 2, 1]), 5)).all()
+
+
+def test_hours_ask_no_date_parser(spark):
+    """Days that every month has need no calendar; other days are cast, not parsed by a layout."""
+    days = ["Feb 28", "feb 29", "Feb 30", "Apr 31", "Abc 5", "JAN 09", "Jan  5"]
+    rows = [(f"{day} 07:01:02", None if day in ("feb 29", "Feb 30", "Apr 31", "Abc 5") else 7, 0) for day in days]
+    rows += [
+        ("29/Feb/2023:08:00:01 +0000", None, 0), ("29/feb/2024:08:00:01 +0000", 8, 0), ("28/Foo/2024:08:00:01 Z", None, 0),
+        ("2024-02-29 09:00:00", 9, 0), ("2023-02-29 09:00:00", None, 0), ("2024-06-01 9:00:00", 9, 1), ("2024-6-2T23:00:00Z", 23, 1),
+        ("2024-06-31T23:00:00z", None, 0), ("  2024-06-30 05:00:00\t", 5, 1), ("", None, 0), ("2024-13-01 05:00:00", None, 0),
+    ]
+    times = spark.createDataFrame(rows, "ts string, hour int, weekend int")
+    found = times.select("*", hour_of_day(F.col("ts"), F.lit(None)).alias("h"), is_weekend(F.col("ts")).alias("w"))
+    assert [r for r in found.collect() if (r.hour, r.weekend) != (r.h, r.w)] == []
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "gettimestamp" not in plan and "to_date" not in plan
