@@ -12,15 +12,29 @@ from emberlog.schema import FEATURE_COLUMNS
 from emberlog.session import stage, tune
 from emberlog.sources.event_table import current_events, with_defaults
 
+# The fullest part may hold this many times a core's share of the rows.
+_UNEVEN = 1.25
+_PARTS_PER_CORE = 4
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a few small files to all cores; large inputs have tasks enough already."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    """Deal the rows of a table as read to all cores, unless its parts already keep them evenly busy.
+
+    Parts are cut by bytes, but a row group is read whole by one of them, so a large file with few row groups leaves
+    most parts empty. How many rows each part holds is told by the files' footers; no column is read for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    per_part = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    fullest, total = per_part.agg(F.max("n"), F.sum("n")).first()
+    if total is None or fullest * cores <= total * _UNEVEN:
+        return df
+    return df.repartition(cores * _PARTS_PER_CORE)
 
 
 def even_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

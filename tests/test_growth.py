@@ -4,6 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import base
+from emberlog.constants.attack_rules import RULES
+from emberlog.functions.text import fold_case, plain_search, rarest_suffix, required_literal
 from emberlog.functions.times import hour_of_day, is_weekend
 from emberlog.operators import detect, lof, quantiles, rule_table
 from emberlog.operators.normalize import normalize_lines
@@ -96,3 +99,42 @@ def test_hours_ask_no_date_parser(spark):
     assert [r for r in found.collect() if (r.hour, r.weekend) != (r.h, r.w)] == []
     plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "gettimestamp" not in plan and "to_date" not in plan
+
+
+def _rows_per_part(df):
+    return [row.n for row in df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()]
+
+
+def test_a_large_file_of_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    single, many = str(tmp_path / "single"), str(tmp_path / "many")
+    spark.range(20_000).coalesce(1).write.parquet(single)
+    spark.range(20_000).repartition(8).write.parquet(many)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        read = spark.read.parquet(single)
+        cores = spark.sparkContext.defaultParallelism
+        assert read.rdd.getNumPartitions() >= cores and max(_rows_per_part(read)) == 20_000
+        dealt = base.spread(read)
+        assert max(_rows_per_part(dealt)) <= 20_000 / cores
+        assert sorted(row.id for row in dealt.collect()) == list(range(20_000))
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        even = spark.read.parquet(many)
+        if even.rdd.getNumPartitions() >= cores:
+            assert base.spread(even) is even
+        empty = spark.read.parquet(many).filter("id < 0")
+        assert base.spread(empty).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_plain_searches_start_at_rare_characters(spark):
+    assert [rarest_suffix(t) for t in ("powershell", "failed password", "c2", "", "rce")] == ["wershell", "word", "c2", "", "rce"]
+    literals = sorted({required_literal(p)[0].lower() for rule in RULES for p in rule.patterns} | {"c2", "1=1"})
+    texts = [
+        f"{before}{part}{after}" for text in literals if text for part in (text, rarest_suffix(text), text[:-1])
+        for before, after in (("", ""), ("x", "y"))
+    ] + ["", None, "é powershell"]
+    rows = spark.createDataFrame([(text,) for text in texts], "text string").withColumn("folded", fold_case(F.col("text")))
+    folded = F.col("folded")
+    different = rows.select(*[(~plain_search(folded, t).eqNullSafe(folded.contains(t))).cast("int").alias(f"c{i}") for i, t in enumerate(literals)])
+    assert sum(different.agg(*[F.sum(c).alias(c) for c in different.columns]).first()) == 0
