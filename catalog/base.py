@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from catalog.lines import spark_lines_sql
 from emberlog.operators.detect import two_vote_ensemble
-from emberlog.operators.features import build_features
+from emberlog.operators.features import (
+    address_counts, build_features, deal_blocks, rate_in_blocks, row_features, with_address_counts,
+)
 from emberlog.operators.normalize import normalize_lines
 from emberlog.operators.tagging import tag_events
 from emberlog.schema import FEATURE_COLUMNS
@@ -15,6 +17,9 @@ from emberlog.sources.event_table import current_events, with_defaults
 # The fullest part may hold this many times a core's share of the rows.
 _UNEVEN = 1.25
 _PARTS_PER_CORE = 4
+# Events of one block of the rolling rate, which stay in one part, and events of a part.
+_BLOCK = 8_192
+_PART_ROWS = 65_536
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +47,18 @@ def even_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return spread(table(spark, sf_dir, name).select(*columns))
 
 
+def _given_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _as_lines(events: DataFrame, *kept: str) -> DataFrame:
+    events.createOrReplaceTempView("emberlog_given_events")
+    return events.sparkSession.sql(spark_lines_sql("emberlog_given_events", *kept))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines of all events: seq, event_ts, ip, event_type, line."""
-    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    spread(events).createOrReplaceTempView("emberlog_given_events")
-    return spark.sql(spark_lines_sql("emberlog_given_events"))
+    return _as_lines(spread(_given_events(spark, sf_dir)))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,15 +88,44 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table (id, event_ts and the stored columns) with statistical detections."""
+def _with_votes(detected: DataFrame) -> DataFrame:
+    return detected.withColumn("detector_votes", F.col("anomaly_zscore").cast("int") + F.col("anomaly_iqr").cast("int"))
+
+
+def _joined_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged events with their detections, joined by ``seq``."""
     tags = stage(tagged(spark, sf_dir).drop("ip", "event_type"), "tagged")
     frame = stage(build_features(tags).select("seq", *FEATURE_COLUMNS), "features")
-    votes = F.col("anomaly_zscore").cast("int") + F.col("anomaly_iqr").cast("int")
-    detections = two_vote_ensemble(frame, FEATURE_COLUMNS).select(
-        "seq", "anomaly_score", "is_anomaly", "confidence", votes.alias("detector_votes")
-    )
-    rows = with_defaults(tags.join(detections, "seq", "left"), keep=("event_ts",))
+    detections = _with_votes(two_vote_ensemble(frame, FEATURE_COLUMNS))
+    kept = ("seq", "anomaly_score", "is_anomaly", "confidence", "detector_votes")
+    return tags.join(detections.select(*kept), "seq", "left")
+
+
+def _carried_detections(events: DataFrame, n_events: int) -> DataFrame:
+    """The rows of ``_joined_detections`` for event ids that are neither null nor repeated, without a join by ``seq``.
+
+    Events are dealt by blocks of ids before they are lines, so that features are computed on the row that keeps the
+    texts, and only the narrow columns are read again.
+    """
+    parts = max(events.sparkSession.sparkContext.defaultParallelism, n_events // _PART_ROWS)
+    dealt = deal_blocks(events, "event_id", block=_BLOCK).repartition(parts, "_block")
+    parsed_lines = normalize_lines(_as_lines(dealt, "_block")).drop("ip", "event_type")
+    tags = stage(rate_in_blocks(row_features(tag_events(parsed_lines)), block=_BLOCK), "tagged")
+    counts = stage(address_counts(tags), "address-counts")
+    rows = with_address_counts(tags, counts)
+    frame = stage(rows.select(*FEATURE_COLUMNS), "features")
+    return _with_votes(two_vote_ensemble(rows, FEATURE_COLUMNS, same_rows=frame))
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table (id, event_ts and the stored columns) with statistical detections."""
+    events = _given_events(spark, sf_dir)
+    per_id = events.groupBy("event_id").agg(F.count("*").alias("n"))
+    unclear = F.count_if(F.col("event_id").isNull() | (F.col("n") > 1))
+    n_events, n_unclear = per_id.agg(F.coalesce(F.sum("n"), F.lit(0)), unclear).first()
+    # Features need the id, and a repeated one pairs every tagged row with every detection of it.
+    found = _joined_detections(spark, sf_dir) if n_unclear else _carried_detections(events, n_events)
+    rows = with_defaults(found, keep=("event_ts",))
     return stage(
         rows.withColumn("id", F.col("seq") + 1).drop("seq").withColumn("is_false_positive", F.lit(False)),
         "events",

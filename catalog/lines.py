@@ -27,9 +27,9 @@ FROM (SELECT *,
 """
 
 
-def spark_lines_sql(events: str) -> str:
-    """The SELECT in Spark SQL over a table or view name."""
-    return _TEMPLATE.format(
+def spark_lines_sql(events: str, *kept: str) -> str:
+    """The SELECT in Spark SQL over a table or view name; columns of it that are ``kept`` come first."""
+    return _TEMPLATE.replace("SELECT ", "".join(["SELECT ", *[f"{name}, " for name in kept]]), 1).format(
         S="date_format(ts,'MMM d HH:mm:ss')",
         A="date_format(ts,'dd/MMM/yyyy:HH:mm:ss')",
         W="date_format(ts,'yyyy-MM-dd HH:mm:ss')",

@@ -26,9 +26,14 @@ def column_stats(df: DataFrame, columns: list[str]) -> Column:
     ).scalar()
 
 
-def max_zscore(df: DataFrame, columns: list[str], output: str = "max_zscore") -> DataFrame:
-    """Add the largest absolute z-score over the columns; a constant column scores 0."""
-    with_stats = df.withColumn("_stats", column_stats(df, columns))
+def max_zscore(
+    df: DataFrame, columns: list[str], output: str = "max_zscore", same_rows: DataFrame | None = None
+) -> DataFrame:
+    """Add the largest absolute z-score over the columns; a constant column scores 0.
+
+    Means and deviations are read from ``same_rows``, where it is given: the same rows in a cheaper frame.
+    """
+    with_stats = df.withColumn("_stats", column_stats(df if same_rows is None else same_rows, columns))
 
     def z(index: int, name: str) -> Column:
         mean, std = F.col(f"_stats.mean_{index}"), F.col(f"_stats.std_{index}")
@@ -40,10 +45,14 @@ def max_zscore(df: DataFrame, columns: list[str], output: str = "max_zscore") ->
 
 
 def zscore_detector(
-    df: DataFrame, columns: list[str], threshold: float = Z_THRESHOLD, flag: str = "anomaly_zscore"
+    df: DataFrame,
+    columns: list[str],
+    threshold: float = Z_THRESHOLD,
+    flag: str = "anomaly_zscore",
+    same_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``max_zscore`` and a flag for rows above ``threshold`` deviations in any column."""
-    return max_zscore(df, columns).withColumn(flag, F.col("max_zscore") > threshold)
+    return max_zscore(df, columns, same_rows=same_rows).withColumn(flag, F.col("max_zscore") > threshold)
 
 
 def _quartiles(df: DataFrame, columns: list[str], approximate: bool = False) -> dict[str, tuple[float, float]]:
@@ -95,11 +104,16 @@ def two_vote_ensemble(
     columns: list[str],
     z_threshold: float = Z_THRESHOLD,
     iqr_multiplier: float = IQR_MULTIPLIER,
+    same_rows: DataFrame | None = None,
 ) -> DataFrame:
-    """z-score and IQR votes: both agree HIGH (an anomaly), one LOW, none NONE."""
+    """z-score and IQR votes: both agree HIGH (an anomaly), one LOW, none NONE.
+
+    All figures over the rows are read from ``same_rows``, where it is given: the same rows in a cheaper frame.
+    """
     # Quartiles are taken before the z-scores are added, or every pass of theirs would compute them again.
-    quartiles = _quartiles(df, columns)
-    flagged = _outside_fences(zscore_detector(df, columns, z_threshold), columns, quartiles, iqr_multiplier, "anomaly_iqr")
+    quartiles = _quartiles(df if same_rows is None else same_rows, columns)
+    scored = zscore_detector(df, columns, z_threshold, same_rows=same_rows)
+    flagged = _outside_fences(scored, columns, quartiles, iqr_multiplier, "anomaly_iqr")
     z, iqr = F.col("anomaly_zscore"), F.col("anomaly_iqr")
     return (
         flagged.withColumn("anomaly_score", zscore_score(F.col("max_zscore")))

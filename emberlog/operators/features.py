@@ -28,6 +28,12 @@ def address_counts(events: DataFrame, ip_col: str = "source_ip") -> DataFrame:
     )
 
 
+def with_address_counts(events: DataFrame, counts: DataFrame) -> DataFrame:
+    """Events with the figures that ``address_counts`` gives their address; a missing one is a key like any other."""
+    counts = counts.withColumnRenamed("source_ip", "_counted_ip")
+    return events.join(counts, F.col("source_ip").eqNullSafe(F.col("_counted_ip"))).drop("_counted_ip")
+
+
 def rolling_event_rate(
     events: DataFrame,
     seq_col: str = "seq",
@@ -40,18 +46,32 @@ def rolling_event_rate(
     ``seq_col`` must be dense. The list is cut into blocks of ``block`` rows; the last ``rows`` rows
     of a block are also dealt to the next one, so a busy address never lands in one task.
     """
+    return rate_in_blocks(deal_blocks(events, seq_col, rows, block), seq_col, ip_col, rows, block)
+
+
+def deal_blocks(events: DataFrame, seq_col: str = "seq", rows: int = ROLLING_ROWS, block: int = ROLLING_BLOCK) -> DataFrame:
+    """Add ``_block``, the block of ``block`` numbers a row is in; the last ``rows`` of one come again in the next."""
     seq = F.col(seq_col)
     own = F.floor(seq / block)
     near_end = seq % block >= block - rows
-    dealt = events.withColumn(
-        "_block", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own)))
-    )
-    frame = (
-        Window.partitionBy("_block", ip_col).orderBy(seq_col).rangeBetween(-rows, -1)
-    )
+    return events.withColumn("_block", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))
+
+
+def rate_in_blocks(
+    dealt: DataFrame,
+    seq_col: str = "seq",
+    ip_col: str = "source_ip",
+    rows: int = ROLLING_ROWS,
+    block: int = ROLLING_BLOCK,
+) -> DataFrame:
+    """``rolling_event_rate`` of rows dealt by ``deal_blocks``; the borrowed rows leave again.
+
+    Rows already partitioned by ``_block`` are not moved.
+    """
+    frame = Window.partitionBy("_block", ip_col).orderBy(seq_col).rangeBetween(-rows, -1)
     return (
         dealt.withColumn("rolling_event_rate", F.count("*").over(frame))
-        .filter(F.col("_block") == own)
+        .filter(F.col("_block") == F.floor(F.col(seq_col) / block))
         .drop("_block")
     )
 
@@ -128,12 +148,8 @@ def build_features(
     The per-address counts are aggregated and joined back: the join is a broadcast only while Spark
     finds the counts small at run time, else a sort-merge join that splits a busy address.
     """
-    counts = address_counts(events)
     rolled = rolling_event_rate(row_features(events, hour_fallback), seq_col)
-    # A missing address is a key like any other.
-    counts = counts.withColumnRenamed("source_ip", "_counted_ip")
-    joined = rolled.join(counts, F.col("source_ip").eqNullSafe(F.col("_counted_ip"))).drop("_counted_ip")
-    return joined.select(
+    return with_address_counts(rolled, address_counts(events)).select(
         seq_col,
         *keep,
         *FEATURE_COLUMNS,

@@ -138,3 +138,32 @@ def test_plain_searches_start_at_rare_characters(spark):
     folded = F.col("folded")
     different = rows.select(*[(~plain_search(folded, t).eqNullSafe(folded.contains(t))).cast("int").alias(f"c{i}") for i, t in enumerate(literals)])
     assert sum(different.agg(*[F.sum(c).alias(c) for c in different.columns]).first()) == 0
+
+
+def _given_rows(spark, path, ids):
+    rows = [(i, None if n % 11 == 5 else n, None if n % 13 == 7 else n * 7 % 90, ("error", "purchase", "click", "view", "signup")[n % 5]) for n, i in enumerate(ids)]
+    events = spark.createDataFrame(rows, "event_id long, at long, user_id long, event_type string")
+    events.select("event_id", F.timestamp_seconds(F.col("at") * 1800 + 1704067200).alias("ts"), "user_id", "event_type").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_single_event_ids_need_no_join(spark, monkeypatch, tmp_path):
+    """Rows over several blocks get what the join by id gives them, without that join and its shuffle of all texts."""
+    monkeypatch.setattr(base, "_BLOCK", 64)
+    monkeypatch.setattr(base, "_PART_ROWS", 50)
+    sf = _given_rows(spark, tmp_path, range(400))
+    joined = base.with_defaults(base._joined_detections(spark, sf), keep=("event_ts",))
+    want = sorted(map(str, joined.withColumn("seq", F.col("seq") + 1).collect()))
+    monkeypatch.setattr(base, "_joined_detections", None)
+    got = base.stored_events(spark, sf).withColumnRenamed("id", "seq")
+    assert sorted(map(str, got.select(joined.columns).collect())) == want and len(want) > 300
+    assert got.filter("detector_votes > 0").count()
+
+
+def test_repeated_and_missing_event_ids_are_joined(spark, monkeypatch, tmp_path):
+    sf = _given_rows(spark, tmp_path, [None, 0, 1, 1, *range(2, 40)])
+    monkeypatch.setattr(base, "_carried_detections", None)
+    rows = base.stored_events(spark, sf)
+    # Both rows of id 1 meet both detections; the row without an id keeps the defaults.
+    assert rows.filter("id = 2").count() == 4 and rows.filter("id = 3").count() == 1
+    assert [(row.detector_votes, row.confidence) for row in rows.filter("id IS NULL").collect()] == [(0, "NONE")]
