@@ -15,6 +15,7 @@ classes meet again within their bucket.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql.window import Window
 from emberlog.functions.once import once
 from emberlog.llm.components import components
 from emberlog.llm.frames import ship_with_tasks, small_batches
-from emberlog.session import stage
+from emberlog.session import discard, stage
 
 ship_with_tasks(__name__)
 
@@ -39,6 +40,8 @@ FEW_WORDS = 32
 #: A band's largest size over its smallest.
 BAND = 1.3
 ROWS_OUT = 200_000
+#: Sketch words are shuffled in so many parts, one after the other, to keep less on disk; sketches are made once for each.
+PASSES = 2
 #: 64-bit words of the parity bits that candidates are compared by before they are verified.
 BIT_WORDS = 8
 
@@ -126,10 +129,10 @@ def possible(percent: int, one: str = "_1", two: str = "_2") -> Column:
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * apart <= (100 - percent) * (n1 + n2))
 
 
-def _sketches(width: int, percent: int):
+def _sketches(width: int, percent: int, turn: int = 0, turns: int = 1):
     """(node, text) -> (part, key, node, kind, n): kind 0 and 1 are sketch words, 2 has the set's size.
 
-    Combines before the shuffle: of the nodes in a batch with the same word, the first goes to the word's
+    Rows of equal ``key`` belong to the same of ``turns`` turns. Combines before the shuffle: of the nodes in a batch with the same word, the first goes to the word's
     task; the others, known to have company (kind 1), are dealt by their own number.
     """
     starts = band_starts(percent)
@@ -145,6 +148,8 @@ def _sketches(width: int, percent: int):
                 keys.append(sketch_keys(shingles, percent, starts) if len(shingles) else np.empty(0, np.uint64))
             key = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
             node = np.repeat(nodes, [len(k) for k in keys])
+            mine, own = key % turns == turn, nodes % turns == turn
+            key, node, nodes, sizes = key[mine], node[mine], nodes[own], np.asarray(sizes, np.int64)[own]
             order = np.argsort(key, kind="stable")
             key, node = key[order], node[order]
             new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
@@ -153,7 +158,7 @@ def _sketches(width: int, percent: int):
             kind = np.where(alone, 0, 1).astype(np.int8)
             part, key = np.r_[part, nodes], np.r_[key, nodes]
             node, kind = np.r_[node, nodes], np.r_[kind, np.full(len(nodes), 2, np.int8)]
-            n = np.r_[np.zeros(len(order), np.int64), np.asarray(sizes, np.int64)]
+            n = np.r_[np.zeros(len(order), np.int64), sizes]
             for at in range(0, len(part), ROWS_OUT):
                 cut = [pa.array(c[at : at + ROWS_OUT]) for c in (part, key, node, kind, n)]
                 yield pa.RecordBatch.from_arrays(cut, names=names)
@@ -197,19 +202,24 @@ def _pairs(a: Column, b: Column) -> list[Column]:
 
 
 class Links:
-    """The steps of the join over the texts of ``docs``."""
+    """The steps of the join over the texts of ``docs``; ``made`` gets the paths of the tables that ``sizes`` reads."""
 
     def __init__(self, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
         self.docs, self.width, self.percent = docs, width, percent
+        self.made: list[str] = []
         small_batches(docs.sparkSession)
-        rows = text_nodes(docs).select("_node", "_text").mapInArrow(
-            _sketches(width, percent), "part bigint, key bigint, node bigint, kind tinyint, n bigint"
+        kept = reduce(DataFrame.unionByName, [self._shared_words(turn) for turn in range(PASSES)])
+        self.buckets = kept.filter("kind < 2").select("key", "node").distinct()
+        self.sizes = kept.filter("kind = 2").groupBy("node").agg(F.max("n").alias("n_shingles"))
+
+    def _shared_words(self, turn: int) -> DataFrame:
+        """The sketch words of one turn that several nodes have, and the sizes of its nodes."""
+        rows = text_nodes(self.docs).select("_node", "_text").mapInArrow(
+            _sketches(self.width, self.percent, turn, PASSES), "part bigint, key bigint, node bigint, kind tinyint, n bigint"
         )
         same = Window.partitionBy("part", "key")
         shared = rows.withColumn("_lo", F.min("node").over(same)).withColumn("_hi", F.max("node").over(same))
-        kept = stage(shared.filter("kind > 0 or _lo <> _hi").select("key", "node", "kind", "n"), "sketch-words")
-        self.buckets = kept.filter("kind < 2").select("key", "node").distinct()
-        self.sizes = kept.filter("kind = 2").groupBy("node").agg(F.max("n").alias("n_shingles"))
+        return stage(shared.filter("kind > 0 or _lo <> _hi").select("key", "node", "kind", "n"), "sketch-words", self.made)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         left = self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -218,14 +228,21 @@ class Links:
         return met.mapInArrow(_verified(self.width, self.percent), "a bigint, b bigint")
 
     def classes(self) -> DataFrame:
-        """node, root of every node that is linked to another one."""
-        buckets = stage(self.buckets, "buckets")
+        """node, root of every node that is linked to another one.
+
+        Tables are deleted as soon as those that follow from them are written, and pairs are written before texts join them.
+        """
+        spark = self.docs.sparkSession
+        of_buckets: list[str] = []
+        of_texts: list[str] = []
+        buckets = stage(self.buckets, "buckets", of_buckets)
         wanted = buckets.select(F.col("node").alias("_node")).distinct()
         found = text_nodes(self.docs).join(wanted, "_node", "left_semi").dropDuplicates(["_node"])
         bits = ", ".join(f"s{i} bigint" for i in range(BIT_WORDS))
         self.texts = stage(
             found.select("_node", "_text").mapInArrow(_described(self.width), f"node bigint, text string, n bigint, {bits}"),
             "candidate-texts",
+            of_texts,
         )
         facts = self.texts.drop("text")
         likely = possible(self.percent)
@@ -236,16 +253,23 @@ class Links:
         pivots = buckets.groupBy("key").agg(F.min("node").alias("pivot"))
         met = buckets.join(pivots, "key").filter("node <> pivot").select(*_pairs(F.col("node"), F.col("pivot"))).distinct()
         first = met.join(facts_of("a", "_1"), "a").join(facts_of("b", "_2"), "b").filter(likely).select("a", "b")
+        first = stage(first, "pairs", of_buckets)
         links = stage(self.verify(first), "links")
         rooted = buckets.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        rooted = stage(rooted, "rooted")
+        of_roots: list[str] = []
+        rooted = stage(rooted, "rooted", of_roots)
+        discard(spark, of_buckets)
         split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        open_ = stage(rooted.join(split, "key").join(facts, "node"), "open-buckets")
+        of_open: list[str] = []
+        open_ = stage(rooted.join(split, "key").join(facts, "node"), "open-buckets", of_open)
+        discard(spark, of_roots)
         one = open_.select("key", *[F.col(c).alias(c + "_1") for c in open_.columns if c != "key"])
         two = open_.select("key", *[F.col(c).alias(c + "_2") for c in open_.columns if c != "key"])
         rest = one.join(two, (one["key"] == two["key"]) & (F.col("root_1") < F.col("root_2")) & likely)
-        rest = rest.select(*_pairs(F.col("node_1"), F.col("node_2"))).distinct()
+        rest = stage(rest.select(*_pairs(F.col("node_1"), F.col("node_2"))).distinct(), "pairs", of_texts)
+        discard(spark, of_open)
         more = stage(self.verify(rest), "links")
+        discard(spark, of_texts)
         return components(links.unionByName(more))
 
 
@@ -266,6 +290,7 @@ def near_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         .select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
     )
     rooted = stage(rooted, "document-classes")
+    discard(docs.sparkSession, links.made)
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("_name"))
     return rooted.join(names, "root").select(
         "doc_id", "n_shingles",
@@ -285,8 +310,14 @@ def one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     )
     row = F.struct(*docs.columns).alias("_row")
     rows = once(docs.select(row).withColumn("_key", F.xxhash64(F.coalesce(F.col("_row.text"), F.lit("")))), "_key")
-    rows = rows.withColumn("_doc", F.col("_row.doc_id"))
     blank = ~F.coalesce(F.col("_row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    met = (rows["_key"] == chosen["_of"]) & rows["_doc"].eqNullSafe(chosen["_id"])
-    best = rows.filter(~blank).join(chosen, met).dropDuplicates(["_of", "_id"]).select("_row.*")
+
+    def named(df: DataFrame, doc: str) -> DataFrame:
+        """``_late`` and ``_doc`` tell ids apart without nulls, so that one shuffle serves the dropping and the join."""
+        some = F.lit(0).cast(docs.schema["doc_id"].dataType)
+        return df.withColumns({"_late": F.col(doc).isNull(), "_doc": F.coalesce(F.col(doc), some)})
+
+    keys = ["_key", "_late", "_doc"]
+    single = named(rows.filter(~blank), "_row.doc_id").dropDuplicates(keys)
+    best = single.join(named(chosen, "_id").select(F.col("_of").alias("_key"), "_late", "_doc"), keys).select("_row.*")
     return best.unionByName(rows.filter(blank).select("_row.*"))

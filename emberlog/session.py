@@ -63,12 +63,36 @@ def new_stage_path(spark: SparkSession, name: str) -> str:
     return f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+# Nothing reads a staged table's shuffle files again; else they stay until the driver happens to collect its garbage.
+_REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts lineage and survives lost executors; later readers prune columns and push filters.
+    Cuts lineage and survives lost executors; later readers prune columns and push filters. Shuffle files of the write
+    are removed when it ends. The path is added to ``made``, for ``discard``.
     """
     spark = df.sparkSession
     path = new_stage_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_REMOVE_SHUFFLES, None)
+    spark.conf.set(_REMOVE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_REMOVE_SHUFFLES)
+        else:
+            spark.conf.set(_REMOVE_SHUFFLES, before)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Delete staged tables, by the paths that ``stage`` gave; no frame that is still to be run may read them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    made.clear()

@@ -85,3 +85,51 @@ def test_an_empty_word_can_be_the_only_equal_one():
     common, only = shingles[:52], shingles[52:]
     left, right = (np.sort(np.array(common + part, np.uint64)) for part in (only[:7], only[7:]))
     assert set(near_join.sketch_keys(left, 80, starts)) & set(near_join.sketch_keys(right, 80, starts))
+
+
+def test_turns_share_out_the_sketch_words():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{(i * k) % 97}" for k in range(40 + i)) for i in range(60)]
+    nodes = [(-1) ** i * (i // 2 + 1) * 7919 for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts)], names=["node", "text"])
+
+    def rows(*turn):
+        out = near_join._sketches(5, 80, *turn)(iter([batch]))
+        return [tuple(r.values()) for b in out for r in b.to_pylist()]
+
+    whole, halves = rows(), [rows(t, 2) for t in range(2)]
+    assert sorted(halves[0] + halves[1]) == sorted(whole)
+    assert all(0.4 < len(h) / len(whole) < 0.6 for h in halves)
+    assert not {r[1] for r in halves[0]} & {r[1] for r in halves[1]}
+
+
+def test_disk_is_given_back(spark, docs):
+    import glob
+    import time
+
+    from emberlog.session import stage, staging_dir
+
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in files.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+    before, old = shuffled(), set(glob.glob(f"{staging_dir(spark)}/*"))
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        dealt = stage(docs.repartition(3, "doc_id"), "dealt")
+        assert spark.conf.get(setting) == "false"
+    finally:
+        spark.conf.unset(setting)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert dealt.count() == docs.count()
+    near_join.near_classes(docs, 5, 80).count()
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{staging_dir(spark)}/*")) - old}
+    assert not left & {"sketch-words", "buckets", "candidate-texts", "pairs", "rooted", "open-buckets"}
+    assert "document-classes" in left
