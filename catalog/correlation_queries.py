@@ -235,13 +235,14 @@ def newest_graph_summary(spark, sf):
 @query("timed_ip_edges", over(
     "events",
     "SELECT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v, 'same_ip_in_time' AS relation, a.source_ip AS key, "
-    "1.0::DOUBLE AS weight FROM tm a JOIN tm b ON a.source_ip = b.source_ip AND b.rk > a.rk AND b.rk <= a.rk + 14 "
+    "1.0::DOUBLE AS weight FROM tm a JOIN tm b ON a.source_ip = b.source_ip AND b.rk > a.rk "
     "AND epoch_us(b.event_ts) - epoch_us(a.event_ts) <= 300000000",
     "tm AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_ip ORDER BY event_ts, id) AS rk FROM ev "
     "WHERE source_ip NOT IN ('unknown', '0.0.0.0'))",
 ))
 def timed_ip_edges(spark, sf):
-    return C.timed_ip_edges(base.stored_events(spark, sf))
+    """All links within five minutes, however many events of the address lie between."""
+    return C.timed_ip_edges(base.stored_events(spark, sf), reach=None)
 
 
 SESSIONS = """

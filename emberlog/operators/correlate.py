@@ -27,6 +27,8 @@ from emberlog.session import stage
 
 RANK_BLOCK = 65_536
 CHUNK = 8_192
+#: Events of a cell; all pairs of two cells are made in one task.
+CELL = 1_024
 
 
 def correlation_nodes(events: DataFrame, newest_first: bool = True) -> DataFrame:
@@ -459,24 +461,68 @@ def kill_chain_scan(events: DataFrame, limit: int = 200) -> DataFrame:
 # --- documented 5-minute mode -------------------------------------------------------------------
 
 
-def timed_ip_edges(events: DataFrame, ts_col: str = "event_ts", window_minutes: int = 5) -> DataFrame:
+def _pairs_in_time(ranked: DataFrame, span: int) -> DataFrame:
+    """All pairs of an address at most ``span`` microseconds apart: ``ip_key``, ``id`` and ``_v.id`` of the later row.
+
+    Time is cut into steps of ``span`` and a busy step into cells of successive ranks. Only pairs of cells that are near enough
+    in time meet, each by a key of its own, so a burst of one address is spread over the tasks. Rows without time have no pair.
+    """
+    step = max(span, 1)
+    placed = ranked.filter(F.col("micros").isNotNull()).select(
+        "ip_key", "id", "micros", "rank",
+        (F.col("micros") - F.pmod(F.col("micros"), F.lit(step))).alias("step"),
+        F.floor(F.col("rank") / CELL).alias("cell"),
+    )
+    cells = placed.groupBy("ip_key", "step", "cell").agg(
+        F.count("*").alias("n"), F.min("micros").alias("first"), F.max("micros").alias("last")
+    )
+    earlier = cells.select("ip_key", *[F.col(c).alias(f"{c}_1") for c in ("step", "cell", "n", "last")])
+    later = cells.select(
+        "ip_key", F.explode(F.array(F.col("step"), F.col("step") - step)).alias("step_1"),
+        *[F.col(c).alias(f"{c}_2") for c in ("step", "cell", "first")],
+    )
+    after = (F.col("step_2") > F.col("step_1")) | (F.col("cell_2") > F.col("cell_1"))
+    near = F.col("first_2") - F.col("last_1") <= span
+    keys = ["ip_key", "step_1", "cell_1", "step_2", "cell_2"]
+    met = stage(
+        earlier.join(later, ["ip_key", "step_1"])
+        .filter((after & near) | ((F.col("step_2") == F.col("step_1")) & (F.col("cell_2") == F.col("cell_1")) & (F.col("n_1") > 1)))
+        .select(*keys),
+        "cell-pairs",
+    )
+
+    def rows(side: str) -> DataFrame:
+        own = placed.select("ip_key", *[F.col(c).alias(f"{c}_{side}") for c in ("step", "cell", "id", "micros", "rank")])
+        return own.join(met, ["ip_key", f"step_{side}", f"cell_{side}"])
+
+    return (
+        rows("1").join(rows("2"), keys)
+        .filter((F.col("rank_2") > F.col("rank_1")) & (F.col("micros_2") - F.col("micros_1") <= span))
+        .select("ip_key", F.col("id_1").alias("id"), F.struct(F.col("id_2").alias("id")).alias("_v"))
+    )
+
+
+def timed_ip_edges(
+    events: DataFrame, ts_col: str = "event_ts", window_minutes: int = 5, reach: int | None = SAME_IP_REACH
+) -> DataFrame:
     """Address links in time order that are at most ``window_minutes`` apart.
 
-    Reach stays 14, which keeps every pair of successive events linked and the links linear. Events are numbered
-    once over all addresses by range partitions, so a burst of one address is spread over the tasks like any rows.
+    ``reach`` None links all such events, as many as there are pairs; a number links only the next ``reach`` events of each,
+    which keeps every pair of successive events linked and the links linear. Events are numbered once over all addresses by
+    range partitions, so a burst of one address is spread over the tasks like any rows.
     """
-    span = window_minutes * 60_000_000
+    span = int(window_minutes * 60_000_000)
     micros = F.unix_micros(F.col(ts_col).cast("timestamp"))
     nodes = events.filter(_linkable(F.col("source_ip"))).select(
         "id", micros.alias("micros"), F.col("source_ip").alias("ip_key")
     )
     # Successive events of an address have successive numbers, wherever its first one falls.
     ranked = row_numbers(nodes, [F.col("ip_key"), F.col("micros"), F.col("id")], "rank")
-    return (
-        _following(ranked, "ip_key", "rank", SAME_IP_REACH, ["id", "micros"])
-        .filter(F.col("_v.micros") - F.col("micros") <= span)
-        .select(*_edge(F.col("id"), F.col("_v.id"), "same_ip_in_time", F.col("ip_key"), SAME_IP_WEIGHT))
-    )
+    if reach is None:
+        pairs = _pairs_in_time(ranked, span)
+    else:
+        pairs = _following(ranked, "ip_key", "rank", reach, ["id", "micros"]).filter(F.col("_v.micros") - F.col("micros") <= span)
+    return pairs.select(*_edge(F.col("id"), F.col("_v.id"), "same_ip_in_time", F.col("ip_key"), SAME_IP_WEIGHT))
 
 
 def address_sessions(

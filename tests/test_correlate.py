@@ -144,3 +144,32 @@ def test_time_links_of_a_burst_of_one_address(spark):
     newest = max(glob.glob(f"{staging_dir(spark)}/ranked-*"), key=os.path.getmtime)
     busy = spark.read.parquet(newest).filter("ip_key = '9.9.9.9'").select(F.input_file_name())
     assert busy.count() == 1000 and busy.distinct().count() > 1
+
+
+def test_time_links_leave_no_event_of_the_window_out(spark, monkeypatch):
+    # Far more than 14 events within five minutes, some exactly five minutes apart, and times before 1970.
+    monkeypatch.setattr(C, "CELL", 16)
+    rng = random.Random(5)
+    events = [(i, "9.9.9.9" if i % 3 else f"1.1.1.{i % 4}", rng.choice([-400, -301, -300, 0, 1, 299, 300, 301, 600, 7_000])) for i in range(240)]
+    events += [(7, "9.9.9.9", 0), (None, "9.9.9.9", 1), (900, None, 1), (901, "0.0.0.0", 1), (902, "unknown", 1), (903, "9.9.9.9", None)]
+    frame = spark.createDataFrame(events, "id long, source_ip string, s long").withColumn("event_ts", F.timestamp_seconds("s"))
+    got = Counter((r.u, r.v, r.key) for r in C.timed_ip_edges(frame, reach=None).collect())
+    linked = [e for e in events if e[1] not in (None, "0.0.0.0", "unknown") and e[2] is not None]
+    wanted = Counter()
+    for n, (i, ip, s) in enumerate(linked):
+        for j, other, t in linked[n + 1:]:
+            if ip == other and abs(s - t) <= 300:
+                ids = [x for x in (i, j) if x is not None]
+                wanted[min(ids), max(ids), ip] += 1
+    assert got == wanted and sum(wanted.values()) > 5_000
+    at_once = C.timed_ip_edges(frame, window_minutes=0, reach=None).count()
+    assert at_once == sum(a[1:] == b[1:] for n, a in enumerate(linked) for b in linked[n + 1:])
+
+
+def test_timed_links_query_has_no_reach(spark, monkeypatch):
+    from catalog import base, correlation_queries
+
+    # Twenty events of one address within a minute: 190 pairs, 175 of them among the next 14.
+    frame = spark.createDataFrame([(i, "9.9.9.9", i) for i in range(20)], "id long, source_ip string, s long")
+    monkeypatch.setattr(base, "stored_events", lambda spark, sf: frame.withColumn("event_ts", F.timestamp_seconds("s")))
+    assert correlation_queries.timed_ip_edges(spark, "").count() == 190
